@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import langid, toxicity
+from millrace.llm import langid, quality_qda, suffix_dedup, toxicity
 from millrace.llm.common import table
 
 
@@ -14,12 +14,20 @@ def op1_toxicity_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+
+
+def op4_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_qda.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_language_nb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity_knn, op8_language_nb)}
+    return {f.__name__: f for f in (op1_toxicity_knn, op2_suffix_dedup, op4_quality_qda, op8_language_nb)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import langid, quality_qda, suffix_dedup, toxicity
+from millrace.llm import langid, mixing, packing, quality_qda, suffix_dedup, toxicity
 from millrace.llm.common import table
 
 
@@ -22,12 +22,23 @@ def op4_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_qda.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op8_language_nb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op9_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.takes(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity_knn, op2_suffix_dedup, op4_quality_qda, op8_language_nb)}
+    found = (
+        op1_toxicity_knn, op2_suffix_dedup, op4_quality_qda, op7_mixture_packing, op8_language_nb, op9_pareto_mixing,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import langid, mixing, packing, quality_qda, suffix_dedup, toxicity
+from millrace.llm import langid, mixing, near_dup, packing, quality_qda, suffix_dedup, toxicity
 from millrace.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op4_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_qda.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.classes(table(spark, sf_dir, "documents"))
+
+
 def op7_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -36,7 +40,7 @@ def op9_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
-        op1_toxicity_knn, op2_suffix_dedup, op4_quality_qda, op7_mixture_packing, op8_language_nb, op9_pareto_mixing,
+        op1_toxicity_knn, op2_suffix_dedup, op4_quality_qda, op5_prob_minhash, op7_mixture_packing, op8_language_nb, op9_pareto_mixing,
     )
     return {f.__name__: f for f in found}
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import langid, mixing, near_dup, packing, quality_qda, suffix_dedup, toxicity
+from millrace.llm import ann, langid, mixing, near_dup, packing, quality_qda, suffix_dedup, toxicity
 from millrace.llm.common import table
 
 
@@ -38,9 +38,14 @@ def op9_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.takes(table(spark, sf_dir, "documents"))
 
 
+def op10_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_toxicity_knn, op2_suffix_dedup, op4_quality_qda, op5_prob_minhash, op7_mixture_packing, op8_language_nb, op9_pareto_mixing,
+        op10_adaptive_scan,
     )
     return {f.__name__: f for f in found}
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import ann, langid, mixing, near_dup, packing, quality_qda, suffix_dedup, toxicity
+from millrace.llm import ann, langid, license_join, mixing, near_dup, packing, quality_qda, quality_rules, suffix_dedup, toxicity
 from millrace.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op3_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_qda.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -26,6 +30,10 @@ def op5_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.classes(table(spark, sf_dir, "documents"))
 
 
+def op6_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_join.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -44,8 +52,8 @@ def op10_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
-        op1_toxicity_knn, op2_suffix_dedup, op4_quality_qda, op5_prob_minhash, op7_mixture_packing, op8_language_nb, op9_pareto_mixing,
-        op10_adaptive_scan,
+        op1_toxicity_knn, op2_suffix_dedup, op3_decision_list, op4_quality_qda, op5_prob_minhash, op6_license_join,
+        op7_mixture_packing, op8_language_nb, op9_pareto_mixing, op10_adaptive_scan,
     )
     return {f.__name__: f for f in found}
 

@@ -6,18 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.jobs import vectors
+from millrace.jobs import board, code, conversations, keyphrases, paths, texts, vectors
+
+MODULES = (vectors, texts, keyphrases, conversations, board, paths, code)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-    for module in (vectors,):
-        found |= module.QUERIES
+    for module in MODULES:
+        found |= module.JOBS.queries
     return found
 
 
 def oracle_sql() -> dict[str, str]:
     found: dict[str, str] = {}
-    for module in (vectors,):
-        found |= module.SQL
+    for module in MODULES:
+        found |= module.JOBS.sql
     return found

@@ -51,12 +51,16 @@ def is_ignored(path: Column, patterns: list[tuple[str, str]]) -> Column:
     out = F.lit(False)
     for kind, glob in patterns:
         if kind == "name":
-            out = out | F.exists(parts, lambda s, g=glob: s.rlike(glob_regex(g)))
+            out = out | _any_matches(parts, glob_regex(glob))
         else:
             out = out | F.array_join(F.slice(parts, 1, len(glob.split("/"))), "/").rlike(glob_regex(glob))
     return out
 
 
+def _any_matches(parts: Column, regex: str) -> Column:
+    return F.exists(parts, lambda s: s.rlike(regex))
+
+
 def is_valid_glob(glob: Column) -> Column:
     return glob.rlike("^[A-Za-z0-9*?._/-]+\\z") & ~glob.contains("..") & ~glob.startswith("/")
 

@@ -17,10 +17,10 @@ TOKENS = (
 WITH sents AS (SELECT doc_id, """ + SENTENCES + r""" AS s FROM documents),
 sx AS (SELECT doc_id, unnest(range(len(s))) AS sent, unnest(s) AS txt FROM sents),
 tl AS (SELECT doc_id, sent, regexp_extract_all(txt, '[\p{L}\p{N}_-]+|[^\s\p{L}\p{N}_-]+') AS w FROM sx),
-tx AS (SELECT doc_id, sent, unnest(range(len(w))) AS at, unnest(w) AS word FROM tl),
+tx AS (SELECT doc_id, sent, unnest(range(len(w))) AS pos, unnest(w) AS word FROM tl),
 tm AS (SELECT *, regexp_full_match(word, '[!-/:-@\[-`{-~]+') AS mark FROM tx),
-tb AS (SELECT *, sum(mark::INTEGER) OVER w AS block, sum((NOT mark)::INTEGER) OVER w - 1 AS place FROM tm WINDOW w AS (PARTITION BY doc_id, sent ORDER BY at)),
-tk AS (SELECT doc_id, sent, at, block, place, word, lower(word) AS low,
+tb AS (SELECT *, sum(mark::INTEGER) OVER w AS block, sum((NOT mark)::INTEGER) OVER w - 1 AS place FROM tm WINDOW w AS (PARTITION BY doc_id, sent ORDER BY pos)),
+tk AS (SELECT doc_id, sent, pos, block, place, word, lower(word) AS low,
   CASE WHEN regexp_full_match(regexp_replace(regexp_replace(word, ',', '', 'g'), '^([^.]*)\.([^.]*)$', '\1\2'), '\p{Nd}+') THEN 'd'
     WHEN (regexp_matches(word, '\p{Nd}') AND regexp_matches(word, '\p{L}')) OR (NOT regexp_matches(word, '\p{Nd}') AND NOT regexp_matches(word, '\p{L}'))
       OR length(word) - length(regexp_replace(word, '[!-/:-@\[-`{-~]', '', 'g')) > 1 THEN 'u'
@@ -29,8 +29,8 @@ tk AS (SELECT doc_id, sent, at, block, place, word, lower(word) AS low,
 tokens AS (SELECT *, CASE WHEN length(low) > 3 AND low LIKE '%s' THEN substr(low, 1, length(low) - 1) ELSE low END AS term FROM tk),
 terms AS (SELECT doc_id, term, count(*) AS tf, count(*) FILTER (WHERE tag = 'a') AS tf_a, count(*) FILTER (WHERE tag = 'n') AS tf_n,
   count(DISTINCT sent) AS n_sents, median(DISTINCT sent)::DOUBLE AS median_sent,
-  arg_min(low IN (""" + _STOP + r""") OR term IN (""" + _STOP + r""") OR length(regexp_replace(term, '[!-/:-@\[-`{-~]', '', 'g')) < 3, (sent, at)) AS stop FROM tokens GROUP BY doc_id, term),
-lagged AS (SELECT doc_id, lag(term) OVER w AS a, lag(tag) OVER w AS a_tag, term AS b, tag FROM tokens WINDOW w AS (PARTITION BY doc_id, sent, block ORDER BY at)),
+  arg_min(low IN (""" + _STOP + r""") OR term IN (""" + _STOP + r""") OR length(regexp_replace(term, '[!-/:-@\[-`{-~]', '', 'g')) < 3, (sent, pos)) AS stop FROM tokens GROUP BY doc_id, term),
+lagged AS (SELECT doc_id, lag(term) OVER w AS a, lag(tag) OVER w AS a_tag, term AS b, tag FROM tokens WINDOW w AS (PARTITION BY doc_id, sent, block ORDER BY pos)),
 edges AS (SELECT doc_id, a, b, count(*) AS weight FROM lagged WHERE a IS NOT NULL AND a_tag NOT IN ('u', 'd') AND tag NOT IN ('u', 'd') GROUP BY doc_id, a, b),
 deg AS (SELECT doc_id, term, CASE WHEN sum(lw) > 0 THEN sum(l) / sum(lw) ELSE 0.0 END AS pwl, CASE WHEN sum(rw) > 0 THEN sum(r) / sum(rw) ELSE 0.0 END AS pwr FROM (
   SELECT doc_id, b AS term, 1 AS l, weight AS lw, 0 AS r, 0 AS rw FROM edges UNION ALL SELECT doc_id, a, 0, 0, 1, weight FROM edges) GROUP BY doc_id, term),
@@ -42,12 +42,12 @@ und AS (SELECT *, greatest(tf_a, tf_n) / (1 + ln(tf)) + tf / (mean + std) / rel
 h AS (SELECT doc_id, term, tf, stop, CASE WHEN mean IS NULL OR under = 0 THEN 0.0 ELSE ln(ln(3 + median_sent)) * rel / under END AS h FROM und)
 """
 )
-GRAMS = r""", gw AS (SELECT doc_id, sent, at, lag(word, 2) OVER w AS w0, lag(term, 2) OVER w AS t0, lag(tag, 2) OVER w AS g0,
-  lag(word) OVER w AS w1, lag(term) OVER w AS t1, lag(tag) OVER w AS g1, word AS w2, term AS t2, tag AS g2 FROM tokens WINDOW w AS (PARTITION BY doc_id, sent, block ORDER BY at)),
-gr AS (SELECT doc_id, sent, at, 1 AS n, lower(w2) AS key, t2 AS t0, NULL AS t1, NULL AS t2, g2 AS tags FROM gw
-  UNION ALL SELECT doc_id, sent, at, 2, lower(w1 || ' ' || w2), t1, t2, NULL, g1 || g2 FROM gw WHERE w1 IS NOT NULL
-  UNION ALL SELECT doc_id, sent, at, 3, lower(w0 || ' ' || w1 || ' ' || w2), t0, t1, t2, g0 || g1 || g2 FROM gw WHERE w0 IS NOT NULL),
-cand AS (SELECT doc_id, key, arg_min({'n': n, 't0': t0, 't1': t1, 't2': t2}, (sent, at)) AS x, count(*) AS tf FROM gr GROUP BY doc_id, key HAVING max(NOT regexp_matches(tags, '[ud]')))
+GRAMS = r""", gw AS (SELECT doc_id, sent, pos, lag(word, 2) OVER w AS w0, lag(term, 2) OVER w AS t0, lag(tag, 2) OVER w AS g0,
+  lag(word) OVER w AS w1, lag(term) OVER w AS t1, lag(tag) OVER w AS g1, word AS w2, term AS t2, tag AS g2 FROM tokens WINDOW w AS (PARTITION BY doc_id, sent, block ORDER BY pos)),
+gr AS (SELECT doc_id, sent, pos, 1 AS n, lower(w2) AS key, t2 AS t0, NULL AS t1, NULL AS t2, g2 AS tags FROM gw
+  UNION ALL SELECT doc_id, sent, pos, 2, lower(w1 || ' ' || w2), t1, t2, NULL, g1 || g2 FROM gw WHERE w1 IS NOT NULL
+  UNION ALL SELECT doc_id, sent, pos, 3, lower(w0 || ' ' || w1 || ' ' || w2), t0, t1, t2, g0 || g1 || g2 FROM gw WHERE w0 IS NOT NULL),
+cand AS (SELECT doc_id, key, arg_min({'n': n, 't0': t0, 't1': t1, 't2': t2}, (sent, pos)) AS x, count(*) AS tf FROM gr GROUP BY doc_id, key HAVING max(NOT regexp_matches(tags, '[ud]')))
 """
 SCORES = GRAMS + r""", c AS (SELECT doc_id, key, x.n AS n, x.t0 AS t0, x.t1 AS t1, x.t2 AS t2, tf FROM cand),
 k AS (SELECT c.*, a.h AS h0, b.h AS h1, d.h AS h2, b.stop AS stop1, coalesce(e.weight / a.tf, 0.0) * coalesce(f.weight / d.tf, 0.0) AS p, n = 3 AND b.stop AS bridged

@@ -74,7 +74,7 @@ SELECT doc_id, sha256(lower(string_agg(CASE WHEN ent THEN '<ENT>' ELSE w END, '
   count(*) FILTER (WHERE ent)::INTEGER AS n_entities, count(*)::INTEGER AS n_tokens FROM k GROUP BY doc_id""")
 def entity_skeleton(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Masked texts; the words of the benchmark are the lexicon. Known words are looked up by a join, not in an array."""
-    known = table(spark, sf_dir, "benchmark").select(F.lower(F.explode(X.words(F.col("text")))).alias("low")).distinct().withColumn("known", F.lit(True))
+    known = table(spark, sf_dir, "benchmark").select(F.explode(X.words(F.lower("text"))).alias("low")).distinct().withColumn("known", F.lit(True))
     rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.lexer(F.coalesce("text", F.lit("")))).alias("i", "w"))
     rows = rows.withColumn("low", F.lower("w")).join(known, "low", "left")
     rows = rows.withColumn("ent", F.col("w").startswith('"') | F.col("known").isNull())

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.jobs import board, code, conversations, keyphrases, paths, texts, vectors
+from millrace.jobs import board, code, conversations, keyphrases, paths, texts, vectors, workspace
 
-MODULES = (vectors, texts, keyphrases, conversations, board, paths, code)
+MODULES = (vectors, texts, keyphrases, conversations, board, paths, code, workspace)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

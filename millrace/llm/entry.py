@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import ann, langid, license_join, mixing, near_dup, packing, quality_qda, quality_rules, suffix_dedup, toxicity
+from millrace.llm import ann, langid, license_join, mixing, near_dup, oracle, packing, quality_qda, quality_rules, suffix_dedup, toxicity
 from millrace.llm.common import table
 
 
@@ -59,4 +59,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_suffix_dedup": oracle.SUFFIX_DEDUP, "op6_license_join": oracle.LICENSES}

@@ -89,8 +89,8 @@ def usage_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _log(spark, sf_dir).groupBy("user_id").agg(n("completed").alias("success"), n("failed").alias("fail"))
 
 
-@JOBS.add("""SELECT event_id, user_id, user_id % 10 AS sender, list_value((user_id + 1) % 10, (user_id // 10) % 10) AS chain, event_id % 10 AS target FROM events
-WHERE event_id % 10 <> user_id % 10 AND NOT list_contains(list_value((user_id + 1) % 10, (user_id // 10) % 10), event_id % 10)""".replace("list_value((user_id + 1) % 10, (user_id // 10) % 10) AS chain", "((user_id + 1) % 10) || ',' || ((user_id // 10) % 10) AS chain"))
+@JOBS.add("""SELECT event_id, user_id, user_id % 10 AS sender, ((user_id + 1) % 10) || ',' || ((user_id // 10) % 10) AS chain, event_id % 10 AS target FROM events
+WHERE event_id % 10 NOT IN (user_id % 10, (user_id + 1) % 10, (user_id // 10) % 10)""")
 def cycle_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls whose target is neither the sender nor in the chain of callers."""
     u, ten = F.col("user_id"), F.lit(10)

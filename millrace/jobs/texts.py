@@ -111,9 +111,9 @@ def frontmatter_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("item_id", X.frontmatter(content).alias("f")).where("f IS NOT NULL").select("item_id", "f.*")
 
 
-@JOBS.add("""SELECT item_id, 1::INTEGER AS n_calls, 'tool_' || (item_id % 4) AS first_name,
+@JOBS.add(r"""SELECT item_id, 1::INTEGER AS n_calls, 'tool_' || (item_id % 4) AS first_name,
   '1. tool_' || (item_id % 4) || ' ' || (CASE WHEN strlen(a) > 200 THEN substr(a, 1, 200) || '...' ELSE a END) AS shown
-FROM (SELECT item_id, '{"q":"' || regexp_replace(text, '["\\\\\\n]', ' ', 'g') || '"}' AS a FROM benchmark) WHERE item_id % 6 <> 0""".replace("\\\\\\n", "\\\\\\n"))
+FROM (SELECT item_id, '{"q":"' || regexp_replace(text, '["\\\n]', ' ', 'g') || '"}' AS a FROM benchmark) WHERE item_id % 6 <> 0""")
 def toolcall_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recorded calls made of the benchmark; those cut off in the middle are dropped."""
     b = table(spark, sf_dir, "benchmark")

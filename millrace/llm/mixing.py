@@ -2,7 +2,8 @@
 
 Every document is expected ``target / source_size`` times. The whole part of that are certain copies; for the
 rest documents are ranked by random odds divided by inclusion odds, and those are taken whose words, summed in
-this order, meet what is left of the source's target (fixed size; the last one is taken if that comes nearer).
+this order, fit in what is left of the source's target (fixed size). The gap that stays, less than the next document,
+is filled by the one document after them whose size comes nearest to it, if any brings the sum nearer.
 
 No source is ever sorted in one task: ranks are cut into buckets of equal expected size, sums of buckets are
 accumulated by source, and only rows of one bucket are sorted together. What comes back is one threshold per
@@ -95,29 +96,45 @@ def plan(documents: DataFrame, scratch: Scratch, **options) -> tuple[DataFrame,
     sums = ranked.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("rest_words").alias("rest_words"))
     by_source = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("words").over(by_source), F.lit(0)))
-    full = sums.where(F.col("before") + F.col("words") <= F.col("rest_words")).groupBy("source").agg(F.max("bucket").alias("full"))
     split = sums.where((F.col("before") <= F.col("rest_words")) & (F.col("before") + F.col("words") > F.col("rest_words")))
     split = split.select(F.col("source").alias("__s"), F.col("bucket").alias("__b"), "before")
     inside = ranked.join(F.broadcast(split) if n <= SMALL_SOURCES else split, F.col("source").eqNullSafe(F.col("__s")) & (F.col("bucket") == F.col("__b")))
     in_bucket = Window.partitionBy("source", "bucket").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     inside = inside.withColumn("before", F.col("before") + F.coalesce(F.sum("size").over(in_bucket), F.lit(0)))
-    last = inside.where(F.col("before") + F.col("size") / 2 <= F.col("rest_words")).groupBy("source").agg(F.max("rank").alias("last"))
-    bounds = _bounds(full, last)
-    out = sources.join(bounds, sources["source"].eqNullSafe(bounds["__source"]), "left").drop("__source")
+    inside = inside.withColumn("sum", F.col("before") + F.col("size")).where(F.col("sum") <= F.col("rest_words"))
+    last = inside.groupBy("source").agg(F.max("rank").alias("last"), F.max("sum").alias("sum"))
+    whole = sums.withColumn("sum", F.col("before") + F.col("words")).where(F.col("sum") <= F.col("rest_words"))
+    full = whole.groupBy("source").agg(F.max("bucket").alias("full"), F.max("sum").alias("sum"))
+    bounds = scratch.save(_bounds(full, last), "bounds")
+    small = F.broadcast(bounds) if n <= SMALL_SOURCES else bounds
+    others = ranked.join(small, F.col("source").eqNullSafe(F.col("__source")), "left")
+    gap = F.col("rest_words") - F.coalesce("sum", F.lit(0))
+    others = others.where(~F.coalesce(_chosen(F.col("bucket"), F.col("rank")), F.lit(False)) & (F.abs(gap - F.col("size")) < gap))
+    extra = others.groupBy("source").agg(F.min_by(F.struct("rank", "doc_id"), F.struct(F.abs(gap - F.col("size")), "rank", "doc_id")).alias("extra"))
+    extra = scratch.save(extra.select(F.col("source").alias("__extra"), F.col("extra.rank").alias("extra_rank"), F.col("extra.doc_id").alias("extra_id")), "extra")
+    out = sources.join(bounds, sources["source"].eqNullSafe(bounds["__source"]), "left").drop("__source", "sum")
+    out = out.join(extra, out["source"].eqNullSafe(extra["__extra"]), "left").drop("__extra")
     return sized, scratch.save(out.withColumn("buckets", F.lit(buckets)), "thresholds"), n
 
 
 def _bounds(full: DataFrame, last: DataFrame) -> DataFrame:
-    """(source, largest bucket taken whole, largest rank taken)."""
-    both = full.select("source", "full", F.lit(None).cast("double").alias("last")).unionByName(last.select("source", F.lit(None).cast("bigint").alias("full"), "last"))
-    return both.groupBy("source").agg(F.max("full").alias("full"), F.max("last").alias("last")).withColumnRenamed("source", "__source")
+    """(source, largest bucket taken whole, largest rank taken, sum of the words of both)."""
+    both = full.select("source", "full", F.lit(None).cast("double").alias("last"), "sum").unionByName(
+        last.select("source", F.lit(None).cast("bigint").alias("full"), "last", "sum")
+    )
+    return both.groupBy("source").agg(F.max("full").alias("full"), F.max("last").alias("last"), F.max("sum").alias("sum")).withColumnRenamed("source", "__source")
+
+
+def _chosen(bucket: Column, rank: Column) -> Column:
+    return F.coalesce(bucket <= F.col("full"), F.lit(False)) | F.coalesce(rank <= F.col("last"), F.lit(False))
 
 
 def _taken_copies(size: Column) -> Column:
     rank = _rank(F.col("doc_id"))
     position = rank * F.col("odds")
     bucket = F.floor(position / (1 + position) * F.col("buckets"))
-    chosen = (size > 0) & ((bucket <= F.col("full")) | (rank <= F.col("last")))
+    extra = (rank == F.col("extra_rank")) & F.col("doc_id").eqNullSafe(F.col("extra_id"))
+    chosen = (size > 0) & (_chosen(bucket, rank) | F.coalesce(extra, F.lit(False)))
     return F.coalesce(F.col("certain"), F.lit(0)) + F.when(F.coalesce(chosen, F.lit(False)), 1).otherwise(0)
 
 
@@ -131,7 +148,7 @@ def takes(documents: DataFrame, **options) -> DataFrame:
 def mix(documents: DataFrame, **options) -> DataFrame:
     """The documents of the mix, each as often as it is taken; columns as they are. Documents without words are in it once."""
     _, sources, n = plan(documents, Scratch(documents.sparkSession), **options)
-    names = ["source_size", "n_docs", "target", "certain", "odds", "rest_words", "full", "last", "buckets"]
+    names = ["source_size", "n_docs", "target", "certain", "odds", "rest_words", "full", "last", "extra_rank", "extra_id", "buckets"]
     clash = {c: f"__kept_{c}" for c in documents.columns if c in names}
     out = _with_sources(documents.withColumnsRenamed(clash), sources, n)
     size = word_count(F.col("text"))

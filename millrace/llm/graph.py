@@ -18,7 +18,7 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """
     star = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     star = scratch.save(star, f"{name}0")
-    turn, before = 0, None
+    turn = 0
     while True:
         both = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -33,9 +33,8 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         turn += 1
         star = scratch.save(small, f"{name}{turn}")
         scratch.drop(f"{name}{turn - 1}")
-        state = star.agg(F.count(F.lit(1)), F.sum("b"), F.countDistinct("a")).first()
-        if state[0] == state[2] and tuple(state) == before:
-            break
-        before = tuple(state)
+        n, different = star.agg(F.count(F.lit(1)), F.countDistinct("a")).first()
+        if n == different and star.select(F.col("b").alias("a")).join(star.select("a"), "a", "left_semi").isEmpty():
+            break  # every node hangs on one that hangs on none
     nodes = star.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return nodes.unionByName(star.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

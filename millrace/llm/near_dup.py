@@ -39,7 +39,6 @@ BLOCK = 2048  # documents of a neighbourhood that are verified against as many o
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column(0)
         for at in range(0, batch.num_rows, 2048):
             part = batch.slice(at, 2048)
             for a, b, row, word in slices(part.column(1).to_pylist()):
@@ -66,7 +65,6 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     ],
                     names=["doc_id", "p1", "p2", "bands"],
                 )
-        del ids
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,8 +132,10 @@ def classes(documents: DataFrame) -> DataFrame:
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     known = texts.where(F.col("doc_id").isNotNull())
     signed = scratch.save(known.mapInArrow(_sign, "doc_id bigint, p1 bigint, p2 bigint, bands array<bigint>"), "signed")
-    least = signed.groupBy("p1", "p2").agg(F.min("doc_id").alias("copy_of"))
-    copies = scratch.save(signed.select("doc_id", "p1", "p2").join(least, ["p1", "p2"]).select("doc_id", "copy_of"), "copies")
+    groups = signed.groupBy("p1", "p2").agg(F.min("doc_id").alias("copy_of"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    groups = scratch.save(groups, "groups")  # a table of its own: the join below can split a large group
+    copies = signed.select("doc_id", "p1", "p2").join(groups, ["p1", "p2"], "left")
+    copies = scratch.save(copies.select("doc_id", F.coalesce("copy_of", "doc_id").alias("copy_of")), "copies")
     representatives = signed.join(copies.where("doc_id = copy_of").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "p1", "p2"])
     banded = scratch.save(representatives.select("doc_id", F.posexplode("bands").alias("band", "value")), "banded")
     heads = banded.groupBy("band", "value").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
@@ -149,8 +149,8 @@ def classes(documents: DataFrame) -> DataFrame:
         "root", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"), F.when(F.col("part") > F.col("with"), 1).otherwise(0).alias("side"), "node", "shingles", "weights"
     )
     links = scratch.save(pairs.groupBy("root", "i", "j").applyInArrow(_links, "a bigint, b bigint"), "links")
-    roots = components(links, scratch, "classes").select(F.col("node").alias("copy_of"), "root")
-    found = copies.distinct().join(roots, "copy_of", "left").select("doc_id", F.coalesce("root", "copy_of").alias("class_id"))
+    roots = scratch.save(components(links, scratch, "classes").select(F.col("node").alias("copy_of"), "root"), "roots")
+    found = copies.join(roots, "copy_of", "left").select("doc_id", F.coalesce("root", "copy_of").alias("class_id"))
     found = scratch.save(found.groupBy("doc_id").agg(F.min("class_id").alias("class_id")), "found")
     return documents.select(F.col("doc_id")).join(found, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 

@@ -46,7 +46,8 @@ WINDOW = DEPTH - GRAM + 1  # grams in a string
 HALF = WINDOW // 2
 BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 12 << 20  # input bytes for each bucket of digits
-CHUNK = 1 << 20
+SPREAD = 4  # buckets for each shuffle partition at least, so that hashing spreads them evenly
+CHUNK = 1 << 19  # suffixes whose hashes are held at once
 NO_ID = np.iinfo(np.int64).max
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -285,10 +286,10 @@ class Finder:
         self.table = f"millrace_{uuid.uuid4().hex}"
         columns = [F.col("doc_id").cast("bigint").alias("__id"), *(F.col(c) for c in keep if c != "text"), F.coalesce("text", F.lit("")).alias("text")]
         packed = documents.select(*columns).mapInArrow(_pack, "block bigint, n_bytes bigint, payload binary")
-        packed.write.bucketBy(self.parts, "block").format("parquet").option("compression", "none").saveAsTable(self.table)
+        packed.write.bucketBy(self.parts, "block").format("parquet").option("compression", "none").option("path", self.scratch.path("blocks")).saveAsTable(self.table)
         self.blocks = spark.table(self.table)
         total = self.blocks.agg(F.sum("n_bytes")).first()[0] or 0
-        self.buckets = max(self.parts, int(total // BUCKET_BYTES) + 1)
+        self.buckets = max(SPREAD * self.parts, int(total // BUCKET_BYTES) + 1)
 
     def _by_block(self, replies: DataFrame, names: list[str], column: str) -> DataFrame:
         return replies.groupBy("block").agg(F.collect_list(F.struct("bucket", *names)).alias(column))

@@ -7,8 +7,10 @@ list, distances are summed up block of dimensions by block; after each a hypothe
 partial distance says that they can't be among the nearest. What is left is scored exactly, in double precision,
 on the original vectors.
 
-How many lists are probed is measured: on the sample, as many as give ``RECALL`` against brute force there (with
-all vectors the nearest ones are nearer, and recall is higher). Lists are cut into parts of bounded length, parts
+How many lists are probed is measured: on the sample, with the queries that the search asks (a 0 in the added
+dimension) and the largest inner products as truth, as many as give ``RECALL`` against brute force there (with
+all vectors the nearest ones are nearer, and recall is higher). A query whose lists hold fewer than k candidates
+goes on to the next ones. Lists are cut into parts of bounded length, parts
 share groups, and so do the queries that probe them, so that a list with a third of all vectors is many tasks;
 each group returns a query's nearest in it, and a window keeps the best of them.
 
@@ -73,13 +75,14 @@ def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return (x * x).sum(axis=1)[:, None] + (c * c).sum(axis=1) - 2.0 * x @ c.T
 
 
-def fit(vectors: DataFrame, n: int, sample: int = SAMPLE, rounds: int = 8, seed: int = SEED) -> Index | None:
+def fit(vectors: DataFrame, n: int, sample: int = SAMPLE, rounds: int = 8, seed: int = SEED, k: int = K) -> Index | None:
     """Rotation and centroids (k-means) from at most about ``sample`` vectors."""
     rows = bounded_sample(vectors, "vec_id", sample, seed).orderBy("vec_id").select("embedding").toPandas()
     norm = vectors.agg(F.max(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))))).first()[0]
     if not len(rows):
         return None
-    x = _lengthened(np.stack(rows["embedding"].to_numpy()), norm)
+    plain = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
+    x = _lengthened(plain, norm)
     rng = np.random.default_rng(seed)
     rotation, _ = np.linalg.qr(rng.standard_normal((x.shape[1], x.shape[1])))
     x = x @ rotation
@@ -91,24 +94,29 @@ def fit(vectors: DataFrame, n: int, sample: int = SAMPLE, rounds: int = 8, seed:
         sums = np.zeros_like(centroids)
         np.add.at(sums, nearest, x)
         centroids = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], centroids)
-    return Index(rotation, centroids, float(norm), _probes(x, rng, centroids, float(norm)))
+    return Index(rotation, centroids, float(norm), _probes(plain, x, rng, rotation, centroids, k))
 
 
-def _probes(x: np.ndarray, rng: np.random.Generator, centroids: np.ndarray, norm: float, queries: int = 300) -> int:
-    """Fewest lists with a recall of ``RECALL`` for the K nearest in the sample. Sampled vectors are the queries."""
+def _probes(plain: np.ndarray, x: np.ndarray, rng: np.random.Generator, rotation: np.ndarray, centroids: np.ndarray, k: int, queries: int = 300) -> int:
+    """Fewest lists with a recall of ``RECALL`` for the k largest inner products in the sample. Sampled vectors are the queries."""
     own = rng.choice(len(x), min(queries, len(x)), replace=False)
     home = _distances(x, centroids).argmin(axis=1)
-    d = _distances(x[own], x)
-    d[np.arange(len(own)), own] = np.inf
-    k = min(K, len(x) - 1)
-    if not k:
+    score = plain[own] @ plain.T
+    score[np.arange(len(own)), own] = -np.inf
+    k = min(k, len(x) - 1)
+    if k < 1:
         return 1
-    near = np.argpartition(d, k - 1, axis=1)[:, :k]
-    place = np.argsort(np.argsort(_distances(x[own], centroids), axis=1, kind="stable"), axis=1)
+    near = np.argpartition(-score, k - 1, axis=1)[:, :k]
+    place = np.argsort(_ranked(plain[own], rotation, centroids), axis=1)
     needed = np.sort(np.take_along_axis(place, home[near], axis=1).ravel())
     return int(needed[int(np.ceil(RECALL * len(needed))) - 1]) + 1
 
 
+def _ranked(queries: np.ndarray, rotation: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """Lists of each query, the nearest first."""
+    return np.argsort(_distances(np.column_stack([queries, np.zeros(len(queries))]) @ rotation, centroids), axis=1, kind="stable")
+
+
 def scan(rotated: np.ndarray, alive: np.ndarray, query: np.ndarray, k: int) -> np.ndarray:
     """Places, out of ``alive`` (nearest lists first), of the candidates that the test can't exclude from the k nearest."""
     dims = rotated.shape[1]
@@ -145,7 +153,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = K, probes: int | None =
     kind = "array<double>" if "double" in dict(good.dtypes)["embedding"] else "array<float>"
     good = scratch.save(good.withColumn("embedding", F.col("embedding").cast(kind)), "vectors")
     n = good.count()
-    index = fit(good, n)
+    index = fit(good, n, k=k)
     if index is None:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     shared = spark.sparkContext.broadcast(index)
@@ -176,9 +184,12 @@ def search(vectors: DataFrame, every: int = 20, k: int = K, probes: int | None =
             for at in range(0, batch.num_rows, 1024):
                 rows = batch.slice(at, 1024)
                 x = _stack(rows.column(1)).astype(np.float64)
-                near = np.argsort(_distances(np.column_stack([x, np.zeros(len(x))]) @ index.rotation, index.centroids), axis=1, kind="stable")[:, :probes]
+                near = _ranked(x, index.rotation, index.centroids)
+                held = np.cumsum(sizes[near], axis=1)
+                enough = (held < k + rows.column(2).to_numpy()[:, None]).sum(axis=1) + 1
                 group, row, wanted = [], [], []
                 for i, ranked in enumerate(near):
+                    ranked = ranked[: max(probes, enough[i])]
                     units = np.repeat(before[ranked], parts[ranked]) + np.concatenate([np.arange(p) for p in parts[ranked]])
                     of = np.repeat(ranked, parts[ranked])
                     for g in np.unique(units % groups):
@@ -191,7 +202,13 @@ def search(vectors: DataFrame, every: int = 20, k: int = K, probes: int | None =
                     names=["group", "vec_id", "embedding", "lists"],
                 )
 
-    asked = good.where(F.col("vec_id") % every == 0).mapInArrow(ask, f"group bigint, vec_id bigint, embedding {kind}, lists array<int>")
+    asking = good.where(F.col("vec_id") % every == 0)
+    same = asking.groupBy("vec_id").agg(F.count(F.lit(1)).alias("same"))  # rows that are no candidates of the query
+    if (same.agg(F.max("same")).first()[0] or 1) > 1:
+        asking = asking.join(same, "vec_id").select("vec_id", "embedding", "same")
+    else:
+        asking = asking.select("vec_id", "embedding", F.lit(1).cast("bigint").alias("same"))
+    asked = asking.mapInArrow(ask, f"group bigint, vec_id bigint, embedding {kind}, lists array<int>")
     asked = scratch.save(asked, "asked")
     most = asked.groupBy("group").count().agg(F.max("count")).first()[0] or 1
     calls = -(-most // PART)

@@ -299,3 +299,28 @@ def test_neighbours(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.0, 1.0])], "vec_id bigint, embedding array<double>")
     assert [(r["rank"], r["vec_id"]) for r in ann.search(few).orderBy("rank").collect()] == [(1, 1), (2, 2)]
     assert ann.search(few.where("vec_id > 5")).collect() == []
+
+
+def test_adaptive_scan_of_varied_lengths(spark):
+    r = np.random.default_rng(12)
+    x = r.standard_normal((2000, 32)) * np.exp(0.6 * r.standard_normal((2000, 1)))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = collections.defaultdict(set)
+    for row in ann.search(df).collect():
+        got[row["query_id"]].add(row["vec_id"])
+    hits = 0
+    for q in range(0, 2000, 20):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += len(got[q] & set(np.argsort(-score)[:20].tolist()))
+    assert hits >= 0.9 * 20 * len(got)
+
+
+def test_adaptive_scan_goes_on_to_further_lists(spark):
+    r = np.random.default_rng(13)
+    rows = [(i, v.tolist()) for i, v in enumerate(r.standard_normal((200, 8)))] + [(40, [1.0] * 8)] * 30
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = collections.defaultdict(set)
+    for row in ann.search(df, probes=1).collect():
+        got[row["query_id"]].add(row["rank"])
+    assert set(got) == set(range(0, 200, 20)) and all(ranks == set(range(1, 21)) for ranks in got.values())

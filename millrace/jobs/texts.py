@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as X
 from millrace.jobs.base import Jobs, table
+from millrace.operators.mentions import mentions
 
 JOBS = Jobs()
 
@@ -155,15 +156,11 @@ def phrase_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 w AS (SELECT DISTINCT split_part(name, ' ', 1) AS name FROM n)
 SELECT w.name, count(*) AS mentions FROM w JOIN n ON contains(n.description, w.name) GROUP BY w.name""")
 def mentioned_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many descriptions mention each of the distinct names as a substring; names are a small table that is checked."""
+    """How many descriptions mention each of the distinct names as a substring."""
     n = table(spark, sf_dir, "part")
     description = F.concat_ws(" ", "p_name", "p_brand", "p_type")
-    names = n.select(F.split("p_name", " ")[0].alias("name")).distinct()
-    counted = names.count()
-    if counted > 50_000:
-        raise ValueError(f"{counted} names are too many to hold against every description")
-    found = n.select(description.alias("description")).join(F.broadcast(names), F.col("description").contains(F.col("name")))
-    return found.groupBy("name").agg(F.count(F.lit(1)).alias("mentions"))
+    found = mentions(n.select(description.alias("text")), n.select(F.split("p_name", " ")[0].alias("name")))
+    return found.groupBy("name").agg(F.sum("n").alias("mentions"))
 
 
 @JOBS.add(r"""SELECT page_id, CASE WHEN starts_with(u, 'http://') OR starts_with(u, 'https://') THEN u ELSE 'http://' || u END AS url

@@ -8,19 +8,9 @@ from pyspark.sql import functions as F
 from millrace.functions import text as X
 from millrace.jobs.base import Jobs, table
 from millrace.operators import code as C
+from millrace.operators.mentions import mentions, text_key
 
 JOBS = Jobs()
-MOST_NAMES = 50_000
-
-
-def _small(names: DataFrame) -> DataFrame:
-    """A table of names to hold against every text: broadcast, after a look at its size."""
-    n = names.count()
-    if n > MOST_NAMES:
-        raise ValueError(f"{n} names are too many to hold against every text")
-    return F.broadcast(names)
-
-
 TOOLS = "WITH t AS (SELECT item_id, lower(split_part(text, ' ', 1)) || '_' || (item_id % 3) AS name, lower(text) || ' ' || lower(split_part(text, ' ', 2)) || '_' || (item_id % 2) AS description FROM benchmark)"
 
 
@@ -33,8 +23,11 @@ def tool_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(word(0), F.lit("_"), (F.col("item_id") % 3).cast("string")).alias("name"),
         F.concat(F.lower("text"), F.lit(" "), word(1), F.lit("_"), (F.col("item_id") % 2).cast("string")).alias("description"),
     )
-    names = _small(t.select(F.col("name").alias("other")).distinct())
-    return t.join(names, (F.col("name") != F.col("other")) & F.col("description").contains(F.col("other")), "left_anti").select("item_id", "name")
+    found = mentions(t.select(F.col("description").alias("text")), t.select("name"))
+    found = found.groupBy("key").agg(F.min("name").alias("first"), F.max("name").alias("last"))
+    other = (F.col("first") != F.col("name")) | (F.col("last") != F.col("name"))
+    rows = t.withColumn("key", text_key(F.col("description"))).join(found, "key", "left")
+    return rows.where(~F.coalesce(other, F.lit(False))).select("item_id", "name")
 
 
 @JOBS.add(r"""WITH f AS (SELECT user_id, event_id, CASE WHEN user_id % 2 = 0 THEN 'chat_' || user_id ELSE 'agent_bot' || (user_id % 4) || '_' || user_id END

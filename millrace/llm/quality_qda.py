@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.common import append_columns, bounded_sample, held_out, labelled, text_slices
-from millrace.llm.textvec import code_points, pieces
+from millrace.llm.textvec import LONGEST, code_points
 from millrace.llm.toxicity import fit_logistic
 
 FOLDS, FOLD = 4, 2
@@ -57,19 +57,89 @@ def _groups(keys: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
 
 def _hashes(chars: np.ndarray, starts: np.ndarray, inside: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """One hash for each run: the sum of its characters times odd numbers by position."""
-    place = np.arange(len(chars)) - starts[owner]
-    value = (chars.astype(np.uint64) + np.uint64(1)) * _ODD[place & 63] * (place.astype(np.uint64) // np.uint64(64) + np.uint64(1))
-    value ^= value >> np.uint64(31)
+    value = _mixed(chars, np.arange(len(chars)) - starts[owner])
     value[~inside] = 0
     return np.add.reduceat(value, starts)
 
 
-def statistics(texts: list[str | None]) -> np.ndarray:
-    """rows x STATISTICS. Texts over 4M characters are summed up piece by piece (distinct counts by piece)."""
+def _mixed(chars: np.ndarray, place: np.ndarray) -> np.ndarray:
+    value = (chars.astype(np.uint64) + np.uint64(1)) * _ODD[place & 63] * (place.astype(np.uint64) // np.uint64(64) + np.uint64(1))
+    return value ^ (value >> np.uint64(31))
+
+
+def _long_sums(text: str, longest: int) -> np.ndarray:
+    """The sums of one text, piece by piece: words and lines go on over the cuts, the sets of their hashes are kept."""
+    table = class_table()
+    out, by = np.zeros(16), np.zeros(11)
+    none = np.zeros(0, np.uint64)
+    seen_words, seen_lines, previous = none, none, none
+    word, size, ups = none, 0, 0  # of the word that goes on: hash, characters, upper ones
+    line, held = none, 0  # of the line that goes on: hash, words
+    for at in range(0, len(text) + 1, longest):
+        chars = code_points(text[at : at + longest] + ("\n" if at + longest > len(text) else ""))
+        kind = table[chars]
+        by += np.bincount(kind, minlength=11)
+        gap = (kind == 4) | (kind == 5)
+        fresh = np.flatnonzero(~gap & np.concatenate([[not size], gap[:-1]]))
+        starts = np.concatenate([[0], fresh])  # what comes before the first fresh word ends the one that goes on
+        owner = np.searchsorted(starts, np.arange(len(chars)), side="right") - 1
+        place = np.arange(len(chars)) - starts[owner]
+        place[owner == 0] += size
+        value = _mixed(chars, place)
+        value[gap] = 0
+        ended = value[: fresh[0]] if len(fresh) else value
+        hashes = np.append(np.concatenate([word, ended]).sum(dtype=np.uint64, keepdims=True), np.add.reduceat(value, fresh) if len(fresh) else none)
+        sizes = np.bincount(owner[~gap], minlength=len(starts))
+        uppers = np.bincount(owner[kind == 1], minlength=len(starts))
+        sizes[0] += size
+        uppers[0] += ups
+        lines = np.concatenate([[0], np.cumsum(kind == 5)[fresh]])
+        if not sizes[0]:
+            hashes, sizes, uppers, lines = hashes[1:], sizes[1:], uppers[1:], lines[1:]
+        word, size, ups = none, 0, 0
+        if not gap[-1]:  # the last word goes on
+            word, size, ups = hashes[-1:], int(sizes[-1]), int(uppers[-1])
+            hashes, sizes, uppers, lines = hashes[:-1], sizes[:-1], uppers[:-1], lines[:-1]
+        chain = np.concatenate([previous, hashes])
+        previous = chain[-1:]
+        out[10] += len(hashes)
+        out[11] += (chain[1:] == chain[:-1]).sum()
+        out[13] += ((uppers == sizes) & (sizes > 1)).sum()
+        out[14] += (sizes > 12).sum()
+        seen_words = np.union1d(seen_words, hashes)
+        ends = int((kind == 5).sum())  # the number of the line that goes on
+        of, first, count = np.unique(lines, return_index=True, return_counts=True)
+        if len(of):
+            index = np.arange(len(lines)) - np.repeat(first, count)
+            index[lines == 0] += held
+            sums = np.add.reduceat(hashes * (index.astype(np.uint64) + np.uint64(3)), first)
+        else:
+            sums = none
+        if held and not (len(of) and of[0] == 0):
+            of, sums, count = np.append(0, of), np.append(line, sums), np.append(held, count)
+        elif held:
+            sums[:1] += line
+            count[0] += held
+        line, held = none, 0
+        if len(of) and of[-1] == ends:
+            line, held, sums = sums[-1:], int(count[-1]), sums[:-1]
+        seen_lines = np.union1d(seen_lines, sums)
+    out[0] = by.sum() - by[4] - by[5]
+    out[1:10] = by[[1, 2, 3, 6, 7, 8, 9, 10, 5]]
+    out[9] -= 1
+    out[12], out[15] = len(seen_words), len(seen_lines)
+    return out
+
+
+def statistics(texts: list[str | None], longest: int = LONGEST) -> np.ndarray:
+    """rows x STATISTICS. Texts over ``longest`` characters are read piece by piece, with the same result."""
     n = len(texts)
     sums = np.zeros((n, 16))
-    parts = list(pieces(texts))
-    rows_all, strings = [r for r, _ in parts], [p for _, p in parts]
+    for row, text in enumerate(texts):
+        if len(text or "") > longest:
+            sums[row] = _long_sums(text, longest)
+    rows_all = [row for row, text in enumerate(texts) if len(text or "") <= longest]
+    strings = [texts[row] or "" for row in rows_all]
     table = class_table()
     for a, b in text_slices(strings, SLICE):
         chars = code_points("".join(f"{p}\n" for p in strings[a:b]))

@@ -259,6 +259,18 @@ def test_quality(spark, empty):
     assert quality_qda.classify(empty, labels).collect() == []
 
 
+def test_statistics_of_long_texts():
+    at = {name: i for i, name in enumerate(quality_qda.STATISTICS)}
+    got = quality_qda.statistics(["alpha beta\n" * 500_000])[0]  # 5.5 million characters
+    assert got[at["distinct_words"]] == pytest.approx(np.log1p(2) - np.log1p(1_000_000))
+    assert got[at["distinct_lines"]] == pytest.approx((1 - 1 / 500_001) ** 0.5, abs=1e-9)
+    rng = np.random.default_rng(6)
+    texts = ["".join(rng.choice(list("abAB .\n\t"), int(rng.integers(1, 300)), p=[0.2, 0.2, 0.2, 0.1, 0.15, 0.05, 0.08, 0.02])) for _ in range(150)]
+    texts += ["x" * 500, "ab\n" * 99, "AB CD " * 60 + "\n" + "AB CD " * 60, "\n" * 80, " " * 80, "ab " * 40 + "c" * 100 + "\n\n" + "ab " * 40]
+    for longest in (1, 2, 7, 64):
+        assert (quality_qda.statistics(texts, longest) == quality_qda.statistics(texts)).all()
+
+
 def test_log_ratio_is_that_of_normal_densities():
     rng = np.random.default_rng(9)
     x = np.concatenate([rng.normal(0, 1, (300, 4)), rng.normal(1, 2, (300, 4))])

@@ -1,7 +1,9 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 The log-probability matrix (classes x buckets, bounded by ``MATRIX_BYTES``) is broadcast; every batch of
-texts is scored as a sparse product with it, so the work is one scan without a shuffle.
+texts is scored as a sparse product with it, so the work is one scan without a shuffle. Documents are counted by
+language over all data: the counts give the priors, and the sample that is learned from takes rare languages whole
+and as many documents of each frequent one as its bound leaves.
 
 Defined cases: a null text and a text without a letter give ``und`` with score 0; with nothing to learn
 from every text gives ``und``; a null id is never held out; repeated rows are scored each; a column that
@@ -18,14 +20,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import append_columns, bounded_sample, held_out, summed_vectors
+from millrace.llm.common import append_columns, held_out, summed_vectors
 from millrace.llm.textvec import folded, grams
 
 UNKNOWN = "und"
 ORDERS = (1, 2, 3)
 FOLDS, FOLD = 3, 1
 TRAIN_ROWS = 20_000  # bound of the sample that is learned from
+LEAST_ROWS = 16  # of each language that has them, also where TRAIN_ROWS would leave fewer
 MATRIX_BYTES = 64 << 20  # bound of the broadcast matrix: with many languages the buckets get fewer
+LEAST_BITS = 8
 
 
 @dataclass(frozen=True)
@@ -36,15 +40,38 @@ class LanguageModel:
     bits: int
 
 
+def quota(counts: list[int], rows: int) -> int:
+    """The most documents of one language for which a sample holds at most ``rows`` in all, or ``LEAST_ROWS``."""
+    left, of = rows, len(counts)
+    for n in sorted(counts):
+        if n * of > left:
+            return max(left // of, LEAST_ROWS)
+        left, of = left - n, of - 1
+    return max([*counts, LEAST_ROWS])
+
+
+def sample_by_language(known: DataFrame, counts: dict[str, int], rows: int, seed: int) -> DataFrame:
+    """About ``quota`` documents of each language at most, the same on every run: a hash of the id decides."""
+    most = quota(list(counts.values()), rows)
+    space = 1 << 30
+    limits = [(k, space if n <= most else int(space * most / n)) for k, n in counts.items()]
+    limits = known.sparkSession.createDataFrame(limits, "lang string, below bigint")
+    chosen = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(space)) < F.col("below")
+    return known.join(F.broadcast(limits), "lang").where(chosen).select(*known.columns)
+
+
 def train(documents: DataFrame, rows: int = TRAIN_ROWS, smoothing: float = 0.5, seed: int = 8) -> LanguageModel:
-    """Learns from text and lang of at most about ``rows`` documents outside the held-out fold."""
+    """Learns from text and lang of at most about ``rows`` documents outside the held-out fold, or ``LEAST_ROWS`` of each language."""
     known = documents.where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), FOLDS, FOLD)
     ).select("doc_id", "lang", "text")
-    sample = bounded_sample(known, "doc_id", rows, seed)
-    languages = tuple(sorted(r["lang"] for r in sample.select("lang").distinct().limit(rows).collect()))
+    most = MATRIX_BYTES // (4 << LEAST_BITS)  # languages that the matrix has room for
+    counted = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most)
+    known_counts = {r["lang"]: r["n"] for r in counted.collect()}
+    languages = tuple(sorted(known_counts))
+    sample = sample_by_language(known, known_counts, rows, seed)
     bits = 16
-    while bits > 8 and (len(languages) << bits) * 4 > MATRIX_BYTES:
+    while bits > LEAST_BITS and (len(languages) << bits) * 4 > MATRIX_BYTES:
         bits -= 1
 
     def count(batches):
@@ -53,20 +80,19 @@ def train(documents: DataFrame, rows: int = TRAIN_ROWS, smoothing: float = 0.5,
             langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             index = {k: i for i, k in enumerate(dict.fromkeys(langs))}
             of = np.array([index[k] for k in langs], np.int64)
-            counts = np.zeros((len(index), (1 << bits) + 1))
+            counts = np.zeros((len(index), 1 << bits))
             for row, chars in folded(texts):
                 for n in ORDERS:
                     r, b = grams(row, chars, n, bits)
-                    counts += np.bincount(of[r] * ((1 << bits) + 1) + b, minlength=counts.size).reshape(counts.shape)
-            counts[:, -1] = np.bincount(of, minlength=len(index))
+                    counts += np.bincount((of[r] << bits) + b, minlength=counts.size).reshape(counts.shape)
             for k, i in index.items():
                 out[k] = out[k] + counts[i] if k in out else counts[i]
         return out
 
-    sums = summed_vectors(sample, ["lang", "text"], count, (1 << bits) + 1) if languages else {}
+    sums = summed_vectors(sample, ["lang", "text"], count, 1 << bits) if languages else {}
     languages = tuple(k for k in languages if k in sums)
-    counts = np.array([sums[k][:-1] for k in languages]).reshape(len(languages), 1 << bits) + smoothing
-    docs = np.array([sums[k][-1] for k in languages]) + 1.0
+    counts = np.array([sums[k] for k in languages]).reshape(len(languages), 1 << bits) + smoothing
+    docs = np.array([known_counts[k] for k in languages]) + 1.0
     log_prob = np.log(counts) - np.log(counts.sum(axis=1, keepdims=True))
     return LanguageModel(languages, np.ascontiguousarray(log_prob.T, dtype=np.float32), np.log(docs / max(docs.sum(), 1)), bits)
 

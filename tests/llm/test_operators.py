@@ -196,6 +196,18 @@ def test_language(spark, empty):
     assert {r["lang_pred"] for r in langid.identify(df.drop("lang").selectExpr("*", "cast(null as string) as lang")).collect()} == {"und"}
 
 
+def test_rare_languages_are_learned(spark):
+    said = {"en": "the cat is in the house with some children", "fr": "le chat est dans la maison avec les enfants", "sv": "katten är i huset med några barn", "fi": "kissa on talossa lasten kanssa"}
+    rows = [(i, said["fr" if i % 2 else "en"], "fr" if i % 2 else "en") for i in range(6000)] + [(9000 + i, said["fi" if i % 2 else "sv"], "fi" if i % 2 else "sv") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(df, rows=200).collect()}
+    assert got == {i: lang for i, _, lang in rows}
+    model = langid.train(df, rows=200)
+    known = collections.Counter(lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 3 != 1)
+    assert np.allclose(np.exp(model.log_prior), [(known[k] + 1) / (known.total() + 4) for k in model.languages])
+    assert langid.quota([5, 1000, 3000], 205) == 100 and langid.quota([5, 10], 20) >= 10 and langid.quota([100] * 50, 60) == langid.LEAST_ROWS
+
+
 def _labelled(spark):
     rng = np.random.default_rng(2)
     words = ["alpha", "beta", "gamma", "delta", "omega", "kappa"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SEGMENT = 4096  # elements of one segment of a summed vector
+SEGMENT = 65_536  # elements of a summed vector that are sent at once
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,10 +25,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder that the session names; a local one only where none is set, as in tests."""
+    """The shared folder that the session names; in local mode, as in tests, a local one where none is set."""
     root = spark.conf.get("spark.checkpoint.dir", "")
     root = root or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not root:
+        if not re.fullmatch("local(\\[.*\\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -149,35 +152,26 @@ _ARROW = {
 def summed_vectors(df: DataFrame, columns: list[str], count: Callable, length: int) -> dict[str, np.ndarray]:
     """Sums of float64 vectors by key. ``count`` maps an iterator of record batches to {key: vector}.
 
-    Each task sums its own rows; what is shuffled is one vector per key and task, in segments that
-    different tasks add up. The driver receives the sums alone: the caller bounds keys and length.
+    Each task sums its own rows; a row for each element that isn't 0 goes to Spark's aggregation, so no group holds
+    what grows with the number of tasks. The driver receives the sums alone: the caller bounds keys and length.
     """
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, segments, vectors = [], [], []
         for key, vector in count(batches).items():
-            for s in range(0, length, SEGMENT):
-                part = np.ascontiguousarray(vector[s : s + SEGMENT], dtype=np.float64)
-                if part.any():
-                    keys.append(key)
-                    segments.append(s // SEGMENT)
-                    vectors.append(part.tobytes())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(keys, pa.string()), pa.array(segments, pa.int32()), pa.array(vectors, pa.binary())],
-            names=["key", "segment", "vector"],
-        )
-
-    def add(group: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(v, np.float64) for v in group.column("vector").to_pylist())
-        return pa.table(
-            {"key": group.column("key").slice(0, 1), "segment": group.column("segment").slice(0, 1), "vector": pa.array([total.tobytes()], pa.binary())}
-        )
-
-    schema = "key string, segment int, vector binary"
-    rows = df.select(*columns).mapInArrow(local, schema).groupBy("key", "segment").applyInArrow(add, schema).collect()
+            at = np.flatnonzero(vector)
+            for a in range(0, len(at), SEGMENT):
+                some = at[a : a + SEGMENT]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([key] * len(some), pa.string()), pa.array(some, pa.int32()), pa.array(vector[some], pa.float64())], names=["key", "at", "value"]
+                )
+
+    sums = df.select(*columns).mapInArrow(local, "key string, at int, value double").groupBy("key", "at").agg(F.sum("value").alias("value")).toArrow()
+    keys, at, values = sums.column("key").combine_chunks().dictionary_encode(), sums.column("at").to_numpy(), sums.column("value").to_numpy()
     out: dict[str, np.ndarray] = {}
-    for r in rows:
-        v = out.setdefault(r["key"], np.zeros(length))
-        part = np.frombuffer(r["vector"], np.float64)
-        v[r["segment"] * SEGMENT : r["segment"] * SEGMENT + len(part)] = part
+    if len(at):
+        keys = keys.combine_chunks() if isinstance(keys, pa.ChunkedArray) else keys
+        of = keys.indices.to_numpy()
+        for i, key in enumerate(keys.dictionary.to_pylist()):
+            out[key] = np.zeros(length)
+            out[key][at[of == i]] = values[of == i]
     return out

@@ -1,13 +1,16 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-Every document is expected ``target / source_size`` times. The whole part of that are certain copies; for the
-rest documents are ranked by random odds divided by inclusion odds, and those are taken whose words, summed in
-this order, fit in what is left of the source's target (fixed size). The gap that stays, less than the next document,
-is filled by the one document after them whose size comes nearest to it, if any brings the sum nearer.
-
-No source is ever sorted in one task: ranks are cut into buckets of equal expected size, sums of buckets are
-accumulated by source, and only rows of one bucket are sorted together. What comes back is one threshold per
-source, so the documents themselves are never shuffled.
+A document of a source is expected ``most`` times at most, and otherwise so often that the words expected of the
+source are its target: ``level`` times a factor that grows with the document's size (a quarter of the exponent, by
+classes of sizes that double), so longer documents of a source have larger inclusion probabilities. The whole part
+of what is expected are certain copies; for the rest documents are ranked by random odds divided by their inclusion
+odds, and those are taken whose words, summed in this order, fit in what is left of the source's target (fixed
+size). The gap that stays, less than the next document, is filled by the first further document of the order that
+brings the sum within ``NEAR`` of the target, or, if none does, by the one that brings it nearest.
+
+No source is ever sorted in one task: ranks are cut into buckets, sums of buckets are accumulated by source, and
+only rows of one bucket are sorted together. What comes back is one threshold per source, so the documents
+themselves are never shuffled.
 
 Defined cases: null text has size 0; a null source is a source of its own, the last in order; a source without
 words has target 0; repeated rows have the same rank and are taken or left together; empty tables give empty
@@ -26,7 +29,9 @@ TOTAL = 1.5  # share of all words that the mix takes
 MOST = 2.0  # times that a document is taken at most
 SEED = 9
 SPACE = "[\\x20\\x09-\\x0D]"
-SMALL_SOURCES = 100_000  # up to so many sources their table is broadcast
+SLOPE = 0.25  # inclusion grows with size to this power
+NEAR = 0.001  # of a target
+SMALL_SOURCES = 10_000  # up to so many sources their table is broadcast, with a row for each class of sizes
 
 
 def word_count(text: Column) -> Column:
@@ -65,12 +70,34 @@ def targets(sizes: DataFrame, total: float = TOTAL, most: float = MOST, weights:
     return by.select("source", "source_size", "n_docs", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), "cap")).alias("target"))
 
 
-def _copies(sources: DataFrame) -> DataFrame:
-    """Adds the certain copies and the inclusion odds of the rest."""
-    expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    certain = F.floor(expected + 1e-12)
-    rest = F.greatest(expected - certain, F.lit(0.0))
-    return sources.select("*", certain.alias("certain"), (rest / (1 - rest)).alias("odds"), (rest * F.col("source_size")).alias("rest_words"))
+def _class(size: Column) -> Column:
+    """-1 for no words, else the whole part of the size's binary logarithm."""
+    return F.when(size > 0, F.length(F.bin(size)) - 1).otherwise(-1)
+
+
+def _expected(sized: DataFrame, sources: DataFrame, most: float) -> DataFrame:
+    """(source, class, expected): times that documents are expected. Classes reach ``most`` in the order of their factors."""
+    factor = F.pow(F.lit(2.0), F.col("class") * F.lit(SLOPE))
+    by = sized.groupBy("source", _class(F.col("size")).alias("class")).agg(F.sum("size").alias("words")).withColumn("factor", factor)
+    by = by.join(sources.select(F.col("source").alias("__s"), "target"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
+    order = Window.partitionBy("source").orderBy(F.desc("class"))
+    full = F.coalesce(F.sum(F.lit(most) * F.col("words")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    rest = F.sum(F.col("words") * F.col("factor")).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    by = by.withColumn("full", full).withColumn("rest", rest).withColumn("level", F.when(F.col("rest") > 0, F.greatest(F.col("target") - F.col("full"), F.lit(0.0)) / F.col("rest")))
+    fits = F.when(F.col("level") * F.col("factor") <= most, F.struct((-F.col("class")).alias("place"), "level"))
+    whole = Window.partitionBy("source")
+    by = by.withColumn("level", F.min(fits).over(whole)["level"])
+    return by.select("source", "class", "words", F.when(F.col("words") > 0, F.least(F.coalesce(F.col("level") * F.col("factor"), F.lit(most)), F.lit(most))).otherwise(0.0).alias("expected"))
+
+
+def _copies(sized: DataFrame, sources: DataFrame, most: float) -> DataFrame:
+    """(source, class, source_size, n_docs, target, certain, odds, rest_words): certain copies, the inclusion odds of the rest, and its words in the source."""
+    by = _expected(sized, sources, most)
+    certain = F.floor(F.col("expected") + 1e-12)
+    by = by.withColumn("certain", certain).withColumn("rest", F.greatest(F.col("expected") - F.col("certain"), F.lit(0.0)))
+    by = by.withColumn("rest_words", F.sum(F.col("rest") * F.col("words")).over(Window.partitionBy("source")))
+    by = by.select("source", "class", "certain", (F.col("rest") / (1 - F.col("rest"))).alias("odds"), "rest_words")
+    return by.join(sources.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
 
 
 def _rank(doc_id: Column) -> Column:
@@ -79,20 +106,21 @@ def _rank(doc_id: Column) -> Column:
 
 
 def _with_sources(df: DataFrame, sources: DataFrame, n: int) -> DataFrame:
-    s = (F.broadcast(sources) if n <= SMALL_SOURCES else sources).withColumnRenamed("source", "__source")
-    return df.join(s, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
+    """Adds what is known of the source and class of ``__size`` to each row."""
+    s = (F.broadcast(sources) if n <= SMALL_SOURCES else sources).withColumnsRenamed({"source": "__source", "class": "__class"})
+    return df.join(s, F.col("source").eqNullSafe(F.col("__source")) & (_class(F.col("__size")) == F.col("__class")), "left").drop("__source", "__class", "__size")
 
 
-def plan(documents: DataFrame, scratch: Scratch, **options) -> tuple[DataFrame, DataFrame, int]:
+def plan(documents: DataFrame, scratch: Scratch, most: float = MOST, **options) -> tuple[DataFrame, DataFrame, int]:
     """(sized documents, table of sources with thresholds, number of sources)."""
     sized = scratch.save(documents.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sized")
-    sources = scratch.save(_copies(targets(sized, **options)), "sources")
+    sources = scratch.save(targets(sized, most=most, **options), "targets")
     n, docs = sources.agg(F.count(F.lit(1)), F.sum("n_docs")).first()
+    sources = scratch.save(_copies(sized, sources, most), "sources")
     buckets = min(max(256, (docs or 0) // 2000), 100_000)
-    ranked = _with_sources(sized.where(F.col("size") > 0), sources, n).where(F.col("odds") > 0)
-    ranked = ranked.select("source", "doc_id", "size", "rest_words", _rank(F.col("doc_id")).alias("rank"), "odds")
-    position = F.col("rank") * F.col("odds")
-    ranked = ranked.withColumn("bucket", F.floor(position / (1 + position) * buckets))
+    ranked = _with_sources(sized.where(F.col("size") > 0).withColumn("__size", F.col("size")), sources, n).where(F.col("odds") > 0)
+    ranked = ranked.select("source", "doc_id", "size", "rest_words", "target", _rank(F.col("doc_id")).alias("rank"))
+    ranked = ranked.withColumn("bucket", F.floor(F.col("rank") / (1 + F.col("rank")) * buckets))
     sums = ranked.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("rest_words").alias("rest_words"))
     by_source = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("words").over(by_source), F.lit(0)))
@@ -110,7 +138,8 @@ def plan(documents: DataFrame, scratch: Scratch, **options) -> tuple[DataFrame,
     others = ranked.join(small, F.col("source").eqNullSafe(F.col("__source")), "left")
     gap = F.col("rest_words") - F.coalesce("sum", F.lit(0))
     others = others.where(~F.coalesce(_chosen(F.col("bucket"), F.col("rank")), F.lit(False)) & (F.abs(gap - F.col("size")) < gap))
-    extra = others.groupBy("source").agg(F.min_by(F.struct("rank", "doc_id"), F.struct(F.abs(gap - F.col("size")), "rank", "doc_id")).alias("extra"))
+    off = F.greatest(F.abs(gap - F.col("size")) - NEAR * F.col("target"), F.lit(0.0))
+    extra = others.groupBy("source").agg(F.min_by(F.struct("rank", "doc_id"), F.struct(off.alias("off"), "rank", "doc_id")).alias("extra"))
     extra = scratch.save(extra.select(F.col("source").alias("__extra"), F.col("extra.rank").alias("extra_rank"), F.col("extra.doc_id").alias("extra_id")), "extra")
     out = sources.join(bounds, sources["source"].eqNullSafe(bounds["__source"]), "left").drop("__source", "sum")
     out = out.join(extra, out["source"].eqNullSafe(extra["__extra"]), "left").drop("__extra")
@@ -131,8 +160,7 @@ def _chosen(bucket: Column, rank: Column) -> Column:
 
 def _taken_copies(size: Column) -> Column:
     rank = _rank(F.col("doc_id"))
-    position = rank * F.col("odds")
-    bucket = F.floor(position / (1 + position) * F.col("buckets"))
+    bucket = F.floor(rank / (1 + rank) * F.col("buckets"))
     extra = (rank == F.col("extra_rank")) & F.col("doc_id").eqNullSafe(F.col("extra_id"))
     chosen = (size > 0) & (_chosen(bucket, rank) | F.coalesce(extra, F.lit(False)))
     return F.coalesce(F.col("certain"), F.lit(0)) + F.when(F.coalesce(chosen, F.lit(False)), 1).otherwise(0)
@@ -141,7 +169,7 @@ def _taken_copies(size: Column) -> Column:
 def takes(documents: DataFrame, **options) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of every document."""
     sized, sources, n = plan(documents, Scratch(documents.sparkSession), **options)
-    out = _with_sources(sized, sources, n)
+    out = _with_sources(sized.withColumn("__size", F.col("size")), sources, n)
     return out.select("doc_id", "size", "source_size", "target", (_taken_copies(F.col("size")) * F.col("size")).cast("bigint").alias("taken"))
 
 
@@ -150,7 +178,7 @@ def mix(documents: DataFrame, **options) -> DataFrame:
     _, sources, n = plan(documents, Scratch(documents.sparkSession), **options)
     names = ["source_size", "n_docs", "target", "certain", "odds", "rest_words", "full", "last", "extra_rank", "extra_id", "buckets"]
     clash = {c: f"__kept_{c}" for c in documents.columns if c in names}
-    out = _with_sources(documents.withColumnsRenamed(clash), sources, n)
+    out = _with_sources(documents.withColumnsRenamed(clash).withColumn("__size", word_count(F.col("text"))), sources, n)
     size = word_count(F.col("text"))
     copies = F.when(size > 0, _taken_copies(size)).otherwise(1)
     out = out.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).drop("__copy", *names)

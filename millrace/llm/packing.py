@@ -6,22 +6,30 @@ w sequences C_s(w) tokens, where its k-th token is due at time (k + 1/2) / rate_
 time at which w * length tokens are due), so any task knows the deficits at any sequence without the ones before,
 and they carry across partitions. Queues that run dry leave their share to the others.
 
-Documents are tokenised once and kept in blocks; the queue order is the order of blocks and of rows in them. A
-prefix sum over the blocks' token counts by source gives each block its places in the queues, and each block then
-cuts its own documents: one shuffle of token ids, nothing of a source in one task.
-
-Defined cases: null and empty texts have the closing id alone; a null source is a queue of its own; beyond
-``QUEUES`` sources the smallest ones share the last queue; repeated rows are packed each; an empty table gives no
-sequence; a null doc_id stays null; other columns are not read.
+Documents are tokenised once, into a table of blocks. The queue order is the order of tasks, of blocks in them and
+of rows in those; each block knows what its task has put into each queue before it. A prefix sum of one number per
+task and source says where a task's documents begin in their queues, and each block then cuts its own documents: no
+text or token id is ever shuffled.
+
+Any number of sources are queues of their own. The driver and the tasks hold two numbers and the name of each
+source (not of documents), and work on ``CELLS`` numbers of sequences and queues at a time.
+
+Defined cases: null and empty texts have the closing id alone; a null source is a queue of its own; a source without
+a target comes after all others; repeated rows are packed each; an empty table gives no sequence; a null doc_id
+stays null; other columns are not read. A very long text is tokenised in parts, cut where the vocabulary's pattern
+always cuts; its ids (2 bytes each) are in one task.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,47 +38,78 @@ from millrace.llm.common import Scratch
 
 LENGTH = 2048
 CLOSING = 1  # id at the end of each document
-QUEUES = 64
-BLOCK_CHARS = 4 << 20
+BLOCK_CHARS = 1 << 20
+PART_CHARS = 1 << 19  # longer texts are tokenised in parts
+CELLS = 1 << 20
+TASKS = 4096  # tasks whose places are summed together
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
+_BETWEEN = re.compile("(?<=[A-Za-z]) (?=[A-Za-z])")  # the pattern always cuts before such a space
 _ENCODERS: dict[str, object] = {}
 
 
-def vocabulary_path(name: str = "byte_bpe_50k.tiktoken") -> str:
+def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
 def encoder(path: str):
-    """The byte-level BPE of a ranks file, one for each worker: the same ids as the .json file of that vocabulary, faster."""
+    """The byte-level BPE of a tokenizer file with its added tokens, one for each worker.
+
+    Ids are those of the file read by ``tokenizers``. They come from the ranks of the same vocabulary, which lie
+    beside it, through another library that is three times as fast; strings of added tokens get their own ids.
+    """
     if path not in _ENCODERS:
         import base64
 
         import public_tokenizers
         import tiktoken
 
-        with open(path, "rb") as f:
+        with open(path, encoding="utf-8") as f:
+            added = json.load(f)["added_tokens"]
+        if any(t[k] for t in added for k in ("single_word", "lstrip", "rstrip")):
+            raise ValueError(f"{path}: added tokens that change what lies around them")
+        with open(re.sub("\\.json$", ".tiktoken", path), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _ENCODERS[path] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        special = {t["content"]: t["id"] for t in added}
+        _ENCODERS[path] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
     return _ENCODERS[path]
 
 
+def parts(text: str, limit: int = PART_CHARS) -> Iterator[str]:
+    """Parts of a text of about ``limit`` characters whose tokens are those of the whole; a text without a place to cut is one."""
+    at = 0
+    while len(text) - at > limit:
+        found = _BETWEEN.search(text, at + limit)
+        if not found:
+            break
+        yield text[at : found.start()]
+        at = found.start()
+    yield text[at:]
+
+
+def token_ids(encode, text: str | None) -> np.ndarray:
+    """Ids of a text and the closing one."""
+    found = [encode.encode_to_numpy(p, allowed_special="all").astype(np.uint16) for p in parts(text)] if text else []
+    return np.concatenate([*found, np.array([CLOSING], np.uint16)])
+
+
 def _queue_name(source: str | None) -> str:
     return "" if source is None else f"={source}"
 
 
 def tokenise(documents: DataFrame, path: str | None) -> DataFrame:
-    """(block, sources, counts, payload): token counts by source, and ids and lengths of a block's documents."""
+    """(task, sources, counts, before, doc_ids, names, sizes, ids): a block's token counts by source, those of its task's earlier blocks, and its documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path or vocabulary_path()).encode_ordinary
-        number = TaskContext.get().partitionId() << 32
+        encode = encoder(path or vocabulary_path())
+        task = TaskContext.get().partitionId()
+        given: dict[str, int] = {}
         for batch in batches:
-            lengths = [len(t or "") for t in batch.column(2).to_pylist()] if batch.num_rows else []
-            for a, b in _slices(lengths):
+            lengths = pc.fill_null(pc.utf8_length(batch.column(2)), 0).to_numpy(zero_copy_only=False)
+            for a, b in _slices(lengths.tolist()):
                 part = batch.slice(a, b - a)
-                ids = [np.array([*encode(t or ""), CLOSING], np.uint16) for t in part.column(2).to_pylist()]
+                ids = [token_ids(encode, t.as_py()) for t in part.column(2)]
                 names = [_queue_name(s) for s in part.column(1).to_pylist()]
                 sizes = [len(i) for i in ids]
                 totals: dict[str, int] = {}
@@ -78,19 +117,21 @@ def tokenise(documents: DataFrame, path: str | None) -> DataFrame:
                     totals[name] = totals.get(name, 0) + n
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([number], pa.int64()),
+                        pa.array([task], pa.int64()),
                         pa.array([list(totals)], pa.list_(pa.string())),
                         pa.array([list(totals.values())], pa.list_(pa.int64())),
+                        pa.array([[given.get(name, 0) for name in totals]], pa.list_(pa.int64())),
                         pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())),
                         pa.array([names], pa.list_(pa.string())),
                         pa.array([sizes], pa.list_(pa.int64())),
                         pa.array([np.concatenate(ids).tobytes()], pa.binary()),
                     ],
-                    names=["block", "sources", "counts", "doc_ids", "names", "sizes", "ids"],
+                    names=["task", "sources", "counts", "before", "doc_ids", "names", "sizes", "ids"],
                 )
-                number += 1
+                for name, n in totals.items():
+                    given[name] = given.get(name, 0) + n
 
-    schema = "block bigint, sources array<string>, counts array<bigint>, doc_ids array<bigint>, names array<string>, sizes array<bigint>, ids binary"
+    schema = "task bigint, sources array<string>, counts array<bigint>, before array<bigint>, doc_ids array<bigint>, names array<string>, sizes array<bigint>, ids binary"
     return documents.select(F.col("doc_id").cast("bigint"), F.col("source").cast("string"), "text").mapInArrow(run, schema)
 
 
@@ -111,10 +152,12 @@ class Schedule:
 
     def __init__(self, sizes: np.ndarray, rates: np.ndarray, length: int = LENGTH) -> None:
         self.sizes, self.length = sizes.astype(np.int64), length
-        self.rates = np.where(sizes > 0, np.maximum(rates, 1e-9), 0.0)
+        most = float(rates.max()) if len(rates) and rates.max() > 0 else 1.0
+        self.rates = np.where(sizes > 0, np.maximum(rates / most, 1e-9), 0.0)
         live = self.rates > 0
         self.end = 1.0 + float((self.sizes[live] / self.rates[live]).max()) if live.any() else 1.0
         self.total = int(self.sizes.sum())
+        self.rows = max(1, CELLS // max(len(sizes), 1))  # sequences that are handled at once
 
     def due(self, time: np.ndarray) -> np.ndarray:
         """times x queues: tokens that are due."""
@@ -137,8 +180,8 @@ class Schedule:
     def near(self, queue: np.ndarray, token: np.ndarray) -> np.ndarray:
         """The sequence of a queue's token, give or take one."""
         rank = np.zeros(len(token), np.int64)
-        for at in range(0, len(token), 65_536):
-            part = slice(at, at + 65_536)
+        for at in range(0, len(token), self.rows):
+            part = slice(at, at + self.rows)
             rank[part] = self.due((token[part] + 0.5) / self.rates[queue[part]]).sum(axis=1)
         return rank // self.length
 
@@ -152,16 +195,35 @@ def cut(schedule: Schedule, queue: np.ndarray, begin: np.ndarray, size: np.ndarr
     first = np.maximum(schedule.near(queue, begin) - 1, 0)
     n = schedule.near(queue, begin + size - 1) + 2 - first
     doc, sequence = np.repeat(np.arange(len(size)), n), _ranges(first, n)
-    known, at = np.unique(np.concatenate([sequence, sequence + 1]), return_inverse=True)
-    given = np.concatenate([schedule.given(known[i : i + 8192]) for i in range(0, len(known), 8192)])
-    a, b = at[: len(sequence)], at[len(sequence) :]
+    order = np.argsort(sequence, kind="stable")
+    doc, sequence = doc[order], sequence[order]
     q = queue[doc]
-    lo, hi = np.maximum(given[a, q], begin[doc]), np.minimum(given[b, q], (begin + size)[doc])
+    known = np.unique(np.concatenate([sequence, sequence + 1]))
+    # before and after each sequence: tokens of the piece's queue, and of the queues ahead of it
+    own, ahead = np.zeros((2, len(sequence)), np.int64), np.zeros((2, len(sequence)), np.int64)
+    for at in range(0, len(known), schedule.rows):
+        some = known[at : at + schedule.rows]
+        given = schedule.given(some)
+        sums = np.cumsum(given, axis=1) - given
+        for k in (0, 1):
+            here = slice(*np.searchsorted(sequence, (some[0] - k, some[-1] - k + 1)))
+            place = np.searchsorted(some, sequence[here] + k)
+            own[k, here], ahead[k, here] = given[place, q[here]], sums[place, q[here]]
+    lo, hi = np.maximum(own[0], begin[doc]), np.minimum(own[1], (begin + size)[doc])
+    offset = ahead[1] - ahead[0] + lo - own[0]
     some = lo < hi
-    doc, sequence, a, b, q, lo, hi = (x[some] for x in (doc, sequence, a, b, q, lo, hi))
-    ahead = np.cumsum(given, axis=1) - given  # tokens of the queues before
-    offset = ahead[b, q] - ahead[a, q] + lo - given[a, q]
-    return doc, lo - begin[doc], hi - lo, sequence, offset
+    doc, lo, hi = doc[some], lo[some], hi[some]
+    return doc, lo - begin[doc], hi - lo, sequence[some], offset[some]
+
+
+def _places(blocks: DataFrame) -> DataFrame:
+    """(of_task, places): tokens of the earlier tasks in each queue. One number per task and source, summed in groups of tasks."""
+    pairs = blocks.select("task", F.explode(F.arrays_zip("sources", "counts")).alias("x")).groupBy("task", F.col("x.sources").alias("name"))
+    counts = pairs.agg(F.sum("x.counts").alias("n")).withColumn("range", F.floor(F.col("task") / TASKS))
+    earlier = lambda *by, order: F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = counts.groupBy("name", "range").agg(F.sum("n").alias("n")).select("name", "range", earlier("name", order="range").alias("base"))
+    inside = counts.select("task", "name", "range", earlier("name", "range", order="task").alias("before")).join(ranges, ["name", "range"])
+    return inside.groupBy(F.col("task").alias("of_task")).agg(F.map_from_entries(F.collect_list(F.struct("name", F.col("before") + F.col("base")))).alias("places"))
 
 
 def pack(documents: DataFrame, targets: dict[str | None, float] | None = None, path: str | None = None, length: int = LENGTH) -> DataFrame:
@@ -169,37 +231,31 @@ def pack(documents: DataFrame, targets: dict[str | None, float] | None = None, p
     spark = documents.sparkSession
     scratch = Scratch(spark)
     blocks = scratch.save(tokenise(documents, path), "blocks")
-    counts = blocks.select("block", F.explode(F.arrays_zip("sources", "counts")).alias("x")).select("block", F.col("x.sources").alias("name"), F.col("x.counts").alias("n"))
-    sums = counts.groupBy("name").agg(F.sum("n").alias("n"))
-    largest = sums.orderBy(F.desc("n"), "name").limit(QUEUES - 1).collect()
-    names = sorted(r["name"] for r in largest)
+    sums = blocks.select(F.explode(F.arrays_zip("sources", "counts")).alias("x")).groupBy(F.col("x.sources").alias("name")).agg(F.sum("x.counts").alias("n"))
+    sums = sorted((r["name"], r["n"]) for r in sums.collect())  # a row for each source
+    names, sizes = [name for name, _ in sums], np.array([n for _, n in sums], np.int64)
     index = {name: i for i, name in enumerate(names)}
-    total = sums.agg(F.sum("n")).first()[0] or 0
-    sizes = np.array([dict(map(tuple, largest))[name] for name in names] + [total - sum(r["n"] for r in largest)], np.int64)
-    rates = sizes.astype(float) / max(total, 1)
-    if targets is not None:
-        rates = np.array([targets.get(None if name == "" else name[1:], 0.0) for name in names] + [rates[-1]])
-    schedule = Schedule(sizes, rates, length)
-    queue = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in index.items() for x in kv)), F.col("name")), F.lit(len(names))) if index else F.lit(0)
-    queued = counts.groupBy("block", queue.cast("int").alias("queue")).agg(F.sum("n").alias("n"))
-    before = Window.partitionBy("queue").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    places = queued.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    places = places.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("queue", "before"))).alias("places"))
+    rates = sizes.astype(float) if targets is None else np.array([targets.get(None if name == "" else name[1:], 0.0) for name in names], float)
+    shared = spark.sparkContext.broadcast((Schedule(sizes, rates, length), index))
+    places = scratch.save(_places(blocks), "places")  # a table: its size decides whether it is broadcast
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schedule, index = shared.value
         for batch in batches:
             for i in range(batch.num_rows):
-                doc_ids, of, size, ids, at = (batch.column(batch.schema.get_field_index(c))[i].as_py() for c in ("doc_ids", "names", "sizes", "ids", "places"))
-                at = dict(at)
-                q, size = np.array([index.get(n, len(names)) for n in of], np.int64), np.array(size, np.int64)
+                row = {c: batch.column(k)[i] for k, c in enumerate(batch.schema.names)}
+                doc_ids, of, sizes, sources, before = (row[c].as_py() for c in ("doc_ids", "names", "sizes", "sources", "before"))
+                base = dict(row["places"].as_py())
+                at = {index[s]: base[s] + b for s, b in zip(sources, before, strict=True)}
+                q, size = np.array([index[n] for n in of], np.int64), np.array(sizes, np.int64)
                 begin = np.empty(len(q), np.int64)
-                for k in np.unique(q):
+                for k, from_ in at.items():
                     mine = np.flatnonzero(q == k)
-                    begin[mine] = at[int(k)] + np.cumsum(size[mine]) - size[mine]
+                    begin[mine] = from_ + np.cumsum(size[mine]) - size[mine]
                 doc, start, n, sequence, offset = cut(schedule, q, begin, size)
-                data = memoryview(np.frombuffer(ids, np.uint16).astype("<u4")).cast("B")
-                base = (np.cumsum(size) - size)[doc] + start
-                crc = [zlib.crc32(data[4 * a : 4 * (a + k)]) for a, k in zip(base.tolist(), n.tolist(), strict=True)]
+                data = memoryview(np.frombuffer(row["ids"].as_buffer(), np.uint16).astype("<u4")).cast("B")
+                first = (np.cumsum(size) - size)[doc] + start
+                crc = [zlib.crc32(data[4 * a : 4 * (a + k)]) for a, k in zip(first.tolist(), n.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(doc_ids, pa.int64()).take(pa.array(doc)),
@@ -208,4 +264,4 @@ def pack(documents: DataFrame, targets: dict[str | None, float] | None = None, p
                     names=[c.split()[0] for c in SCHEMA.split(", ")],
                 )
 
-    return blocks.drop("sources", "counts").join(places, "block").mapInArrow(run, SCHEMA)
+    return blocks.drop("counts").join(places, F.col("task") == F.col("of_task")).drop("task", "of_task").mapInArrow(run, SCHEMA)

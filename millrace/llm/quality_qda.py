@@ -18,12 +18,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.common import append_columns, bounded_sample, held_out, labelled, text_slices
-from millrace.llm.textvec import LONGEST, code_points
+from millrace.llm.textvec import code_points
 from millrace.llm.toxicity import fit_logistic
 
 FOLDS, FOLD = 4, 2
 TRAIN_ROWS = 12_000  # bound of the labelled sample
 SLICE = 1 << 18
+LONGEST = 1 << 22  # longer texts are read piece by piece, with the same result
 STATISTICS = (
     "log_words", "mean_word", "upper", "digit", "symbol", "bar", "exclaim", "stop", "comma",
     "line_words", "same_as_previous", "distinct_words", "upper_words", "long_words", "distinct_lines",

@@ -11,7 +11,7 @@ from millrace.llm.textvec import code_points
 
 WORDS = 5
 SLOTS = 120
-SLICE = 1 << 20
+SLICE = 1 << 18
 _ODD = (np.random.default_rng(5).integers(1 << 62, size=64, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 

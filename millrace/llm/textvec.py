@@ -1,7 +1,8 @@
-"""Texts as numpy arrays: folded characters, hashed within-word character n-grams."""
+"""Texts as numpy arrays: folded characters, hashed words and within-word character n-grams."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +10,7 @@ import numpy as np
 from millrace.llm.common import text_slices
 
 SLICE = 1 << 18  # characters handled at once: the temporary arrays stay in the processor's cache
-LONGEST = 1 << 22  # longer texts are cut for hashing, at white space where there is some
+_NO_LETTER = re.compile(r"[\W\d_]")
 _FOLD: list[np.ndarray] = []
 
 
@@ -31,15 +32,16 @@ def code_points(text: str) -> np.ndarray:
 
 
 def pieces(texts: list[str | None]) -> Iterator[tuple[int, str]]:
-    """(row, text or part of it). Only texts over ``LONGEST`` characters are cut."""
+    """(row, text or part of it). Texts over ``SLICE`` characters are cut where they have no letter, which changes no word; a word is never cut."""
     for row, text in enumerate(texts):
-        text = text or ""
-        while len(text) > LONGEST:
-            cut = text.find(" ", LONGEST)
-            cut = cut if 0 <= cut < 2 * LONGEST else LONGEST
-            yield row, text[:cut]
-            text = text[cut:]
-        yield row, text
+        text, at = text or "", 0
+        while len(text) - at > SLICE:
+            found = _NO_LETTER.search(text, at + SLICE)
+            if not found:
+                break
+            yield row, text[at : found.start()]
+            at = found.start()
+        yield row, text[at:]
 
 
 def folded(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -62,6 +64,30 @@ def folded(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield row[keep], chars[keep]
 
 
+def words(row: np.ndarray, chars: np.ndarray, longest: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, bucket) of the words of at most ``longest`` letters, and of the 5-grams of longer ones."""
+    inside = chars != 32
+    begin = np.flatnonzero(inside & np.concatenate([[True], ~inside[:-1]]))
+    end = np.flatnonzero(inside & np.concatenate([~inside[1:], [True]])) + 1
+    long = np.flatnonzero(end - begin > longest)
+    if len(long):  # a long word with the spaces around it
+        lo, n = begin[long] - 1, end[long] - begin[long] + 2
+        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        r, b = grams(row[at], chars[at], 5, bits)
+    keep = end - begin <= longest
+    begin, n = begin[keep], (end - begin)[keep]
+    h = np.full(len(begin), 7, np.uint64)
+    for k in range(longest):
+        live = n > k
+        if not live.any():
+            break
+        h[live] = h[live] * np.uint64(0x9E3779B97F4A7C15) + chars[begin[live] + k]
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    found = row[begin], (h >> np.uint64(64 - bits)).astype(np.int64)
+    return (np.concatenate([found[0], r]), np.concatenate([found[1], b])) if len(long) else found
+
+
 def grams(row: np.ndarray, chars: np.ndarray, n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, bucket) of the character n-grams that lie in one word with its surrounding spaces."""
     m = len(chars) - n + 1

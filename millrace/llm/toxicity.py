@@ -1,21 +1,26 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine with a block-max inverted index.
 
-Terms are within-word character 5-grams; a bounded balanced sample of labelled documents selects those that
-tell the labels apart and supplies the examples. Inverse document frequencies are counted over all documents.
-The index (terms x examples, bounded by ``TERMS`` and ``EXAMPLES``) is broadcast, and every batch of texts is
-looked up where it lies: one scan, no shuffle.
-
-The k nearest examples are exact: examples stand in blocks, each term keeps its largest weight per block, and
-a block whose bound (the query's product with those maxima) is under the k-th best cosine so far is skipped.
-
-Defined cases: null and empty texts, and texts without a selected term, have no neighbour and get the score of a
-vote of 0; without labels of both kinds nothing is selected and every score is 0; ties between examples go to the
-smaller doc_id; a null id is never held out; repeated rows are scored each; clashing columns are not read.
+Terms are all words of a text, hashed (of words over ``LONG`` letters their 5-grams). A term's weight is
+(1 + ln occurrences) * idf * relevance: document frequencies are counted over all documents, and relevance, between
+``FLOOR`` and 1 + ``FLOOR``, grows with how surely the labelled sample says that the term tells the labels apart. No term is
+left out: what the labels don't know still counts with ``FLOOR`` of its idf.
+
+A bounded balanced sample of labelled documents supplies the examples. Their index is broadcast, and every batch of
+texts is looked up where it lies: a scan that counts, a scan that scores, no shuffle of texts.
+
+The k nearest examples are exact. Like examples stand in one block. Terms that many examples have are a small matrix,
+whose product with a batch of texts gives each cosine's first part. All other terms have inverted lists and keep their
+largest weight per block: a block whose bound (its best first part and the query's product with those maxima) is under
+the k-th best of the parts known so far is skipped.
+
+Defined cases: null and empty texts, and texts without a letter, have no neighbour and get the score of a vote of 0;
+without labels of both kinds every score is 0; ties between examples go to the smaller doc_id; a null id is never
+held out; repeated rows are scored each; clashing columns are not read; long texts are read whole.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -23,102 +28,137 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.common import append_columns, balanced_sample, held_out, labelled, summed_vectors
-from millrace.llm.textvec import folded, grams
+from millrace.llm.textvec import folded, words
 
 FOLDS, FOLD = 3, 1
-ORDER, BITS = 5, 20
-TRAIN_ROWS = 12_000  # bound of the labelled sample that terms are selected on
-EXAMPLES = 4_000  # bound of the examples in the index
-TERMS = 2_048
+LONG, BITS = 16, 20
+TRAIN_ROWS = 12_000  # bound of the labelled sample that relevance is counted on
+EXAMPLES = 2_000  # bound of the examples in the index
 BLOCK = 64
+OFTEN = 32  # a term in more than one of so many examples is a row of the matrix
+BATCH = 512  # texts that are multiplied at once
 K = 15
-PRIOR = 2.0  # similarity that votes for label 0 beside the neighbours
-LEAST_CHI2 = 30.0
-LEAST_RATIO = 10.0  # a term's frequency under label 1 over that under label 0
+PRIOR = 0.5  # similarity that votes for label 0 beside the neighbours
+FLOOR = 0.1  # relevance of a term that tells nothing
+SURE = (2.0, 10.0)  # standard deviations between which relevance rises
 
 
 @dataclass(frozen=True)
 class ExampleIndex:
-    lookup: np.ndarray  # bucket -> term or -1
-    idf: np.ndarray
+    value: np.ndarray  # idf times relevance, by bucket
+    frequent: np.ndarray  # bucket -> row of the matrix or -1
+    matrix: np.ndarray  # frequent terms x places of examples
+    lookup: np.ndarray  # bucket -> term with an inverted list or -1
     ids: np.ndarray
     labels: np.ndarray
     block_starts: np.ndarray  # postings of term t in block b: block_starts[t, b] : block_starts[t, b + 1]
     examples: np.ndarray
     weights: np.ndarray
-    block_max: np.ndarray  # terms x blocks
+    block_max: np.ndarray  # terms x blocks, rounded up
     slope: float = 10.0
     offset: float = -5.0
 
 
-def term_counts(texts: list[str | None], lookup: np.ndarray, terms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, term, occurrences) of the selected terms, by row and term."""
-    found = []
-    for row, chars in folded(texts):
-        r, b = grams(row, chars, ORDER, BITS)
-        t = lookup[b]
-        hit = t >= 0
-        found.append(r[hit].astype(np.int64) * terms + t[hit])
+def term_counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, bucket, occurrences), by row and bucket."""
+    found = [(r.astype(np.int64) << BITS) + b for row, chars in folded(texts) for r, b in [words(row, chars, LONG, BITS)]]
     keys, counts = np.unique(np.concatenate(found) if found else np.zeros(0, np.int64), return_counts=True)
-    return keys // max(terms, 1), keys % max(terms, 1), counts
+    return keys >> BITS, keys & ((1 << BITS) - 1), counts
 
 
-def vectors(texts: list[str | None], lookup: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Unit vectors as (row, term, weight): (1 + ln occurrences) * idf."""
-    row, term, n = term_counts(texts, lookup, len(idf))
-    w = (1.0 + np.log(n)) * idf[term]
+def vectors(texts: list[str | None], value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unit vectors as (row, bucket, weight)."""
+    row, bucket, n = term_counts(texts)
+    w = (1.0 + np.log(n)) * value[bucket]
     norm = np.sqrt(np.bincount(row, weights=w * w, minlength=len(texts)))
-    return row, term, w / norm[row]
-
-
-def build_index(lookup, idf, ids, labels, rows) -> ExampleIndex:
-    """rows: (example, term, weight). Examples with like terms share a block, which makes its maxima tight."""
-    example, term, weight = rows
+    return row, bucket, w / norm[row]
+
+
+def relevance(n0: float, n1: float, in0: np.ndarray, in1: np.ndarray) -> np.ndarray:
+    """``FLOOR`` and up to 1 more, by how many standard deviations a term's shares of the two labels differ."""
+    share = (in0 + in1) / (n0 + n1)
+    sure = np.abs(in1 / n1 - in0 / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / n0))
+    return FLOOR + np.clip((np.where(in0 + in1 < 3, 0.0, sure) - SURE[0]) / (SURE[1] - SURE[0]), 0.0, 1.0)
+
+
+def _alike(example: np.ndarray, bucket: np.ndarray, weight: np.ndarray, n: int, rounds: int = 8) -> np.ndarray:
+    """A number for each example, equal for like ones: k-means of a random projection of the vectors."""
+    rng = np.random.default_rng(0)
+    signs = rng.choice([-1.0, 1.0], (4096, 32))
+    x = np.zeros((n, 32))
+    np.add.at(x, example, weight[:, None] * signs[bucket % 4096])
+    x /= np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
+    centers = x[:: max(BLOCK, 1)].copy()
+    of = np.zeros(n, np.int64)
+    for _ in range(rounds):
+        of = (x @ centers.T).argmax(axis=1)
+        np.add.at(centers, of, x)
+        centers /= np.maximum(np.sqrt((centers * centers).sum(axis=1, keepdims=True)), 1e-12)
+    return of
+
+
+def build_index(value, ids, labels, rows) -> ExampleIndex:
+    """rows: (example, bucket, weight). Examples with like terms share a block, which makes its maxima tight."""
+    example, bucket, weight = rows
     n = len(ids)
-    main = np.full(n, -1)
-    order = np.lexsort((weight, example))
-    main[example[order]] = term[order]  # the heaviest term of each example
     place = np.empty(n, np.int64)
-    by = np.lexsort((ids, main, labels))
+    by = np.lexsort((ids, _alike(example, bucket, weight, n), labels))
     place[by] = np.arange(n)
     example = place[example]
+    blocks = -(-n // BLOCK)
+    often = np.flatnonzero(np.bincount(bucket, minlength=len(value)) * OFTEN > n)
+    frequent = np.full(len(value), -1, np.int32)
+    frequent[often] = np.arange(len(often))
+    matrix = np.zeros((len(often), blocks * BLOCK))
+    dense = frequent[bucket] >= 0
+    matrix[frequent[bucket[dense]], example[dense]] = weight[dense]
+    example, bucket, weight = example[~dense], bucket[~dense], weight[~dense]
+    known, term = np.unique(bucket, return_inverse=True)
+    lookup = np.full(len(value), -1, np.int32)
+    lookup[known] = np.arange(len(known))
     order = np.lexsort((example, term))
     example, term, weight = example[order], term[order], weight[order]
-    blocks = -(-n // BLOCK)
-    edges = np.arange(len(idf))[:, None] * (blocks + 1) + np.arange(blocks + 1)
-    block_starts = np.searchsorted(term * (blocks + 1) + example // BLOCK, edges).astype(np.int64)
-    block_max = np.zeros((len(idf), blocks))
-    np.maximum.at(block_max, (term, example // BLOCK), weight)
-    return ExampleIndex(lookup, idf, ids[by], labels[by], block_starts, example, weight, block_max)
-
-
-def nearest(index: ExampleIndex, term: np.ndarray, weight: np.ndarray, k: int, skip: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(examples, cosines) of the k nearest with a cosine over 0, exactly; ``skip`` leaves out one id."""
-    bound = weight @ index.block_max[term]
-    order = np.argsort(-bound, kind="stable")
-    order = order[bound[order] > 0]
-    best, cosine, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-    at, step = 0, 4
-    while at < len(order):
-        blocks = order[at : at + step]
-        blocks = blocks[bound[blocks] >= least - 1e-12]
-        if not len(blocks):
-            break
-        at, step = at + step, 2 * step
-        lo = index.block_starts[term[:, None], blocks].ravel()
-        n = index.block_starts[term[:, None], blocks + 1].ravel() - lo
-        post = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-        place = np.repeat(np.tile(np.arange(len(blocks)) * BLOCK, len(term)), n) + index.examples[post] % BLOCK
-        flat = np.bincount(place, weights=np.repeat(np.repeat(weight, len(blocks)), n) * index.weights[post], minlength=len(blocks) * BLOCK)
-        seen = np.flatnonzero(flat > 0)
-        new = blocks[seen // BLOCK] * BLOCK + seen % BLOCK
-        if skip is not None:
-            seen, new = seen[index.ids[new] != skip], new[index.ids[new] != skip]
-        best, cosine = np.concatenate([best, new]), np.concatenate([cosine, flat[seen]])
-        top = np.lexsort((index.ids[best], -cosine))[:k]
-        best, cosine = best[top], cosine[top]
-        least = cosine[-1] if len(cosine) == k else 0.0
-    return best, cosine
+    edges = np.arange(len(known))[:, None] * (blocks + 1) + np.arange(blocks + 1)
+    block_starts = np.searchsorted(term * (blocks + 1) + example // BLOCK, edges).astype(np.int32)
+    block_max = np.zeros((len(known), blocks), np.float32)
+    np.maximum.at(block_max, (term, example // BLOCK), np.nextafter(weight.astype(np.float32), np.float32(2)))
+    return ExampleIndex(value, frequent, matrix, lookup, ids[by], labels[by], block_starts, example.astype(np.int32), weight, block_max)
+
+
+def first_parts(index: ExampleIndex, row: np.ndarray, bucket: np.ndarray, weight: np.ndarray, rows: int) -> np.ndarray:
+    """rows x places: what the frequent terms give to the cosines."""
+    at = index.frequent[bucket]
+    query = np.zeros((rows, len(index.matrix)))
+    query[row[at >= 0], at[at >= 0]] = weight[at >= 0]
+    return query @ index.matrix
+
+
+def nearest(index: ExampleIndex, bucket: np.ndarray, weight: np.ndarray, k: int, skip: int | None = None, part: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(examples, cosines) of the k nearest with a cosine over 0, exactly; ``skip`` leaves out one id. ``part``: the query's first parts."""
+    if part is None:
+        part = first_parts(index, np.zeros(len(bucket), np.int64), bucket, weight, 1)[0]
+    n = len(index.ids)
+    score = part.copy()
+    wanted = k + int(skip is not None)
+    least = np.partition(part, -wanted)[-wanted] if len(part) > wanted else 0.0
+    term = index.lookup[bucket]
+    term, weight = term[term >= 0], weight[term >= 0]
+    if len(term):
+        bound = weight @ index.block_max[term] + part.reshape(-1, BLOCK).max(axis=1)
+        blocks = np.flatnonzero(bound >= least * (1 - 1e-9))
+        whole = 2 * len(blocks) > len(bound)  # then the lists are read from end to end
+        lo = (index.block_starts[term, 0] if whole else index.block_starts[term[:, None], blocks].ravel()).astype(np.int64)
+        size = (index.block_starts[term, -1] if whole else index.block_starts[term[:, None], blocks + 1].ravel()) - lo
+        post = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
+        own = np.repeat(weight, size if whole else size.reshape(len(term), -1).sum(axis=1))
+        score += np.bincount(index.examples[post], weights=own * index.weights[post], minlength=len(score))
+    score = score[:n]
+    if skip is not None:
+        score[index.ids == skip] = 0.0
+    edge = np.partition(score, -k)[-k] if n > k else 0.0
+    best = np.flatnonzero((score >= edge) & (score > 0))
+    best = best[np.lexsort((index.ids[best], -score[best]))[:k]]
+    return best, score[best]
 
 
 def vote(index: ExampleIndex, best: np.ndarray, cosine: np.ndarray) -> float:
@@ -145,89 +185,75 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[flo
 
 
 def train(documents: DataFrame, labels: DataFrame, column: str = "toxic", rows: int = TRAIN_ROWS, seed: int = 1) -> ExampleIndex | None:
-    """Selects terms, counts their document frequencies over all documents and indexes the examples."""
+    """Counts terms by label in the sample and over all documents, and indexes the examples."""
     known = balanced_sample(labelled(labels, column, FOLDS, FOLD), rows, seed)
     sample = documents.join(F.broadcast(known), "doc_id").select("doc_id", "y", "text")  # at most about ``rows`` ids
 
     def by_label(batches):
-        out = {k: np.zeros(1 << BITS) for k in "01"} | {"n": np.zeros(1 << BITS)}
-        whole = np.zeros(1 << BITS, np.int32)
-        whole[:] = np.arange(1 << BITS)
+        out = {k: np.zeros((1 << BITS) + 1) for k in "01"}
         for batch in batches:
             y, texts = np.array(batch.column(0).to_pylist()), batch.column(1).to_pylist()
-            row, bucket, _ = term_counts(texts, whole, 1 << BITS)
+            for at in range(0, len(texts), 2048):
+                row, bucket, _ = term_counts(texts[at : at + 2048])
+                for k in (0, 1):
+                    out[str(k)][:-1] += np.bincount(bucket[y[at + row] == k], minlength=1 << BITS)
             for k in (0, 1):
-                out[str(k)] += np.bincount(bucket[y[row] == k], minlength=1 << BITS)
-                out["n"][k] += (y == k).sum()
+                out[str(k)][-1] += (y == k).sum()
         return out
 
-    sums = summed_vectors(sample, ["y", "text"], by_label, 1 << BITS)
-    zero = np.zeros(1 << BITS)
-    n0, n1 = sums.get("n", zero)[:2]
-    if not n0 or not n1:
+    sums = summed_vectors(sample, ["y", "text"], by_label, (1 << BITS) + 1)
+    if len(sums) < 2:
         return None
-    a, b = sums.get("1", zero), sums.get("0", zero)
-    n, df = n0 + n1, a + b
-    expected = np.maximum(df, 1) * n1 / n
-    chi2 = (a - expected) ** 2 / expected * n / np.maximum(n - df, 1) * n / n0
-    chi2[(df < 5) | ((a + 0.5) / n1 < LEAST_RATIO * (b + 0.5) / n0)] = 0
-    chosen = np.lexsort((np.arange(1 << BITS), -chi2))[:TERMS]
-    chosen = np.sort(chosen[chi2[chosen] >= LEAST_CHI2])
-    lookup = np.full(1 << BITS, -1, np.int16)
-    lookup[chosen] = np.arange(len(chosen))
-    shared = documents.sparkSession.sparkContext.broadcast(lookup)
+    in0, in1 = sums["0"], sums["1"]
 
     def frequencies(batches):
-        total = np.zeros(len(chosen) + 1)
+        total = np.zeros((1 << BITS) + 1)
         for batch in batches:
-            texts = batch.column(0).to_pylist()
+            texts = batch.column(0)
             for at in range(0, len(texts), 2048):
-                _, term, _ = term_counts(texts[at : at + 2048], shared.value, len(chosen))
-                total[:-1] += np.bincount(term, minlength=len(chosen))
+                total[:-1] += np.bincount(term_counts(texts.slice(at, 2048).to_pylist())[1], minlength=1 << BITS)
             total[-1] += len(texts)
         return {"df": total}
 
-    df = summed_vectors(documents, ["text"], frequencies, len(chosen) + 1).get("df", np.zeros(len(chosen) + 1))
-    idf = np.log((1.0 + df[-1]) / (1.0 + df[:-1])) + 1.0
+    df = summed_vectors(documents, ["text"], frequencies, (1 << BITS) + 1)["df"]
+    value = (np.log((1.0 + df[-1]) / (1.0 + df[:-1])) + 1.0) * relevance(in0[-1], in1[-1], in0[:-1], in1[:-1])
     index_rows = balanced_sample(known, EXAMPLES, seed + 1)
+    shared = documents.sparkSession.sparkContext.broadcast(value)
     fields = [T.StructField("terms", T.ArrayType(T.LongType())), T.StructField("weights", T.ArrayType(T.DoubleType()))]
 
     def as_lists(texts):
-        row, term, weight = vectors(texts, shared.value, idf)
+        row, bucket, weight = vectors(texts, shared.value)
         cut = np.searchsorted(row, np.arange(1, len(texts)))
-        return [np.split(term, cut), np.split(weight, cut)]
+        return [np.split(bucket, cut), np.split(weight, cut)]
 
     examples = append_columns(documents.join(F.broadcast(index_rows), "doc_id"), "text", fields, as_lists, keep=["doc_id", "y"])
-    got = examples.orderBy("doc_id").collect()  # bounded by EXAMPLES
-    ids, y = np.array([r["doc_id"] for r in got], np.int64), np.array([r["y"] for r in got], np.float64)
-    lengths = [len(r["terms"]) for r in got]
-    rows_ = (
-        np.repeat(np.arange(len(got)), lengths),
-        np.array([t for r in got for t in r["terms"]], np.int64),
-        np.array([w for r in got for w in r["weights"]], np.float64),
-    )
-    index = build_index(lookup, idf, ids, y, rows_)
-    votes = np.zeros(len(got))
-    for i, r in enumerate(got):
-        if r["terms"]:
-            votes[i] = vote(index, *nearest(index, np.array(r["terms"]), np.array(r["weights"]), K, skip=r["doc_id"]))
-    share = n1 / n  # the sample is balanced as far as it goes; the curve is fitted on it as it is
-    slope, offset = fit_logistic(votes, y) if 0 < y.sum() < len(y) else (10.0, -5.0 + 2 * (share - 0.5))
-    return ExampleIndex(*(getattr(index, f) for f in ("lookup", "idf", "ids", "labels", "block_starts", "examples", "weights", "block_max")), slope=max(slope, 0.0), offset=offset)
+    got = examples.toArrow().sort_by("doc_id")  # bounded by EXAMPLES
+    ids, y = got.column("doc_id").to_numpy().astype(np.int64), got.column("y").to_numpy().astype(np.float64)
+    terms, weights = ([np.asarray(x.values) for x in got.column(c)] for c in ("terms", "weights"))
+    rows_ = np.repeat(np.arange(len(ids)), [len(t) for t in terms]), np.concatenate(terms).astype(np.int64), np.concatenate(weights)
+    index = build_index(value, ids, y, rows_)
+    votes = np.array([vote(index, *nearest(index, t, w, K, skip=i)) for i, t, w in zip(ids, terms, weights, strict=True)])
+    slope, offset = fit_logistic(votes, y) if 0 < y.sum() < len(y) else (10.0, -5.0)
+    return replace(index, slope=max(slope, 0.0), offset=offset)
 
 
 def score_texts(index: ExampleIndex, texts: list[str | None]) -> list:
     """[scores, ids of the nearest examples, their cosines] of a batch of texts."""
-    row, term, weight = vectors(texts, index.lookup, index.idf)
+    row, bucket, weight = vectors(texts, index.value)
     votes = np.zeros(len(texts))
     ids: list[list[int]] = [[] for _ in texts]
     cosines: list[list[float]] = [[] for _ in texts]
     cut = np.searchsorted(row, np.arange(len(texts) + 1))
-    for i in np.unique(row):
-        at = slice(cut[i], cut[i + 1])
-        best, cosine = nearest(index, term[at], weight[at], K)
-        votes[i] = vote(index, best, cosine)
-        ids[i], cosines[i] = index.ids[best[:5]].tolist(), cosine[:5].tolist()
+    for from_ in range(0, len(texts), BATCH):
+        to = min(from_ + BATCH, len(texts))
+        here = slice(cut[from_], cut[to])
+        parts = first_parts(index, row[here] - from_, bucket[here], weight[here], to - from_)
+        for i in range(from_, to):
+            at = slice(cut[i], cut[i + 1])
+            if cut[i] < cut[i + 1]:
+                best, cosine = nearest(index, bucket[at], weight[at], K, part=parts[i - from_])
+                votes[i] = vote(index, best, cosine)
+                ids[i], cosines[i] = index.ids[best[:5]].tolist(), cosine[:5].tolist()
     return [calibrated(votes, index.slope, index.offset), ids, cosines]
 
 

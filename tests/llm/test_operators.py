@@ -1,6 +1,7 @@
 """Operators against brute force on a small table with nulls, empty and long texts, ties, copies and clashing columns."""
 
 import collections
+import random
 import re
 import zlib
 
@@ -62,6 +63,27 @@ def test_near_duplicate_ids(spark):
     assert sorted((r["doc_id"] or 0) for r in near_dup.first_of_each(df).collect()) == [0, 1, 2, 3]
 
 
+def test_near_duplicates_with_one_id(spark):
+    """Different texts of one doc_id are decided on each; nothing that is said only once is lost."""
+    rows = [(1, "a b c d e f"), (1, "g h i j k l"), (7, "a b c d e f"), (7, "only here one two three"), (8, "g h i j k l"), (9, "a  b c d e f"), (7, "only here one two three"), (7, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {tuple(r) for r in near_dup.classes(df).collect()} == {(1, 1), (7, 1), (8, 1), (9, 1)}
+    assert sorted(map(tuple, near_dup.first_of_each(df).collect())) == [(1, "a b c d e f"), (1, "g h i j k l"), (7, ""), (7, "only here one two three")]
+
+
+def test_near_duplicates_in_a_chain(spark):
+    """Neighbours of a chain are alike, its ends are not: links that no band's head has are found within the bands."""
+    r = random.Random(8)
+    words = [f"w{r.randrange(10**9)}" for _ in range(60)]
+    texts = {}
+    for i in range(40):
+        texts[(i * 17) % 40] = " ".join(words)
+        words[i % 60] = f"x{i}"
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = {x["doc_id"]: x["class_id"] for x in near_dup.classes(df).collect()}
+    assert got == brute.classes(texts) and len(set(got.values())) < 40
+
+
 def test_signature_estimates_probability_jaccard():
     from millrace.llm import shingles as S
 
@@ -235,7 +257,7 @@ def test_toxicity(spark, empty):
     assert toxicity.classify(empty, labels).collect() == []
 
 
-def test_block_max_is_exact():
+def test_block_max_is_exact(monkeypatch):
     rng = np.random.default_rng(0)
     n, terms = 500, 60
     x = rng.random((n, terms)) * (rng.random((n, terms)) < 0.15)
@@ -244,14 +266,17 @@ def test_block_max_is_exact():
     x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
     example, term = np.nonzero(x)
     ids = rng.permutation(n) + 1000
-    index = toxicity.build_index(np.zeros(1), np.ones(terms), ids, (ids % 2).astype(float), (example, term, x[example, term]))
-    for q in range(0, n, 17):
-        t = np.flatnonzero(x[q])
-        best, cosine = toxicity.nearest(index, t, x[q, t], 15, skip=ids[q])
-        score = x @ x[q]
-        score[q] = 0
-        order = [i for i in np.lexsort((ids, -np.round(score, 12))) if score[i] > 1e-12][:15]
-        assert np.allclose(np.sort(cosine), np.sort(score[order])) and len(set(index.ids[best]) & set(ids[order])) >= len(order) - 2
+    for often, block in ((1, 64), (6, 16), (32, 64)):  # inverted lists alone; both; a matrix alone
+        monkeypatch.setattr(toxicity, "OFTEN", often)
+        monkeypatch.setattr(toxicity, "BLOCK", block)
+        index = toxicity.build_index(np.ones(terms), ids, (ids % 2).astype(float), (example, term, x[example, term]))
+        for q in range(0, n, 17):
+            t = np.flatnonzero(x[q])
+            best, cosine = toxicity.nearest(index, t, x[q, t], 15, skip=ids[q])
+            score = x @ x[q]
+            score[q] = 0
+            order = [i for i in np.lexsort((ids, -np.round(score, 12))) if score[i] > 1e-12][:15]
+            assert np.allclose(np.sort(cosine), np.sort(score[order])) and len(set(index.ids[best]) & set(ids[order])) >= len(order) - 2
 
 
 def test_quality(spark, empty):

@@ -10,14 +10,17 @@ on the original vectors.
 How many lists are probed is measured: on the sample, with the queries that the search asks (a 0 in the added
 dimension) and the largest inner products as truth, as many as give ``RECALL`` against brute force there (with
 all vectors the nearest ones are nearer, and recall is higher). A query whose lists hold fewer than k candidates
-goes on to the next ones. Lists are cut into parts of bounded length, parts
-share groups, and so do the queries that probe them, so that a list with a third of all vectors is many tasks;
-each group returns a query's nearest in it, and a window keeps the best of them.
+goes on to the next ones.
+
+Like lists stand side by side, and the vectors, list after list, are cut into groups of about ``PART``: a list is
+in one group, or two, unless it is larger than a group, and what a query probes lies in few. A list with a third of all
+vectors is many groups, and a group that many queries ask is copied for each ``PART`` of them. Each group returns a
+query's nearest in it, and a window keeps the best of them.
 
 Defined cases: vectors that are null, zero or hold null or non-finite components take no part, nor those of
 another length than the most common one; a query with fewer candidates gets all of them; ties go to the smaller
-vec_id; rows with the query's own vec_id are no candidates of it; repeated vec_ids are candidates each; empty
-tables give empty results; other columns are not read.
+vec_id; a row is no candidate of itself, but other rows with its vec_id are, and of several query rows with one vec_id
+each has its own result; empty tables give empty results; other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,12 +36,13 @@ from pyspark.sql import functions as F
 from millrace.llm.common import Scratch, bounded_sample
 
 SAMPLE = 20_000  # bound of the vectors that centroids are fitted on
-LISTS = 1_024  # bound of the number of lists
+LISTS = 4_096  # bound of the number of lists
 RECALL = 0.95  # on the sample
 K = 20
 COLUMNS = 16  # dimensions that are added at a time
 EPSILON = 2.1  # of the hypothesis test
-PART = 8_192  # about the most vectors, and the most queries, in one task's group
+PART = 32_768  # about the most vectors, and the most queries, in one task's group
+NUMBERS = 1 << 22  # and the most components of them
 GROUPS = 24
 SEED = 10
 
@@ -75,6 +79,21 @@ def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return (x * x).sum(axis=1)[:, None] + (c * c).sum(axis=1) - 2.0 * x @ c.T
 
 
+def _nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    return np.concatenate([_distances(x[at : at + 2048], centroids).argmin(axis=1) for at in range(0, len(x), 2048)])
+
+
+def _means(x: np.ndarray, centroids: np.ndarray, rounds: int) -> np.ndarray:
+    """Centroids after some rounds of k-means."""
+    for _ in range(rounds):
+        near = _nearest(x, centroids)
+        count = np.bincount(near, minlength=len(centroids))
+        sums = np.zeros_like(centroids)
+        np.add.at(sums, near, x)
+        centroids = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], centroids)
+    return centroids
+
+
 def fit(vectors: DataFrame, n: int, sample: int = SAMPLE, rounds: int = 8, seed: int = SEED, k: int = K) -> Index | None:
     """Rotation and centroids (k-means) from at most about ``sample`` vectors."""
     rows = bounded_sample(vectors, "vec_id", sample, seed).orderBy("vec_id").select("embedding").toPandas()
@@ -87,20 +106,16 @@ def fit(vectors: DataFrame, n: int, sample: int = SAMPLE, rounds: int = 8, seed:
     rotation, _ = np.linalg.qr(rng.standard_normal((x.shape[1], x.shape[1])))
     x = x @ rotation
     lists = int(min(max(n**0.5, 1), LISTS, len(x)))
-    centroids = x[np.sort(rng.choice(len(x), lists, replace=False))]
-    for _ in range(rounds):
-        nearest = _distances(x, centroids).argmin(axis=1)
-        count = np.bincount(nearest, minlength=lists)
-        sums = np.zeros_like(centroids)
-        np.add.at(sums, nearest, x)
-        centroids = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], centroids)
+    centroids = _means(x, x[np.sort(rng.choice(len(x), lists, replace=False))], rounds)
+    above = _means(centroids, centroids[:: max(int(lists**0.5), 1)], rounds)
+    centroids = centroids[np.argsort(_nearest(centroids, above), kind="stable")]  # like lists side by side
     return Index(rotation, centroids, float(norm), _probes(plain, x, rng, rotation, centroids, k))
 
 
 def _probes(plain: np.ndarray, x: np.ndarray, rng: np.random.Generator, rotation: np.ndarray, centroids: np.ndarray, k: int, queries: int = 300) -> int:
     """Fewest lists with a recall of ``RECALL`` for the k largest inner products in the sample. Sampled vectors are the queries."""
     own = rng.choice(len(x), min(queries, len(x)), replace=False)
-    home = _distances(x, centroids).argmin(axis=1)
+    home = _nearest(x, centroids)
     score = plain[own] @ plain.T
     score[np.arange(len(own)), own] = -np.inf
     k = min(k, len(x) - 1)
@@ -151,7 +166,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = K, probes: int | None =
     scratch = Scratch(spark)
     good = usable(vectors)
     kind = "array<double>" if "double" in dict(good.dtypes)["embedding"] else "array<float>"
-    good = scratch.save(good.withColumn("embedding", F.col("embedding").cast(kind)), "vectors")
+    good = scratch.save(good.select("vec_id", F.col("embedding").cast(kind).alias("embedding"), F.monotonically_increasing_id().alias("row")), "vectors")
     n = good.count()
     index = fit(good, n, k=k)
     if index is None:
@@ -165,80 +180,74 @@ def search(vectors: DataFrame, every: int = 20, k: int = K, probes: int | None =
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                x = _lengthened(_stack(part.column(1)), index.norm) @ index.rotation
-                near = _distances(x, index.centroids).argmin(axis=1)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(near, pa.int32())], names=["vec_id", "embedding", "list"])
+                near = _nearest(_lengthened(_stack(part.column(1)), index.norm) @ index.rotation, index.centroids)
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), pa.array(near, pa.int32())], names=["vec_id", "embedding", "row", "list"])
 
-    listed = scratch.save(good.mapInArrow(home, f"vec_id bigint, embedding {kind}, list int"), "lists")
-    groups = max(GROUPS, n // PART)
-    part = max(n // (4 * groups), 32)
+    listed = scratch.save(good.mapInArrow(home, f"vec_id bigint, embedding {kind}, row bigint, list int"), "lists")
     sizes = np.zeros(lists, np.int64)
     for r in listed.groupBy("list").count().collect():  # a row for each list: LISTS at most
         sizes[r["list"]] = r["count"]
-    parts = -(-sizes // part)
-    before = np.cumsum(parts) - parts
+    starts = np.cumsum(sizes) - sizes
+    part = max(min(PART, NUMBERS // index.rotation.shape[0], -(-n // GROUPS)), 1)
+    first, last = starts // part, (starts + np.maximum(sizes, 1) - 1) // part  # groups of a list
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 rows = batch.slice(at, 1024)
-                x = _stack(rows.column(1)).astype(np.float64)
-                near = _ranked(x, index.rotation, index.centroids)
+                near = _ranked(_stack(rows.column(1)).astype(np.float64), index.rotation, index.centroids)
                 held = np.cumsum(sizes[near], axis=1)
-                enough = (held < k + rows.column(2).to_numpy()[:, None]).sum(axis=1) + 1
+                enough = (held < k + 1).sum(axis=1) + 1
                 group, row, wanted = [], [], []
                 for i, ranked in enumerate(near):
                     ranked = ranked[: max(probes, enough[i])]
-                    units = np.repeat(before[ranked], parts[ranked]) + np.concatenate([np.arange(p) for p in parts[ranked]])
-                    of = np.repeat(ranked, parts[ranked])
-                    for g in np.unique(units % groups):
-                        group.append(g)
-                        row.append(i)
-                        wanted.append(list(dict.fromkeys(of[units % groups == g].tolist())))
+                    ranked = ranked[sizes[ranked] > 0]
+                    n_groups = last[ranked] - first[ranked] + 1
+                    of = np.repeat(ranked, n_groups)
+                    in_group = np.repeat(first[ranked] - np.cumsum(n_groups) + n_groups, n_groups) + np.arange(n_groups.sum())
+                    order = np.argsort(in_group, kind="stable")  # within a group the nearest list first
+                    found, begin = np.unique(in_group[order], return_index=True)
+                    group.extend(found.tolist())
+                    row.extend([i] * len(found))
+                    wanted.extend(np.split(of[order].astype(np.int32), begin[1:]))
                 take = pa.array(row, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(group, pa.int64()), rows.column(0).take(take), rows.column(1).take(take), pa.array(wanted, pa.list_(pa.int32()))],
-                    names=["group", "vec_id", "embedding", "lists"],
+                    [pa.array(group, pa.int64()), *(rows.column(c).take(take) for c in range(3)), pa.array(wanted, pa.list_(pa.int32()))],
+                    names=["group", "vec_id", "embedding", "row", "lists"],
                 )
 
-    asking = good.where(F.col("vec_id") % every == 0)
-    same = asking.groupBy("vec_id").agg(F.count(F.lit(1)).alias("same"))  # rows that are no candidates of the query
-    if (same.agg(F.max("same")).first()[0] or 1) > 1:
-        asking = asking.join(same, "vec_id").select("vec_id", "embedding", "same")
-    else:
-        asking = asking.select("vec_id", "embedding", F.lit(1).cast("bigint").alias("same"))
-    asked = asking.mapInArrow(ask, f"group bigint, vec_id bigint, embedding {kind}, lists array<int>")
+    asked = good.where(F.col("vec_id") % every == 0).mapInArrow(ask, f"group bigint, vec_id bigint, embedding {kind}, row bigint, lists array<int>")
     asked = scratch.save(asked, "asked")
-    most = asked.groupBy("group").count().agg(F.max("count")).first()[0] or 1
-    calls = -(-most // PART)
-    unit = F.element_at(F.array(*map(F.lit, before.tolist())), F.col("list") + 1) + F.pmod(
-        F.xxhash64("vec_id", F.lit(3)), F.element_at(F.array(*map(F.lit, np.maximum(parts, 1).tolist())), F.col("list") + 1)
-    )
-    candidates = listed.select((unit % groups).alias("group"), "list", "vec_id", "embedding")
-    candidates = candidates.withColumn("call", F.explode(F.sequence(F.lit(0), F.lit(calls - 1))))
-    queries = asked.withColumn("call", F.pmod(F.xxhash64("vec_id", F.lit(4)), F.lit(calls)).cast("int"))
+    calls = scratch.save(asked.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("calls")), "calls")
+    table = spark.createDataFrame([(i, int(a), int(max(m, 1))) for i, (a, m) in enumerate(zip(starts, sizes, strict=True))], "list int, start bigint, size bigint")
+    place = F.col("start") + F.pmod(F.xxhash64("row", F.lit(3)), F.col("size"))
+    candidates = listed.join(F.broadcast(table), "list").select(F.floor(place / part).alias("group"), "list", "vec_id", "embedding", "row")  # LISTS rows at most
+    candidates = candidates.join(calls, "group").withColumn("call", F.explode(F.sequence(F.lit(0), F.col("calls") - 1))).drop("calls")
+    queries = asked.join(calls, "group").withColumn("call", F.pmod(F.xxhash64("row", F.lit(4)), F.col("calls")).cast("int")).drop("calls")
 
     def match(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, ...]] = []
         if left.num_rows and right.num_rows:
             index = shared.value
-            left = left.sort_by([("list", "ascending"), ("vec_id", "ascending")])
-            ids, of = left.column("vec_id").to_numpy(), left.column("list").to_numpy()
+            left = left.sort_by([("list", "ascending"), ("vec_id", "ascending"), ("row", "ascending")])
+            ids, of, rows = (left.column(c).to_numpy() for c in ("vec_id", "list", "row"))
             x = _stack(left.column("embedding").combine_chunks())
             rotated = _lengthened(x, index.norm) @ index.rotation
             edges = np.searchsorted(of, np.arange(lists + 1))
             q = _stack(right.column("embedding").combine_chunks())
             turned = np.column_stack([q.astype(np.float64), np.zeros(len(q))]) @ index.rotation
-            for i, (query_id, wanted) in enumerate(zip(right.column("vec_id").to_pylist(), right.column("lists").to_pylist(), strict=True)):
+            for i, (query_id, row, wanted) in enumerate(zip(*(right.column(c).to_pylist() for c in ("vec_id", "row", "lists")), strict=True)):
                 alive = np.concatenate([np.arange(edges[w], edges[w + 1]) for w in wanted])
-                alive = scan(rotated, alive[ids[alive] != query_id], turned[i], k)
+                alive = scan(rotated, alive[rows[alive] != row], turned[i], k)
                 score = _exact(x[alive], q[i])
-                best = np.lexsort((ids[alive], -score))[:k]
-                out.append((np.full(len(best), query_id), ids[alive[best]], score[best]))
-        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0)] * 3
-        return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
-
-    found = candidates.groupBy("group", "call").cogroup(queries.groupBy("group", "call")).applyInArrow(match, "query_id bigint, vec_id bigint, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+                best = np.lexsort((rows[alive], ids[alive], -score))[:k]
+                out.append((np.full(len(best), query_id), np.full(len(best), row), ids[alive[best]], rows[alive[best]], score[best]))
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0)] * 5
+        names = ("query_id", "query_row", "vec_id", "row", "score")
+        return pa.table({c: pa.array(v, pa.float64() if c == "score" else pa.int64()) for c, v in zip(names, columns, strict=True)})
+
+    schema = "query_id bigint, query_row bigint, vec_id bigint, row bigint, score double"
+    found = candidates.groupBy("group", "call").cogroup(queries.groupBy("group", "call")).applyInArrow(match, schema)
+    best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,7 +1,8 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-The log-probability matrix (classes x buckets, bounded by ``MATRIX_BYTES``) is broadcast; every batch of
-texts is scored as a sparse product with it, so the work is one scan without a shuffle. Documents are counted by
+The log-probability matrix (buckets x languages) is broadcast; every batch of texts is scored as a sparse product
+with it, so the work is one scan without a shuffle. The number of buckets is fixed. Beyond ``TOGETHER`` languages the
+matrix is cut by languages, and a scan for each part carries the best language and the sum of the likelihoods on. Documents are counted by
 language over all data: the counts give the priors, and the sample that is learned from takes rare languages whole
 and as many documents of each frequent one as its bound leaves.
 
@@ -15,12 +16,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import append_columns, held_out, summed_vectors
+from millrace.llm.common import Scratch, append_columns, held_out, summed_vectors
 from millrace.llm.textvec import folded, grams
 
 UNKNOWN = "und"
@@ -28,8 +28,8 @@ ORDERS = (1, 2, 3)
 FOLDS, FOLD = 3, 1
 TRAIN_ROWS = 20_000  # bound of the sample that is learned from
 LEAST_ROWS = 16  # of each language that has them, also where TRAIN_ROWS would leave fewer
-MATRIX_BYTES = 64 << 20  # bound of the broadcast matrix: with many languages the buckets get fewer
-LEAST_BITS = 8
+BITS = 16
+TOGETHER = 256  # languages of one broadcast matrix, of 64 MB
 
 
 @dataclass(frozen=True)
@@ -37,7 +37,9 @@ class LanguageModel:
     languages: tuple[str, ...]
     log_prob: np.ndarray  # buckets x languages, float32
     log_prior: np.ndarray
-    bits: int
+
+    def part(self, languages: slice) -> "LanguageModel":
+        return LanguageModel(self.languages[languages], np.ascontiguousarray(self.log_prob[:, languages]), self.log_prior[languages])
 
 
 def quota(counts: list[int], rows: int) -> int:
@@ -65,14 +67,10 @@ def train(documents: DataFrame, rows: int = TRAIN_ROWS, smoothing: float = 0.5,
     known = documents.where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), FOLDS, FOLD)
     ).select("doc_id", "lang", "text")
-    most = MATRIX_BYTES // (4 << LEAST_BITS)  # languages that the matrix has room for
-    counted = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most)
-    known_counts = {r["lang"]: r["n"] for r in counted.collect()}
+    counted = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    known_counts = {r["lang"]: r["n"] for r in counted.collect()}  # a row for each language
     languages = tuple(sorted(known_counts))
     sample = sample_by_language(known, known_counts, rows, seed)
-    bits = 16
-    while bits > LEAST_BITS and (len(languages) << bits) * 4 > MATRIX_BYTES:
-        bits -= 1
 
     def count(batches):
         out: dict[str, np.ndarray] = {}
@@ -80,25 +78,25 @@ def train(documents: DataFrame, rows: int = TRAIN_ROWS, smoothing: float = 0.5,
             langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             index = {k: i for i, k in enumerate(dict.fromkeys(langs))}
             of = np.array([index[k] for k in langs], np.int64)
-            counts = np.zeros((len(index), 1 << bits))
+            counts = np.zeros((len(index), 1 << BITS))
             for row, chars in folded(texts):
                 for n in ORDERS:
-                    r, b = grams(row, chars, n, bits)
-                    counts += np.bincount((of[r] << bits) + b, minlength=counts.size).reshape(counts.shape)
+                    r, b = grams(row, chars, n, BITS)
+                    counts += np.bincount((of[r] << BITS) + b, minlength=counts.size).reshape(counts.shape)
             for k, i in index.items():
                 out[k] = out[k] + counts[i] if k in out else counts[i]
         return out
 
-    sums = summed_vectors(sample, ["lang", "text"], count, 1 << bits) if languages else {}
+    sums = summed_vectors(sample, ["lang", "text"], count, 1 << BITS) if languages else {}
     languages = tuple(k for k in languages if k in sums)
-    counts = np.array([sums[k] for k in languages]).reshape(len(languages), 1 << bits) + smoothing
+    counts = np.array([sums[k] for k in languages]).reshape(len(languages), 1 << BITS) + smoothing
     docs = np.array([known_counts[k] for k in languages]) + 1.0
     log_prob = np.log(counts) - np.log(counts.sum(axis=1, keepdims=True))
-    return LanguageModel(languages, np.ascontiguousarray(log_prob.T, dtype=np.float32), np.log(docs / max(docs.sum(), 1)), bits)
+    return LanguageModel(languages, np.ascontiguousarray(log_prob.T, dtype=np.float32), np.log(docs / max(docs.sum(), 1)))
 
 
-def score_texts(model: LanguageModel, texts: list[str | None]) -> list:
-    """[languages, posterior probabilities] of a batch of texts."""
+def log_likelihoods(model: LanguageModel, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(texts x languages, which texts have a letter)."""
     n, k = len(texts), len(model.languages)
     total = np.tile(model.log_prior, (n, 1))
     letters = np.zeros(n, bool)
@@ -106,23 +104,48 @@ def score_texts(model: LanguageModel, texts: list[str | None]) -> list:
         letters[row[chars != 32]] = True
         low, high = int(row[0]), int(row[-1]) + 1
         for order in ORDERS:
-            r, b = grams(row, chars, order, model.bits)
+            r, b = grams(row, chars, order, BITS)
             values = model.log_prob[b]
             for j in range(k):
                 total[low:high, j] += np.bincount(r - low, weights=values[:, j], minlength=high - low)
-    if not k:
-        return [[UNKNOWN] * n, np.zeros(n)]
-    best = total.argmax(axis=1)
-    posterior = 1.0 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+    return total, letters
+
+
+def score_texts(model: LanguageModel, texts: list[str | None]) -> list:
+    """[languages, log-likelihoods of them, and of all languages] of a batch of texts; ``und`` for those without a letter."""
+    n = len(texts)
+    if not model.languages:
+        return [[UNKNOWN] * n, np.zeros(n), np.zeros(n)]
+    total, letters = log_likelihoods(model, texts)
+    best, top = total.argmax(axis=1), total.max(axis=1)
     names = [model.languages[i] if ok else UNKNOWN for i, ok in zip(best, letters, strict=True)]
-    return [names, np.where(letters, posterior, 0.0)]
+    return [names, top, top + np.log(np.exp(total - top[:, None]).sum(axis=1))]
+
+
+_TOLD = [T.StructField("__name", T.StringType()), T.StructField("__top", T.DoubleType()), T.StructField("__all", T.DoubleType())]
 
 
 def predict(documents: DataFrame, model: LanguageModel, keep: list[str] | None = None) -> DataFrame:
-    """``documents`` with ``lang_pred`` and ``score``."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
-    fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
-    return append_columns(documents, "text", fields, lambda texts: score_texts(shared.value, texts), keep)
+    """``documents`` with ``lang_pred`` and ``score``, the posterior probability."""
+    spark = documents.sparkSession
+    columns = [c for c in (keep or documents.columns) if c not in ("lang_pred", "score")]
+    cuts = [slice(a, a + TOGETHER) for a in range(0, max(len(model.languages), 1), TOGETHER)]
+    out, scratch = documents.withColumn("__words", F.col("text")), Scratch(spark)
+    for i, cut in enumerate(cuts):
+        shared = spark.sparkContext.broadcast(model.part(cut))
+        before = [F.col(f.name).alias(f"__old{f.name}") for f in _TOLD] if i else []
+        kept = [*columns, *(["__words"] if i + 1 < len(cuts) else []), *(f"__old{f.name}" for f in _TOLD if i)]
+        source = out.select("*", *before) if i else out
+        out = append_columns(source, "__words", _TOLD, lambda texts, shared=shared: score_texts(shared.value, texts), kept)
+        if i:
+            better = F.col("__top") > F.col("__old__top")
+            high, low = F.greatest("__all", "__old__all"), F.least("__all", "__old__all")
+            merged = [F.when(better, F.col("__name")).otherwise(F.col("__old__name")), F.greatest("__top", "__old__top"), high + F.log1p(F.exp(low - high))]
+            out = out.select(*[c for c in kept if not c.startswith("__old")], *(m.alias(f.name) for m, f in zip(merged, _TOLD, strict=True)))
+        if i + 1 < len(cuts):
+            out = scratch.save(out, f"languages{i}")
+    score = F.when(F.col("__name") == UNKNOWN, 0.0).otherwise(F.exp(F.col("__top") - F.col("__all")))
+    return out.select(*columns, F.col("__name").alias("lang_pred"), score.alias("score"))
 
 
 def identify(documents: DataFrame, **options) -> DataFrame:

@@ -1,11 +1,13 @@
 """License scan: exact phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block is a line. A template is found in a block when at least ``LEAST`` of its distinct words are in it. Words are
-put in a global order, rarest first over all documents; a block that holds enough of a template must hold a word
-of its prefix (the first size - needed + 1 words), so blocks and prefixes are joined on words. Pairs that can't
-reach the number needed, by the block's length or by what is left after the first common word's places, are dropped;
-the rest is verified on the whole sets. DataFrame functions only; the template tables are the only broadcasts,
-they have a fixed number of rows.
+A block is a window of ``SPAN`` consecutive words, whatever lines they are on; a window begins every ``STEP`` words, so
+any ``SPAN - STEP`` neighbouring words, more than a template has, are in one block. A template is found in a block
+when at least ``LEAST`` of its distinct words are in it. Words are put in a global order, rarest first over all
+documents; a block that holds enough of a template must hold a word of its prefix (the first size - needed + 1 words),
+so blocks and prefixes are joined on words. Pairs that can't reach the number needed, by the block's length or by
+what is left after the first common word's places, are dropped; the rest is verified on the whole sets. A label is
+given where a found block also holds the words that name the template. DataFrame functions only; the template tables
+are broadcast up to ``SMALL`` rows.
 
 Defined cases: null text is empty (no words, no labels, score 0); repeated rows are scanned each; empty tables give
 empty results; a null doc_id stays null; other columns are not read.
@@ -25,29 +27,32 @@ PHRASES = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
-# Notices in common use, with a label each.
+# Notices in common use, with a label each and the words that name what it stands for.
 TEMPLATES = (
-    ("gpl", "this work is licensed under the gnu general public license version 3"),
-    ("gpl", "redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    ("lgpl", "this library is free software under the terms of the gnu lesser general public license"),
-    ("apache", "licensed under the apache license version 2 0"),
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license"),
-    ("cc-by", "this work may be copied under a creative commons attribution licence"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license"),
-    ("cc0", "released into the public domain under cc0"),
-    ("all-rights-reserved", "all rights reserved"),
+    ("gpl", "this work is licensed under the gnu general public license version 3", "gnu general"),
+    ("gpl", "redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "gnu general"),
+    ("lgpl", "this library is free software under the terms of the gnu lesser general public license", "gnu lesser"),
+    ("apache", "licensed under the apache license version 2 0", "apache"),
+    ("mit", "released under the mit license", "mit"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission granted"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution permitted"),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license", "mozilla"),
+    ("cc-by", "this work may be copied under a creative commons attribution licence", "creative commons"),
+    ("cc-by-nc", "licensed under cc by nc 4 0", "cc nc"),
+    ("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license", "creative commons sharealike"),
+    ("cc0", "released into the public domain under cc0", "public domain"),
+    ("all-rights-reserved", "all rights reserved", "rights reserved"),
 )
 LEAST = 0.8
+SPAN, STEP = 48, 24  # words of a block, and from one block to the next
+SMALL = 10_000
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 
 def words(text: Column) -> Column:
     """Runs of digits, lower-case letters and characters beyond ASCII, after lower-casing."""
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS), "")
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower()), SEPARATORS), "")
 
 
 def _let(value: Column, body) -> Column:
@@ -89,32 +94,34 @@ def scan_phrases(text: Column) -> Column:
 def _template_tables(documents: DataFrame, templates, least: float) -> tuple[DataFrame, DataFrame, list[str]]:
     """(prefix words with their template and place, templates with their words, words that start a prefix)."""
     spark = documents.sparkSession
-    vocabulary = sorted({w for _, t in templates for w in t.split()})
+    vocabulary = sorted({w for _, *t in templates for part in t for w in part.split()})
     known = F.array(*map(F.lit, vocabulary))
     counts = documents.select(F.explode(F.array_intersect(words(F.col("text")), known)).alias("word")).groupBy("word").count()
     frequency = {r["word"]: r["count"] for r in counts.collect()}  # a row for each word of the templates at most
     order = sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w))
     rank = {w: i for i, w in enumerate(order)}
     prefixes, whole = [], []
-    for i, (label, text) in enumerate(templates):
+    for i, (label, text, naming) in enumerate(templates):
         ranks = sorted({rank[w] for w in text.split()})
         needed = max(1, math.ceil(least * len(ranks) - 1e-9))
-        whole.append((i, label, ranks, len(ranks), needed))
+        whole.append((i, label, ranks, sorted({rank[w] for w in naming.split()})))
         prefixes += [(ranks[j], i, j, len(ranks), needed) for j in range(len(ranks) - needed + 1)]
     prefix = spark.createDataFrame(prefixes, "rank int, template int, place int, size int, needed int")
-    full = spark.createDataFrame(whole, "template int, label string, ranks array<int>, size int, needed int")
-    return F.broadcast(prefix), F.broadcast(full.drop("size", "needed")), order
+    full = spark.createDataFrame(whole, "template int, label string, ranks array<int>, naming array<int>")
+    few = len(prefixes) <= SMALL
+    return (F.broadcast(prefix) if few else prefix), (F.broadcast(full) if few else full), order
 
 
 def similar_blocks(documents: DataFrame, templates=TEMPLATES, least: float = LEAST) -> DataFrame:
-    """(doc_id, text_hash, block, template, label, containment): every block and template that meet the threshold."""
+    """(doc_id, text_hash, block, template, label, containment, named): every block and template that meet the threshold, and whether the naming words are there."""
     prefix, full, order = _template_tables(documents, templates, least)
     starts = {r for r in _prefix_ranks(templates, order, least)}
     rare = F.array(*(F.lit(order[r]) for r in sorted(starts)))
     ranks = F.create_map(*(F.lit(x) for i, w in enumerate(order) for x in (w, i)))
-    held = documents.where(F.arrays_overlap(words(F.col("text")), rare))
-    lines = held.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("block", "line"))
-    sets = lines.select("doc_id", "text_hash", "block", F.array_distinct(words(F.col("line"))).alias("words"))
+    w = words(F.col("text"))
+    held = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), w.alias("w")).where(F.arrays_overlap("w", rare))
+    windows = F.transform(F.sequence(F.lit(0), F.size("w") - 1, F.lit(STEP)), lambda i: F.array_distinct(F.slice(F.col("w"), i + 1, F.lit(SPAN))))
+    sets = held.select("doc_id", "text_hash", F.posexplode(windows).alias("block", "words"))
     sets = sets.where(F.arrays_overlap("words", rare)).select(
         "doc_id", "text_hash", "block", F.size("words").alias("length"),
         F.array_sort(F.filter(F.transform("words", lambda w: F.element_at(ranks, w)), lambda r: r.isNotNull())).alias("own"),
@@ -125,13 +132,13 @@ def similar_blocks(documents: DataFrame, templates=TEMPLATES, least: float = LEA
     )
     near = near.dropDuplicates(["doc_id", "text_hash", "block", "template"]).join(full, "template")
     common = F.size(F.array_intersect("own", "ranks"))
-    return near.where(common >= F.col("needed")).select("doc_id", "text_hash", "block", "template", "label", (common / F.col("size")).alias("containment"))
+    return near.where(common >= F.col("needed")).select("doc_id", "text_hash", "block", "template", "label", (common / F.col("size")).alias("containment"), (F.size(F.array_intersect("own", "naming")) == F.size("naming")).alias("named"))
 
 
 def _prefix_ranks(templates, order: list[str], least: float) -> set[int]:
     rank = {w: i for i, w in enumerate(order)}
     found: set[int] = set()
-    for _, text in templates:
+    for _, text, _ in templates:
         ranks = sorted({rank[w] for w in text.split()})
         found.update(ranks[: len(ranks) - max(1, math.ceil(least * len(ranks) - 1e-9)) + 1])
     return found
@@ -140,7 +147,7 @@ def _prefix_ranks(templates, order: list[str], least: float) -> set[int]:
 def scan(documents: DataFrame, templates=TEMPLATES, least: float = LEAST) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) of every document."""
     documents = documents.select("doc_id", "text")
-    matched = similar_blocks(documents, templates, least).groupBy(F.col("doc_id").alias("__id"), "text_hash")
+    matched = similar_blocks(documents, templates, least).where("named").groupBy(F.col("doc_id").alias("__id"), "text_hash")
     matched = matched.agg(F.collect_set("label").alias("found"), F.max("containment").alias("containment"))
     base = documents.select("doc_id", F.xxhash64("text").alias("__hash"), scan_phrases(F.col("text")).alias("s"))
     out = base.join(matched, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("text_hash")), "left")

@@ -28,15 +28,16 @@ def _license_sql() -> str:
         "list_filter(range(len(w)), lambda i: " + " AND ".join(f"w[i + {k + 1}] = '{word}'" for k, word in enumerate(phrase.split())) + ")" for phrase in license_join.PHRASES
     )
     labels = ", ".join(f"'{v}'" for v in license_join.PHRASES.values())
-    templates = ", ".join(f"('{label}', '{text}')" for label, text in license_join.TEMPLATES)
+    templates = ", ".join(f"('{label}', '{text}', '{naming}')" for label, text, naming in license_join.TEMPLATES)
     return f"""
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
 w AS (SELECT doc_id, low, regexp_extract_all(low, {pattern}) AS w FROM d),
 s AS (SELECT doc_id, len(w) AS n_words, [{starts}] AS s FROM w),
 b AS (SELECT doc_id, n_words, flatten(s) AS places, list_sort(list_distinct(list_filter(list_transform(range(len(s)), lambda k: CASE WHEN len(s[k + 1]) > 0 THEN [{labels}][k + 1] END), lambda x: x IS NOT NULL))) AS base FROM s),
-t AS (SELECT label, list_distinct(string_split(text, ' ')) AS words FROM (VALUES {templates}) AS v(label, text)),
-l AS (SELECT DISTINCT doc_id, list_distinct(regexp_extract_all(line, {pattern})) AS own FROM (SELECT doc_id, unnest(string_split(low, chr(10))) AS line FROM d)),
-m AS (SELECT doc_id, label, len(list_intersect(own, words)) / len(words) AS held FROM l JOIN t ON list_has_any(own, words)),
+t AS (SELECT label, list_distinct(string_split(text, ' ')) AS words, string_split(naming, ' ') AS naming FROM (VALUES {templates}) AS v(label, text, naming)),
+o AS (SELECT doc_id, w, unnest(range(0, len(w), {license_join.STEP})) AS o FROM w),
+l AS (SELECT doc_id, list_distinct(w[o + 1 : o + {license_join.SPAN}]) AS own FROM o),
+m AS (SELECT doc_id, label, len(list_intersect(own, words)) / len(words) AS held FROM l JOIN t ON list_has_all(own, naming)),
 f AS (SELECT doc_id, list(DISTINCT label) AS found, max(held) AS held FROM m WHERE held >= {license_join.LEAST} - 1e-9 GROUP BY doc_id)
 SELECT b.doc_id, n_words::BIGINT AS n_words, len(places)::BIGINT AS n_base, list_min(places)::BIGINT AS first_word, list_max(places)::BIGINT AS last_word,
   array_to_string(base, ',') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(base, coalesce(found, [])))), ',') AS labels,

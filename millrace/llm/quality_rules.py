@@ -24,7 +24,7 @@ from millrace.llm.common import Scratch, bounded_sample
 SPACE = "[\\x20\\x09-\\x0D]"
 TRAIN_ROWS = 12_000  # bound of the labelled sample
 BINS = 32
-RULES, CONDITIONS = 8, 3
+CONDITIONS = 3  # of a rule at most, so that it can be read
 PRECISE = 0.95  # share of low quality among what a rule covers, on rows that it was not grown on
 FEATURES = ("n_words", "mean_word", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "exclaim_share")
 
@@ -142,8 +142,11 @@ def _best(rows: DataFrame, cuts: dict[str, list[float]], low: int, other: int) -
     return best
 
 
-def learn(documents: DataFrame, labels: DataFrame, column: str = "quality", rows: int = TRAIN_ROWS, seed: int = 3) -> list[list[Condition]]:
-    """An ordered list of rules (conjunctions) that tell low quality, from about ``rows`` labelled documents at most."""
+def learn(documents: DataFrame, labels: DataFrame, column: str = "quality", rows: int = TRAIN_ROWS, conditions: int = CONDITIONS, seed: int = 3) -> list[list[Condition]]:
+    """An ordered list of rules that tell low quality, conjunctions of at most ``conditions``, from about ``rows`` labelled documents at most.
+
+    The list ends where the next rule isn't precise, or covers fewer than three rows that it was not grown on.
+    """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(column).isin(0, 1)).groupBy("doc_id").agg(F.min(column).alias("y"))
     sample = documents.join(F.broadcast(bounded_sample(known, "doc_id", rows, seed)), "doc_id")
     scratch = Scratch(documents.sparkSession)
@@ -155,12 +158,12 @@ def learn(documents: DataFrame, labels: DataFrame, column: str = "quality", rows
     cuts = {f: sorted(set(first[2 + i])) for i, f in enumerate(FEATURES)}
     told = told.withColumn("grown", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(3)) < 2).coalesce(1)
     rules: list[list[Condition]] = []
-    while len(rules) < RULES:
+    while True:
         left = told.where(~reduce(lambda a, b: a | b, (_all(r) for r in rules), F.lit(False)))
         grow = left.where("grown")
         low, other = grow.agg(F.coalesce(F.sum("low"), F.lit(0)), F.coalesce(F.sum(1 - F.col("low")), F.lit(0))).first()
         rule: list[Condition] = []
-        while len(rule) < CONDITIONS and other and low:
+        while len(rule) < conditions and other and low:
             gain, condition, low, other = _best(grow.where(_all(rule)), cuts, low, other)
             if condition is None:
                 break

@@ -12,9 +12,11 @@ digits, most significant first, and what is alone in its group after a digit is
 4. Third pass: where several follow (the ends of repeats), every suffix of such a run gets its own digit of
    ``DEPTH`` bytes, and the groups are exactly the repeated strings.
 
-Each task removes doubles of its own block before anything is shuffled, so a passage that every document holds
-is one entry per block. Digits travel as arrays, a row for each block and bucket; buckets are cut by hash, their
-number follows the input. Documents stay in a table bucketed by block and are not shuffled again.
+Documents stand in blocks, and blocks in units of about ``UNIT_BYTES``. Each unit removes its own doubles before
+anything is shuffled, so a passage that every document holds is one entry per unit. Digits travel as arrays, a row
+for each unit and bucket, as in Spark's own shuffles a block for each map task and partition; buckets are cut by hash.
+Units stay in a table bucketed by unit: the answers come to them, and texts are not shuffled again. A text is never
+cut, so one of many times ``BLOCK_BYTES`` needs some 60 times its bytes in one worker.
 
 Hashes: the first digit's only decides what is looked at; second and third digits are compared by 64 bits within
 groups of equal first digits (96 bits and more together).
@@ -45,7 +47,8 @@ GRAM = 16
 WINDOW = DEPTH - GRAM + 1  # grams in a string
 HALF = WINDOW // 2
 BLOCK_BYTES = 4 << 20
-BUCKET_BYTES = 12 << 20  # input bytes for each bucket of digits
+UNIT_BYTES = 32 << 20
+BUCKET_BYTES = 24 << 20  # input bytes for each bucket of digits
 SPREAD = 4  # buckets for each shuffle partition at least, so that hashing spreads them evenly
 CHUNK = 1 << 19  # suffixes whose hashes are held at once
 NO_ID = np.iinfo(np.int64).max
@@ -136,13 +139,9 @@ class Block:
 class Survivors:
     """What is left of a block's runs after the first pass: entries are distinct (first, second) digits."""
 
-    def __init__(self, block: Block, buckets: int, masks: dict[int, bytes]) -> None:
+    def __init__(self, block: Block, buckets: int, alive: np.ndarray) -> None:
         digits, _, order, bounds = block.first_digits(buckets)
-        keep = np.zeros(len(digits), bool)
-        of = (digits >> np.uint64(32)).astype(np.int64)
-        for bucket, mask in masks.items():
-            lo, hi = np.searchsorted(of, (bucket, bucket + 1))
-            keep[lo:hi] = np.unpackbits(np.frombuffer(mask, np.uint8), count=hi - lo).astype(bool)
+        keep = _place(alive, digits) >= 0
         runs = np.repeat(keep, np.diff(bounds))
         self.run = order[runs]
         digit = np.repeat(digits, np.diff(bounds))[runs]
@@ -157,78 +156,93 @@ class Survivors:
         self.entry = np.cumsum(new) - 1  # of each surviving run
         self.digit, self.second, self.least = digit[begin], second[begin], ids[begin]
         self.sample = self.run[begin]
-        self.bucket = (self.digit >> np.uint64(32)).astype(np.int64)
 
-    def bounds(self, bucket: int) -> tuple[int, int]:
-        return tuple(np.searchsorted(self.bucket, (bucket, bucket + 1)))
+
+def _place(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where each wanted value stands in the sorted known ones, or -1."""
+    if not len(known):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+    return np.where(known[at] == wanted, at, -1)
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    number = TaskContext.get().partitionId() << 32
+    unit, block, filled = TaskContext.get().partitionId() << 32, 0, 0
     for batch in batches:
         size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False))
         at = 0
         while at < batch.num_rows:
             before = size[at - 1] if at else 0
             to = max(int(np.searchsorted(size, before + BLOCK_BYTES, side="right")), at + 1)
+            n = int(size[to - 1] - before)
+            if filled and filled + n > UNIT_BYTES:
+                unit, block, filled = unit + 1, 0, 0
             sink = pa.BufferOutputStream()
             part = batch.slice(at, to - at)
             with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
                 writer.write_batch(part)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([number], pa.int64()), pa.array([int(size[to - 1] - before)], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
-                names=["block", "n_bytes", "payload"],
+                [pa.array([unit], pa.int64()), pa.array([block], pa.int32()), pa.array([n], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
+                names=["unit", "block", "n_bytes", "payload"],
             )
-            number, at = number + 1, to
+            block, filled, at = block + 1, filled + n, to
 
 
-def _unpack(payload: bytes) -> Block:
-    batches = list(pa.ipc.open_stream(payload))
-    return Block(batches[0])
+def _blocks(unit: pa.Table) -> Iterator[Block]:
+    """The blocks of a unit in order, one at a time."""
+    unit = unit.sort_by("block")
+    for payload in unit.column("payload"):
+        yield Block(pa.ipc.open_stream(payload.as_buffer()).read_next_batch())
 
 
-def _bucket_rows(names: list[str], buckets: np.ndarray, block: int, columns) -> Iterator[pa.RecordBatch]:
-    """A row for each bucket that occurs; ``columns`` gives the binary values of a range of entries."""
+def _by_bucket(unit: int, buckets: np.ndarray, columns: dict[str, np.ndarray], lists: dict[str, tuple[np.ndarray, np.ndarray]] = {}) -> pa.Table:  # noqa: B006
+    """A row for each bucket that occurs in the sorted ``buckets``, with the entries' values as bytes. ``lists``: edges and values of several for an entry."""
     present, begin = np.unique(buckets, return_index=True)
-    bounds = np.append(begin, len(buckets))
-    for at in range(0, len(present), 256):
-        rows = [columns(int(a), int(b)) for a, b in zip(bounds[at : at + 256], bounds[at + 1 : at + 257], strict=False)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(present[at : at + 256], pa.int64()), pa.array([block] * len(rows), pa.int64()), *(pa.array(c, pa.binary()) for c in zip(*rows, strict=True))],
-            names=["bucket", "block", *names],
-        )
+    bounds = list(zip(begin.tolist(), np.append(begin, len(buckets))[1:].tolist(), strict=True))
+    out = {"bucket": pa.array(present, pa.int64()), "unit": pa.array([unit] * len(present), pa.int64())}
+    for name, values in columns.items():
+        out[name] = pa.array([values[a:b].tobytes() for a, b in bounds], pa.binary())
+    for name, (edge, values) in lists.items():
+        out[name] = pa.array([values[edge[a] : edge[b]].tobytes() for a, b in bounds], pa.binary())
+    return pa.table(out)
+
 
+REPLY = "unit bigint, kind int, bucket bigint, x binary, y binary, z binary"
+ALIVE, FOUND, WINDOWS = 1, 2, 3  # kinds of replies
 
-def _reply(names: list[str], rows: list[tuple]) -> pa.Table:
-    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in range(len(names) + 2)]
-    return pa.table([pa.array(c, pa.int64() if i < 2 else pa.binary()) for i, c in enumerate(columns)], names=["block", "bucket", *names])
+
+def _reply(kind: int, rows: list[tuple]) -> pa.Table:
+    """rows: (unit, bucket, up to three arrays)."""
+    columns = {"unit": [r[0] for r in rows], "kind": [kind] * len(rows), "bucket": [r[1] for r in rows]}
+    values = {c: [r[2 + k].tobytes() if k < len(r) - 2 else None for r in rows] for k, c in enumerate("xyz")}
+    return pa.table({c: pa.array(v, t) for (c, v), t in zip({**columns, **values}.items(), (pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 3), strict=True)})
 
 
 def _gathered(group: pa.Table) -> tuple[int, list[int], list[list[bytes]]]:
-    rows = group.sort_by("block")
-    return rows.column("bucket")[0].as_py(), rows.column("block").to_pylist(), [rows.column(c).to_pylist() for c in rows.column_names[2:]]
+    rows = group.sort_by("unit")
+    return rows.column("bucket")[0].as_py(), rows.column("unit").to_pylist(), [rows.column(c).to_pylist() for c in rows.column_names[2:]]
 
 
 def _first_reduce(group: pa.Table) -> pa.Table:
-    bucket, blocks, (digits, several) = _gathered(group)
+    """Digits of each unit that several documents have."""
+    bucket, units, (digits, several) = _gathered(group)
     arrays = [np.frombuffer(d, np.uint32) for d in digits]
-    sizes = [len(a) for a in arrays]
     _, inverse, counts = np.unique(np.concatenate(arrays), return_inverse=True, return_counts=True)
-    flags = np.concatenate([np.unpackbits(np.frombuffer(s, np.uint8), count=n) for s, n in zip(several, sizes, strict=True)])
-    repeated = (counts > 1) | (np.bincount(inverse, weights=flags, minlength=len(counts)) > 0)
+    flags = np.concatenate([np.frombuffer(s, bool) for s in several])
+    repeated = ((counts > 1) | (np.bincount(inverse, weights=flags, minlength=len(counts)) > 0))[inverse]
     rows, at = [], 0
-    for block, n in zip(blocks, sizes, strict=True):
-        mask = repeated[inverse[at : at + n]]
-        at += n
+    for unit, d in zip(units, arrays, strict=True):
+        mask = repeated[at : at + len(d)]
+        at += len(d)
         if mask.any():
-            rows.append((block, bucket, np.packbits(mask).tobytes()))
-    return _reply(["mask"], rows)
+            rows.append((unit, bucket, d[mask]))
+    return _reply(ALIVE, rows)
 
 
 def _second_reduce(group: pa.Table) -> pa.Table:
-    bucket, blocks, (digits, seconds, ids) = _gathered(group)
+    """Second digits of each unit that a smaller doc_id has too, or that stand with others under one first digit."""
+    bucket, units, (digits, seconds, ids) = _gathered(group)
     arrays = [np.frombuffer(d, np.uint32) for d in digits]
-    sizes = [len(a) for a in arrays]
     digit, second = np.concatenate(arrays), np.concatenate([np.frombuffer(s, np.uint64) for s in seconds])
     doc = np.concatenate([np.frombuffer(i, np.int64) for i in ids])
     order = np.lexsort((doc, second, digit))
@@ -242,18 +256,19 @@ def _second_reduce(group: pa.Table) -> pa.Table:
     of = np.cumsum(new_d) - 1
     mixed = np.empty(len(d), bool)
     mixed[order] = (np.bincount(of, weights=new) > 1)[of]
+    told = mixed | (least < doc)
     rows, at = [], 0
-    for block, n in zip(blocks, sizes, strict=True):
-        here = slice(at, at + n)
-        at += n
-        index = np.flatnonzero(least[here] < doc[here])
-        if len(index) or mixed[here].any():
-            rows.append((block, bucket, index.astype(np.uint32).tobytes(), least[here][index].tobytes(), np.packbits(mixed[here]).tobytes()))
-    return _reply(["index", "least", "mixed"], rows)
+    for unit, part in zip(units, arrays, strict=True):
+        here = at + np.flatnonzero(told[at : at + len(part)])
+        at += len(part)
+        if len(here):
+            rows.append((unit, bucket, second[here], least[here], mixed[here]))
+    return _reply(FOUND, rows)
 
 
 def _third_reduce(group: pa.Table) -> pa.Table:
-    bucket, blocks, (seconds, ids, counts, windows) = _gathered(group)
+    """For each suffix of the runs that a unit asks about, the smallest doc_id that has its string."""
+    bucket, units, (seconds, ids, counts, windows) = _gathered(group)
     ask = [np.frombuffer(s, np.uint64) for s in seconds]
     count = [np.frombuffer(c, np.uint8).astype(np.int64) for c in counts]
     doc = np.concatenate([np.repeat(np.frombuffer(i, np.int64), c) for i, c in zip(ids, count, strict=True)])
@@ -267,85 +282,122 @@ def _third_reduce(group: pa.Table) -> pa.Table:
     published = np.flatnonzero(all_count)
     known, where = np.unique(all_ask[published], return_index=True)
     rows = []
-    for block, s in zip(blocks, ask, strict=True):
+    for unit, s in zip(units, ask, strict=True):
         source = published[where[np.searchsorted(known, s)]]
         n = all_count[source]
         take = np.repeat(begin[source] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        rows.append((block, bucket, value[take].tobytes()))
-    return _reply(["window_least"], rows)
+        rows.append((unit, bucket, s, n.astype(np.uint8), value[take]))
+    return _reply(WINDOWS, rows)
+
+
+class Answers:
+    """What the replies of all passes so far say about a unit."""
+
+    def __init__(self, replies: pa.Table) -> None:
+        kinds = replies.column("kind").to_numpy() if replies.num_rows else np.zeros(0, np.int32)
+
+        def of(kind: int, column: str, dtype: type) -> list[np.ndarray]:
+            return [np.frombuffer(replies.column(column)[int(i)].as_buffer(), dtype) for i in np.flatnonzero(kinds == kind)]
+
+        def joined(parts: list[np.ndarray], dtype: type) -> np.ndarray:
+            return np.concatenate(parts) if parts else np.zeros(0, dtype)
+
+        buckets = replies.column("bucket").to_numpy()[kinds == ALIVE] if replies.num_rows else np.zeros(0, np.int64)
+        digits = of(ALIVE, "x", np.uint32)
+        self.alive = np.unique(joined([(np.uint64(b) << np.uint64(32)) | d.astype(np.uint64) for b, d in zip(buckets, digits, strict=True)], np.uint64))
+        seconds = joined(of(FOUND, "x", np.uint64), np.uint64)
+        self.seconds, at = np.unique(seconds, return_index=True)
+        self.least, self.mixed = joined(of(FOUND, "y", np.int64), np.int64)[at], joined(of(FOUND, "z", bool), bool)[at]
+        asked, counts = joined(of(WINDOWS, "x", np.uint64), np.uint64), joined(of(WINDOWS, "y", np.uint8), np.uint8).astype(np.int64)
+        self.windows = joined(of(WINDOWS, "z", np.int64), np.int64)
+        self.asked, at = np.unique(asked, return_index=True)
+        self.window_begin = (np.cumsum(counts) - counts)[at]
+
+    def resolved(self, s: Survivors) -> tuple[np.ndarray, np.ndarray]:
+        """Smallest doc_id of each entry, and whether its first digit has several second ones."""
+        at = _place(self.seconds, s.second)
+        if not len(self.seconds):
+            return s.least, np.zeros(len(s.least), bool)
+        return np.where(at >= 0, self.least[at], s.least), (at >= 0) & self.mixed[at]
+
+
+def _first(unit: pa.Table, buckets: int) -> pa.Table:
+    found = [b.first_digits(buckets)[:2] for b in _blocks(unit)]
+    digits, several = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+    order = np.argsort(digits, kind="stable")
+    digits, several = digits[order], several[order]
+    begin = np.flatnonzero(np.concatenate([[True], digits[1:] != digits[:-1]])) if len(digits) else np.zeros(0, np.int64)
+    if len(digits):
+        several = np.logical_or.reduceat(several, begin) | (np.diff(np.append(begin, len(digits))) > 1)
+    digits = digits[begin]
+    return _by_bucket(unit.column("unit")[0].as_py(), digits >> np.uint64(32), {"digits": digits.astype(np.uint32), "several": several})
+
+
+def _second(unit: pa.Table, replies: pa.Table, buckets: int) -> pa.Table:
+    answers = Answers(replies)
+    found = [(s.digit, s.second, s.least) for b in _blocks(unit) for s in [Survivors(b, buckets, answers.alive)]]
+    digit, second, least = (np.concatenate([f[i] for f in found]) for i in range(3))
+    order = np.lexsort((least, second, digit))
+    digit, second, least = digit[order], second[order], least[order]
+    new = np.ones(len(digit), bool)
+    new[1:] = (digit[1:] != digit[:-1]) | (second[1:] != second[:-1])
+    digit, second, least = digit[new], second[new], least[new]
+    return _by_bucket(unit.column("unit")[0].as_py(), digit >> np.uint64(32), {"digits": digit.astype(np.uint32), "seconds": second, "ids": least})
+
+
+def _third(unit: pa.Table, replies: pa.Table, buckets: int) -> pa.Table:
+    answers = Answers(replies)
+    found = []
+    for b in _blocks(unit):
+        s = Survivors(b, buckets, answers.alive)
+        least, mixed = answers.resolved(s)
+        at = np.flatnonzero(mixed)
+        run = s.sample[at]
+        count = np.where(least[at] == s.least[at], b.count[run], 0)  # the smallest document publishes
+        edge = np.append(0, np.cumsum(count))
+        start = np.repeat(b.first[run] - edge[:-1], count) + np.arange(edge[-1])
+        found.append((s.digit[at] >> np.uint64(32), s.second[at], s.least[at], count, b.hash(start, DEPTH, 7)))
+    bucket, second, least, count, window = (np.concatenate([f[i] for f in found]) for i in range(5))
+    begin = np.cumsum(count) - count
+    order = np.lexsort((-count, second, bucket))
+    keep = order[np.concatenate([[True], second[order][1:] != second[order][:-1]])] if len(order) else order
+    n = count[keep]
+    edge = np.append(0, np.cumsum(n))
+    window = window[np.repeat(begin[keep] - edge[:-1], n) + np.arange(edge[-1])]
+    columns = {"seconds": second[keep], "ids": least[keep], "counts": n.astype(np.uint8)}
+    return _by_bucket(unit.column("unit")[0].as_py(), bucket[keep], columns, {"windows": (edge, window)})
 
 
 class Finder:
-    """The three passes over a table of blocks; ``answers`` holds what each block must know to cut its texts."""
+    """The three passes over a table of units; ``answers`` holds what each unit must know to cut its texts."""
 
     def __init__(self, documents: DataFrame, keep: list[str]) -> None:
         self.spark = spark = documents.sparkSession
         self.scratch = Scratch(spark)
         self.schema = T.StructType([documents.schema[c] for c in keep])
         self.parts = shuffle_partitions(spark)
-        self.table = f"millrace_{uuid.uuid4().hex}"
         columns = [F.col("doc_id").cast("bigint").alias("__id"), *(F.col(c) for c in keep if c != "text"), F.coalesce("text", F.lit("")).alias("text")]
-        packed = documents.select(*columns).mapInArrow(_pack, "block bigint, n_bytes bigint, payload binary")
-        packed.write.bucketBy(self.parts, "block").format("parquet").option("compression", "none").option("path", self.scratch.path("blocks")).saveAsTable(self.table)
-        self.blocks = spark.table(self.table)
-        total = self.blocks.agg(F.sum("n_bytes")).first()[0] or 0
+        packed = documents.select(*columns).mapInArrow(_pack, "unit bigint, block int, n_bytes bigint, payload binary").repartition(self.parts, "unit")
+        name = f"millrace_{uuid.uuid4().hex}"
+        writer = packed.write.bucketBy(self.parts, "unit").sortBy("unit").format("parquet")
+        writer.option("compression", "none").option("path", self.scratch.path("units")).saveAsTable(name)
+        self.units = spark.table(name)
+        total = self.units.agg(F.sum("n_bytes")).first()[0] or 0
+        spark.sql(f"DROP TABLE {name}")  # the files stay in the scratch folder, and the plan knows them
         self.buckets = max(SPREAD * self.parts, int(total // BUCKET_BYTES) + 1)
 
-    def _by_block(self, replies: DataFrame, names: list[str], column: str) -> DataFrame:
-        return replies.groupBy("block").agg(F.collect_list(F.struct("bucket", *names)).alias(column))
+    def _with_units(self, replies: DataFrame, run, schema: str) -> DataFrame:
+        return self.units.groupBy("unit").cogroup(replies.groupBy("unit")).applyInArrow(run, schema)
 
     def answers(self) -> DataFrame:
         n = self.buckets
-
-        def first(batches):
-            for block, payload in _rows(batches, "block", "payload"):
-                digits, several, _, _ = _unpack(payload).first_digits(n)
-                low = digits.astype(np.uint32)
-                yield from _bucket_rows(
-                    ["digits", "several"], digits >> np.uint64(32), block, lambda a, b, low=low, several=several: (low[a:b].tobytes(), np.packbits(several[a:b]).tobytes())
-                )
-
-        sent = self.blocks.mapInArrow(first, "bucket bigint, block bigint, digits binary, several binary")
-        masks = sent.groupBy("bucket").applyInArrow(_first_reduce, "block bigint, bucket bigint, mask binary")
-        masks = self.scratch.save(self._by_block(masks, ["mask"], "masks"), "first")
-
-        def second(batches):
-            for block, payload, masks in _rows(batches, "block", "payload", "masks"):
-                s = Survivors(_unpack(payload), n, {m["bucket"]: m["mask"] for m in masks})
-                low = s.digit.astype(np.uint32)
-                yield from _bucket_rows(
-                    ["digits", "seconds", "ids"], s.bucket, block, lambda a, b, s=s, low=low: (low[a:b].tobytes(), s.second[a:b].tobytes(), s.least[a:b].tobytes())
-                )
-
-        sent = self.blocks.join(masks, "block").mapInArrow(second, "bucket bigint, block bigint, digits binary, seconds binary, ids binary")
-        found = sent.groupBy("bucket").applyInArrow(_second_reduce, "block bigint, bucket bigint, index binary, least binary, mixed binary")
-        found = self.scratch.save(self._by_block(found, ["index", "least", "mixed"], "found"), "second")
-
-        def third(batches):
-            for block, payload, masks, found in _rows(batches, "block", "payload", "masks", "found"):
-                b = _unpack(payload)
-                s = Survivors(b, n, {m["bucket"]: m["mask"] for m in masks})
-                least, mixed = _resolved(s, found)
-                at = np.flatnonzero(mixed)
-                owns = least[at] == s.least[at]
-                run = s.sample[at]
-                count = np.where(owns, b.count[run], 0)
-                edge = np.append(0, np.cumsum(count))
-                start = np.repeat(b.first[run] - edge[:-1], count) + np.arange(edge[-1])
-                window = b.hash(start, DEPTH, 7)
-                second_, ids, c = s.second[at], s.least[at], count.astype(np.uint8)
-                yield from _bucket_rows(
-                    ["seconds", "ids", "counts", "windows"],
-                    s.bucket[at],
-                    block,
-                    lambda x, y, v=(second_, ids, c, window, edge): (v[0][x:y].tobytes(), v[1][x:y].tobytes(), v[2][x:y].tobytes(), v[3][v[4][x] : v[4][y]].tobytes()),
-                )
-
-        both = masks.join(found, "block")
-        sent = self.blocks.join(both, "block").mapInArrow(third, "bucket bigint, block bigint, seconds binary, ids binary, counts binary, windows binary")
-        windows = sent.groupBy("bucket").applyInArrow(_third_reduce, "block bigint, bucket bigint, window_least binary")
-        windows = self.scratch.save(self._by_block(windows, ["window_least"], "windows"), "third")
-        return both.join(windows, "block", "left")
+        sent = self.units.groupBy("unit").applyInArrow(lambda unit: _first(unit, n), "bucket bigint, unit bigint, digits binary, several binary")
+        replies = self.scratch.save(sent.groupBy("bucket").applyInArrow(_first_reduce, REPLY), "first")
+        sent = self._with_units(replies, lambda unit, known: _second(unit, known, n), "bucket bigint, unit bigint, digits binary, seconds binary, ids binary")
+        replies = replies.unionByName(self.scratch.save(sent.groupBy("bucket").applyInArrow(_second_reduce, REPLY), "second"))
+        schema = "bucket bigint, unit bigint, seconds binary, ids binary, counts binary, windows binary"
+        sent = self._with_units(replies, lambda unit, known: _third(unit, known, n), schema)
+        return replies.unionByName(self.scratch.save(sent.groupBy("bucket").applyInArrow(_third_reduce, REPLY), "third"))
 
     def cut(self, fields: list[T.StructField], finish) -> DataFrame:
         """The kept columns but the text, and what ``finish`` makes of (bytes of a text, removed flags, starts and ends of the spans)."""
@@ -353,10 +405,10 @@ class Finder:
         names = [f.name for f in self.schema.fields if f.name != "text"]
         schema = T.StructType([self.schema[c] for c in names] + fields)
 
-        def last(batches):
-            for payload, masks, found, windows in _rows(batches, "payload", "masks", "found", "windows"):
-                b = _unpack(payload)
-                removed = _removed(b, buckets, masks, found, windows)
+        def last(unit, replies):
+            answers, out = Answers(replies), []
+            for b in _blocks(unit):
+                removed = _removed(b, buckets, answers)
                 values = []
                 for i in range(len(b.ids)):
                     part = slice(b.starts[i], b.ends[i])
@@ -364,52 +416,33 @@ class Finder:
                     edge = np.flatnonzero(np.diff(np.concatenate([[0], flags, [0]]).astype(np.int8)))
                     values.append(finish(b.data[part], flags, edge[::2], edge[1::2]))
                 columns = [pa.array(c, _arrow(f)) for c, f in zip(zip(*values, strict=True), fields, strict=True)]
-                yield pa.RecordBatch.from_arrays([b.batch.column(1 + i) for i in range(n - 1)] + columns, names=[*names, *(f.name for f in fields)])
+                out.append(pa.RecordBatch.from_arrays([b.batch.column(1 + i) for i in range(n - 1)] + columns, names=[*names, *(f.name for f in fields)]))
+            return pa.Table.from_batches(out)
 
-        return self.blocks.join(self.answers(), "block", "left").mapInArrow(last, schema)
+        return self._with_units(self.answers(), last, schema)
 
 
 def _arrow(field: T.StructField) -> pa.DataType:
     return pa.int64() if isinstance(field.dataType, T.LongType) else pa.string()
 
 
-def _rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
-    """Single values, a row at a time: a block is large."""
-    for batch in batches:
-        columns = [batch.column(batch.schema.get_field_index(c)) for c in names]
-        for i in range(batch.num_rows):
-            yield tuple(c[i].as_py() for c in columns)
-
-
-def _resolved(s: Survivors, found: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-    """Smallest doc_id of each entry, and whether its first digit has several second ones."""
-    least, mixed = s.least.copy(), np.zeros(len(s.least), bool)
-    for f in found or ():
-        lo, hi = s.bounds(f["bucket"])
-        least[lo + np.frombuffer(f["index"], np.uint32)] = np.frombuffer(f["least"], np.int64)
-        mixed[lo:hi] = np.unpackbits(np.frombuffer(f["mixed"], np.uint8), count=hi - lo).astype(bool)
-    return least, mixed
-
-
-def _removed(b: Block, buckets: int, masks, found, windows) -> np.ndarray:
+def _removed(b: Block, buckets: int, answers: Answers) -> np.ndarray:
     """For each byte of the block whether a string that a smaller doc_id has too covers it."""
     total = int(b.ends[-1]) if len(b.ends) else 0
     starts = np.zeros(total + DEPTH + 1, np.int32)
-    if masks:
-        s = Survivors(b, buckets, {m["bucket"]: m["mask"] for m in masks})
-        least, mixed = _resolved(s, found)
+    if len(answers.alive):
+        s = Survivors(b, buckets, answers.alive)
+        least, mixed = answers.resolved(s)
         ids = b.ids[b.doc[s.run]]
         plain = ~mixed[s.entry] & (least[s.entry] < ids)
         first, count = b.first[s.run[plain]], b.count[s.run[plain]]
         where = [np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())]
         if mixed.any():
-            value = np.concatenate([np.frombuffer(w["window_least"], np.int64) for w in sorted(windows, key=lambda w: w["bucket"])])
-            n = np.where(mixed, b.count[s.sample], 0)
-            begin = np.cumsum(n) - n
+            begin = answers.window_begin[_place(answers.asked, s.second[s.entry])] if len(answers.asked) else None
             run = np.flatnonzero(mixed[s.entry])
             count = b.count[s.run[run]]
             step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            smaller = value[np.repeat(begin[s.entry[run]], count) + step] < np.repeat(ids[run], count)
+            smaller = answers.windows[np.repeat(begin[run], count) + step] < np.repeat(ids[run], count)
             where.append((np.repeat(b.first[s.run[run]], count) + step)[smaller])
         at = np.concatenate(where)
         starts[at] += 1

@@ -71,7 +71,7 @@ def statistics(text: str | None) -> tuple[int, int, int, int, int]:
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
 
 
-def licenses(text: str | None, phrases: dict[str, str], templates, least: float) -> tuple:
+def licenses(text: str | None, phrases: dict[str, str], templates, least: float, span: int, step: int) -> tuple:
     """n_words, n_base, first_word, last_word, base_labels, labels, score."""
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -84,11 +84,11 @@ def licenses(text: str | None, phrases: dict[str, str], templates, least: float)
                 starts.append(i)
                 base.add(label)
     labels, score = set(base), 1.0 if base else 0.0
-    for line in low.split("\n"):
-        own = set(re.findall(pattern, line))
-        for label, template in templates:
+    for at in range(0, len(w), step):
+        own = set(w[at : at + span])
+        for label, template, naming in templates:
             t = set(template.split())
-            if len(t & own) / len(t) >= least - 1e-9:
+            if set(naming.split()) <= own and len(t & own) / len(t) >= least - 1e-9:
                 labels.add(label)
                 score = max(score, len(t & own) / len(t))
     return len(w), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), round(score, 9)

@@ -110,11 +110,20 @@ def test_components(spark):
 
 def test_license_join(docs, texts, empty):
     got = {r["doc_id"]: (*tuple(r)[1:-1], round(r["score"], 9)) for r in license_join.scan(docs).collect()}
-    assert got == {i: brute.licenses(t, license_join.PHRASES, license_join.TEMPLATES, license_join.LEAST) for i, t in texts.items()}
+    assert got == {i: brute.licenses(t, license_join.PHRASES, license_join.TEMPLATES, license_join.LEAST, license_join.SPAN, license_join.STEP) for i, t in texts.items()}
     assert got[132][:4] == (20, 4, 6, 18)
     assert license_join.scan(empty).collect() == []
 
 
+def test_license_notices_in_lines(spark):
+    wrapped = "Redistribution and use in source and binary\nforms, with or without\n# modification, are permitted provided that"
+    other = "Licensed under the Mozilla Public License, Version 2.0"
+    far = "released " + "x " * 60 + "under the mit " + "y " * 60 + "license"
+    rows = [(1, "z " * 37 + wrapped), (2, other), (3, far), (4, "MIT K\u212aL Released Under THE\nMIT license"), (4, None), (None, wrapped)]
+    got = sorted(((r["doc_id"] or 0, r["labels"]) for r in license_join.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()))
+    assert got == [(0, "bsd"), (1, "bsd"), (2, ""), (3, ""), (4, ""), (4, "mit")]
+
+
 def test_rules(spark, docs, texts, empty):
     labels = spark.createDataFrame([(i, int(i % 5 != 2), 0) for i in range(120)], LABELS)
     got = {r["doc_id"]: r for r in quality_rules.judge(docs, labels).collect()}
@@ -373,3 +382,25 @@ def test_adaptive_scan_goes_on_to_further_lists(spark):
     for row in ann.search(df, probes=1).collect():
         got[row["query_id"]].add(row["rank"])
     assert set(got) == set(range(0, 200, 20)) and all(ranks == set(range(1, 21)) for ranks in got.values())
+
+
+def test_repeated_vectors(spark):
+    """A row is no candidate of itself; other rows with its id are, and each query row has its own result."""
+    rows = [(0, [1.0, 0.0]), (0, [0.9, 0.1]), (0, [1.0, 0.0]), (1, [0.5, 0.5]), (1, [0.5, 0.5]), (2, [0.0, 1.0])]
+    got = collections.Counter(tuple(r)[:3] for r in ann.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect())
+    expected = collections.Counter()
+    for own in (0, 1, 2):
+        scores = sorted((-sum(a * b for a, b in zip(rows[own][1], v, strict=True)), i) for k, (i, v) in enumerate(rows) if k != own)
+        expected.update((0, rank + 1, i) for rank, (_, i) in enumerate(scores))
+    assert got == expected
+
+
+def test_many_languages(spark, monkeypatch):
+    """A matrix that is cut by languages gives the same names and probabilities."""
+    said = {"en": "the cat is in the house", "fr": "le chat est dans la maison", "sv": "katten är i huset", "fi": "kissa on talossa", "de": "die katze ist im haus"}
+    df = spark.createDataFrame([(i, said[k] if i % 7 else "1 2", k) for i, k in enumerate([*said] * 12)], "doc_id bigint, text string, lang string")
+    whole = {r["doc_id"]: r for r in langid.identify(df).collect()}
+    monkeypatch.setattr(langid, "TOGETHER", 2)
+    cut = {r["doc_id"]: r for r in langid.identify(df).collect()}
+    assert all(cut[i]["lang_pred"] == r["lang_pred"] and cut[i]["score"] == pytest.approx(r["score"]) for i, r in whole.items())
+    assert all(r["lang_pred"] == ([*said][i % 5] if i % 7 else "und") for i, r in cut.items())

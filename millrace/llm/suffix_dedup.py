@@ -12,7 +12,8 @@ digits, most significant first, and what is alone in its group after a digit is
 4. Third pass: where several follow (the ends of repeats), every suffix of such a run gets its own digit of
    ``DEPTH`` bytes, and the groups are exactly the repeated strings.
 
-Documents stand in blocks, and blocks in units of about ``UNIT_BYTES``. Each unit removes its own doubles before
+Documents stand in blocks, and blocks in units: a third of what a shuffle partition would hold of the input, in the
+bounds ``UNIT_BYTES``. Each unit removes its own doubles before
 anything is shuffled, so a passage that every document holds is one entry per unit. Digits travel as arrays, a row
 for each unit and bucket, as in Spark's own shuffles a block for each map task and partition; buckets are cut by hash.
 Units stay in a table bucketed by unit: the answers come to them, and texts are not shuffled again. A text is never
@@ -46,11 +47,11 @@ DEPTH = 50
 GRAM = 16
 WINDOW = DEPTH - GRAM + 1  # grams in a string
 HALF = WINDOW // 2
-BLOCK_BYTES = 4 << 20
-UNIT_BYTES = 32 << 20
+BLOCK_BYTES = 2 << 20
+UNIT_BYTES = (2 << 20, 32 << 20)
 BUCKET_BYTES = 24 << 20  # input bytes for each bucket of digits
-SPREAD = 4  # buckets for each shuffle partition at least, so that hashing spreads them evenly
-CHUNK = 1 << 19  # suffixes whose hashes are held at once
+SPREAD = 2  # buckets for each shuffle partition at least, so that hashing spreads them evenly
+CHUNK = 1 << 18  # suffixes whose hashes are held at once
 NO_ID = np.iinfo(np.int64).max
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -166,7 +167,7 @@ def _place(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(known[at] == wanted, at, -1)
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch], unit_bytes: int) -> Iterator[pa.RecordBatch]:
     unit, block, filled = TaskContext.get().partitionId() << 32, 0, 0
     for batch in batches:
         size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False))
@@ -175,15 +176,15 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             before = size[at - 1] if at else 0
             to = max(int(np.searchsorted(size, before + BLOCK_BYTES, side="right")), at + 1)
             n = int(size[to - 1] - before)
-            if filled and filled + n > UNIT_BYTES:
+            if filled and filled + n > unit_bytes:
                 unit, block, filled = unit + 1, 0, 0
             sink = pa.BufferOutputStream()
             part = batch.slice(at, to - at)
             with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
                 writer.write_batch(part)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([unit], pa.int64()), pa.array([block], pa.int32()), pa.array([n], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
-                names=["unit", "block", "n_bytes", "payload"],
+                [pa.array([unit], pa.int64()), pa.array([block], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
+                names=["unit", "block", "payload"],
             )
             block, filled, at = block + 1, filled + n, to
 
@@ -377,14 +378,15 @@ class Finder:
         self.schema = T.StructType([documents.schema[c] for c in keep])
         self.parts = shuffle_partitions(spark)
         columns = [F.col("doc_id").cast("bigint").alias("__id"), *(F.col(c) for c in keep if c != "text"), F.coalesce("text", F.lit("")).alias("text")]
-        packed = documents.select(*columns).mapInArrow(_pack, "unit bigint, block int, n_bytes bigint, payload binary").repartition(self.parts, "unit")
+        total = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        unit_bytes = min(max(total // (3 * self.parts), UNIT_BYTES[0]), UNIT_BYTES[1])
+        self.buckets = max(SPREAD * self.parts, int(total // BUCKET_BYTES) + 1)
+        packed = documents.select(*columns).mapInArrow(lambda batches: _pack(batches, unit_bytes), "unit bigint, block int, payload binary").repartition(self.parts, "unit")
         name = f"millrace_{uuid.uuid4().hex}"
         writer = packed.write.bucketBy(self.parts, "unit").sortBy("unit").format("parquet")
         writer.option("compression", "none").option("path", self.scratch.path("units")).saveAsTable(name)
         self.units = spark.table(name)
-        total = self.units.agg(F.sum("n_bytes")).first()[0] or 0
         spark.sql(f"DROP TABLE {name}")  # the files stay in the scratch folder, and the plan knows them
-        self.buckets = max(SPREAD * self.parts, int(total // BUCKET_BYTES) + 1)
 
     def _with_units(self, replies: DataFrame, run, schema: str) -> DataFrame:
         return self.units.groupBy("unit").cogroup(replies.groupBy("unit")).applyInArrow(run, schema)

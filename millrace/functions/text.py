@@ -148,7 +148,8 @@ def clean_comment(line: Column) -> Column:
 
 
 def format_bytes(n: Column) -> Column:
-    kb, mb = n / 1024.0, n / 1048576.0
+    """Exact ties go to the even digit."""
+    kb, mb = F.bround(n / 1024.0, 1), F.bround(n / 1048576.0, 2)
     return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1048576, F.format_string("%.1f KB", kb)).otherwise(F.format_string("%.2f MB", mb))
 
 
@@ -165,8 +166,8 @@ def failure(error: Column) -> Column:
 
 
 def is_success(result: Column) -> Column:
-    """A tool result without the failure flag."""
-    return ~result.contains('"ok":false')
+    """A tool result with neither the failure flag nor the prefix of an error message (a fixed value)."""
+    return ~result.contains('"ok":false') & ~result.startswith("Ошибка")
 
 
 def first_of(json: Column, *keys: str) -> Column:

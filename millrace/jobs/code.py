@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as X
@@ -116,6 +116,31 @@ def project_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("language").agg(F.count(F.lit(1)).alias("files"), F.sum(F.coalesce("symbols", F.lit(0))).alias("symbols"))
 
 
+@JOBS.add(STATS.format("lang") + """SELECT coalesce(lang, '') AS lang, code, row_number() OVER (ORDER BY code DESC, lang NULLS LAST)::INTEGER AS place FROM s""")
+def languages_by_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages by their lines of code, most first: a row for each language is ordered."""
+    rows = C.line_stats(_docs(spark, sf_dir), "lang")
+    return rows.select(F.coalesce("lang", F.lit("")).alias("lang"), "code", F.row_number().over(Window.orderBy(F.desc("code"), F.col("lang").asc_nulls_last())).alias("place"))
+
+
+@JOBS.add(LINKS + """, f AS (SELECT page_id, page_id % 4 AS k, unnest(w) AS w FROM (SELECT page_id, list_distinct(regexp_extract_all(html, 'href="/([A-Za-z]+)"', 1)) AS w FROM pages))
+SELECT page_id, w AS name FROM f WHERE k IN (1, 2)""")
+def module_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each file offers: its distinct public symbols of the exported kinds outside all scopes."""
+    s = C.symbols(C.lines(_sources(spark, sf_dir), "page_id", "ext"))
+    return C.exported(s, "ext", "line").select("page_id", "name").distinct()
+
+
+@JOBS.add("""WITH f AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'src/m.RS' WHEN 1 THEN 'a/Makefile' WHEN 2 THEN 'b.d/conf.yaml' WHEN 3 THEN 'x/notes.txt' ELSE 'lib/v.tsx' END AS path FROM pages)
+SELECT path, path LIKE '%.RS' OR path LIKE '%.tsx' AS source, path LIKE '%Makefile' OR path LIKE '%.yaml' AS config, count(*) AS n FROM f GROUP BY ALL""")
+def file_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which files are sources and which configurations."""
+    names = F.array(*map(F.lit, ("src/m.RS", "a/Makefile", "b.d/conf.yaml", "x/notes.txt", "lib/v.tsx")))
+    rows = table(spark, sf_dir, "pages").select(F.element_at(names, (F.col("page_id") % 5 + 1).cast("int")).alias("path"))
+    rows = rows.select("path", C.is_source(F.col("path")).alias("source"), C.is_config(F.col("path")).alias("config"))
+    return rows.groupBy("path", "source", "config").agg(F.count(F.lit(1)).alias("n"))
+
+
 @JOBS.add()
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.symbols(C.lines(_sources(spark, sf_dir), "page_id", "ext")).select("page_id", "line_no", "kind", "name")

@@ -92,11 +92,11 @@ def ngram_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_key.groupBy("n").agg(F.sum("c").alias("candidates"), F.sum("o").alias("occurrences"), F.count(F.lit(1)).alias("keys"))
 
 
-@JOBS.add(TOKENS + SCORES + "SELECT doc_id, key, n::INTEGER AS n, tf, round(CASE WHEN under <> 0 THEN prod / under END, 4) AS s FROM v WHERE under > 0.01")
+@JOBS.add(TOKENS + SCORES + "SELECT doc_id, key, n::INTEGER AS n, tf, round(under, 5) AS under, round(CASE WHEN under > 0.01 THEN prod / under END, 4) AS s FROM v")
 def ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of all phrases. Those with a denominator near 0 or below it are left out here: their quotients say nothing."""
+    """All phrases with the denominators of their scores, and the scores; these are null where the denominator is near 0 or below it."""
     s = K.phrase_scores(_docs(spark, sf_dir), with_denominator=True)
-    return s.where("under > 0.01").select("doc_id", "key", "n", "tf", F.round("s", 4).alias("s"))
+    return s.select("doc_id", "key", "n", "tf", F.round("under", 5).alias("under"), F.round(F.when(F.col("under") > 0.01, F.col("s")), 4).alias("s"))
 
 
 @JOBS.add()

@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.text import is_comment
+from millrace.functions.text import clean_comment, is_comment
 
 # Names of languages by file extension.
 LANGUAGES = {
     "rs": "Rust", "go": "Go", "py": "Python", "js": "JavaScript", "ts": "TypeScript", "java": "Java", "kt": "Kotlin", "scala": "Scala",
     "c": "C", "h": "C", "cpp": "C++", "cs": "C#", "rb": "Ruby", "php": "PHP", "swift": "Swift", "sh": "Shell", "sql": "SQL", "html": "HTML",
 }
+# Extensions of sources and of configurations, names of configurations, kinds of symbols that can be exported.
+SOURCES = (
+    "rs", "py", "go", "js", "ts", "jsx", "tsx", "java", "kt", "kts", "c", "h", "cpp", "hpp", "cc", "cxx", "cs", "rb", "php", "swift", "scala",
+    "clj", "ex", "exs", "erl", "hs", "ml", "lua", "sh", "bash", "ps1", "pl", "r", "jl", "dart", "vue", "svelte", "m", "mm",
+)
+CONFIGS = ("toml", "yaml", "yml", "json", "ini", "cfg", "conf")
+CONFIG_NAMES = ("Cargo.lock", "rust-toolchain", "CMakeLists.txt", "Makefile", "makefile", "GNUmakefile", "configure", "BUILD", "WORKSPACE", "Pipfile", "Pipfile.lock", "poetry.lock")
+EXPORT_KINDS = ("function", "func", "fn", "struct", "class", "interface", "trait", "enum", "type", "typedef", "constant", "const", "static", "module", "namespace", "union", "protocol")
 
 
 def extension(path: Column) -> Column:
@@ -109,10 +117,27 @@ def is_public(name: Column, ext: Column, declaration: Column) -> Column:
 
 
 def doc_comments(lines: DataFrame, by: str) -> DataFrame:
-    """Adds above: the comment lines directly over each line, joined by blanks; a blank or code line cuts them off."""
+    """Adds above: the comment over each code line, without its marks, in one line. Attributes and decorators between them are skipped; a blank or code line cuts."""
     order = Window.partitionBy(by).orderBy("line_no")
-    rows = lines.withColumn("kind_of", line_kind(F.col("line")))
-    rows = rows.withColumn("run", F.sum(F.when(F.col("kind_of") == "comment", 0).otherwise(1)).over(order))
+    attribute = F.trim("line").rlike("^(#!?\\[|@)")
+    rows = lines.withColumn("kind_of", F.when(attribute, "attribute").otherwise(line_kind(F.col("line"))))
+    rows = rows.withColumn("run", F.sum(F.when(F.col("kind_of").isin("comment", "attribute"), 0).otherwise(1)).over(order))
     comments = rows.where("kind_of = 'comment'").groupBy(by, "run").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("c"))
-    over = comments.select(by, (F.col("run") + 1).alias("run"), F.array_join(F.transform("c", lambda x: F.trim(x["line"])), " ").alias("above"))
+    cleaned = F.filter(F.transform("c", lambda x: clean_comment(x["line"])), lambda x: x != "")
+    over = comments.select(by, (F.col("run") + 1).alias("run"), F.nullif(F.array_join(cleaned, " "), F.lit("")).alias("above"))
     return rows.where("kind_of = 'code'").join(over, [by, "run"], "left").drop("run", "kind_of")
+
+
+def is_source(path: Column) -> Column:
+    return extension(path).isin(*SOURCES)
+
+
+def is_config(path: Column) -> Column:
+    name = F.regexp_extract(path, "([^/]*)$", 1)
+    return name.isin(*CONFIG_NAMES) | extension(path).isin(*CONFIGS)
+
+
+def exported(symbols: DataFrame, ext: str, line: str) -> DataFrame:
+    """Symbols (kind, name) outside all scopes whose kind and declaration make them part of what a file offers."""
+    top = ~F.col(line).rlike("^\\s")
+    return symbols.where(top & F.lower("kind").isin(*EXPORT_KINDS) & is_public(F.col("name"), F.col(ext), F.col(line)))

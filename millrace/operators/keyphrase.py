@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import text as X
@@ -18,14 +18,29 @@ STOPWORDS = (
 
 
 def tokens(documents: DataFrame) -> DataFrame:
-    """(doc_id, sent, at, block, place, word, tag, term, short): words with their block between punctuation and place in the sentence."""
-    rows = documents.select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("sent", "s"))
-    rows = rows.select("doc_id", "sent", F.posexplode(X.tokens(F.col("s"))).alias("at", "word"))
-    order = Window.partitionBy("doc_id", "sent").orderBy("at")
-    mark = X.is_punctuation(F.col("word"))
-    rows = rows.withColumn("block", F.sum(F.when(mark, 1).otherwise(0)).over(order))
-    rows = rows.withColumn("place", F.sum(F.when(mark, 0).otherwise(1)).over(order) - 1).where(~mark)
-    return rows.select("*", X.tag(F.col("word"), F.col("place")).alias("tag"), X.normalise(F.col("word")).alias("term"))
+    """(doc_id, sent, at, word, tag, term, y_word, y_tag, y_term, x_...): words between punctuation, with the one (y) and two (x) before each in its block.
+
+    Texts are dealt by doc_id once. All of a sentence is told within its row, so what follows needs no sort, and sums by
+    document and term need no further shuffle.
+    """
+    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartition("doc_id")
+    rows = rows.select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("sent", "s"))
+    rows = rows.select("doc_id", "sent", X.tokens(F.col("s")).alias("w"))
+    marks = F.filter(F.transform("w", lambda t, i: F.when(X.is_punctuation(t), i)), lambda i: i.isNotNull())
+    rows = rows.select("doc_id", "sent", "w", marks.alias("marks"))
+    is_mark = lambda i: F.array_contains("marks", i)
+
+    def told(word: Column, i: Column) -> Column:
+        word_at = lambda k: F.when(i >= k, F.get("w", i - k))
+        y = F.when(~is_mark(i - 1), word_at(1))
+        x = F.when(~is_mark(i - 1) & ~is_mark(i - 2), word_at(2))
+        before = F.size(F.filter("marks", lambda m: m < i))
+        return F.struct(i.alias("at"), (i - before).alias("place"), word.alias("word"), y.alias("y_word"), x.alias("x_word"))
+
+    found = F.filter(F.transform("w", told), lambda t: ~is_mark(t["at"]))
+    rows = rows.select("doc_id", "sent", F.inline(found))
+    forms = lambda prefix, back: [X.tag(F.col(f"{prefix}word"), F.col("place") - back).alias(f"{prefix}tag"), X.normalise(F.col(f"{prefix}word")).alias(f"{prefix}term")]
+    return rows.select("doc_id", "sent", "at", "word", *forms("", 0), "y_word", *forms("y_", 1), "x_word", *forms("x_", 2))
 
 
 def sentence_counts(documents: DataFrame) -> DataFrame:
@@ -58,9 +73,7 @@ def _median(name: str) -> Column:
 
 def edges(tokens: DataFrame) -> DataFrame:
     """(doc_id, a, b, weight): neighbours in a block, neither of them a number or mixed."""
-    order = Window.partitionBy("doc_id", "sent", "block").orderBy("at")
-    rows = tokens.select("doc_id", F.lag("term").over(order).alias("a"), F.lag("tag").over(order).alias("a_tag"), F.col("term").alias("b"), "tag")
-    rows = rows.where("a IS NOT NULL AND a_tag NOT IN ('u', 'd') AND tag NOT IN ('u', 'd')")
+    rows = tokens.where("y_word IS NOT NULL AND y_tag NOT IN ('u', 'd') AND tag NOT IN ('u', 'd')").select("doc_id", F.col("y_term").alias("a"), F.col("term").alias("b"))
     return rows.groupBy("doc_id", "a", "b").agg(F.count(F.lit(1)).alias("weight"))
 
 
@@ -98,11 +111,10 @@ def scored_terms(documents: DataFrame, stopwords: tuple[str, ...] = STOPWORDS) -
 
 def grams(tokens: DataFrame) -> DataFrame:
     """(doc_id, sent, at, n, key, words, terms, tags): runs of one to three words of a block, ending at ``at``."""
-    order = Window.partitionBy("doc_id", "sent", "block").orderBy("at")
-    whole = F.struct("word", "term", "tag")
-    rows = tokens.select("doc_id", "sent", "at", F.lag(whole, 2).over(order).alias("x"), F.lag(whole, 1).over(order).alias("y"), whole.alias("z"))
-    one, two, three = F.array("z"), F.when(F.col("y").isNotNull(), F.array("y", "z")), F.when(F.col("x").isNotNull(), F.array("x", "y", "z"))
-    rows = rows.select("doc_id", "sent", "at", F.explode(F.array_compact(F.array(one, two, three))).alias("g"))
+    form = lambda prefix: F.struct(*(F.col(prefix + c).alias(c) for c in ("word", "term", "tag")))
+    x, y, z = form("x_"), form("y_"), form("")
+    two, three = F.when(F.col("y_word").isNotNull(), F.array(y, z)), F.when(F.col("x_word").isNotNull(), F.array(x, y, z))
+    rows = tokens.select("doc_id", "sent", "at", F.explode(F.array_compact(F.array(F.array(z), two, three))).alias("g"))
     return rows.select(
         "doc_id", "sent", "at", F.size("g").alias("n"),
         F.lower(F.array_join(F.transform("g", lambda x: x["word"]), " ")).alias("key"),
@@ -163,21 +175,22 @@ def _similar(a: str, b: str, most: float) -> bool:
 
 
 def key_phrases(documents: DataFrame, top: int = 20, dedup: float = 0.9, stopwords: tuple[str, ...] = STOPWORDS) -> DataFrame:
-    """(doc_id, rank, phrase, score): the best phrases of each document without near-copies of better ones, in order of (score, key)."""
+    """(doc_id, rank, phrase, score): the best phrases of each document as first written, without near-copies of better ones, in order of (score, lower case)."""
 
     def choose(group: pa.Table) -> pa.Table:
-        rows = sorted(zip(group.column("s").to_pylist(), group.column("key").to_pylist(), strict=True), key=lambda r: (r[0] is None, r[0] or 0.0, r[1]))
-        kept: list[tuple[float, str]] = []
-        for s, key in rows:
+        columns = (group.column(c).to_pylist() for c in ("s", "key", "surface"))
+        rows = sorted(zip(*columns, strict=True), key=lambda r: (r[0] is None, r[0] or 0.0, r[1]))
+        kept: list[tuple[float, str, str]] = []
+        for s, key, surface in rows:
             if len(kept) == top:
                 break
-            if not any(_similar(key, k, dedup) for _, k in kept):
-                kept.append((s, key))
+            if not any(_similar(key, k, dedup) for _, k, _ in kept):
+                kept.append((s, key, surface))
         n = len(kept)
         return pa.table(
-            {"doc_id": pa.array([group.column("doc_id")[0].as_py()] * n, pa.int64()), "rank": pa.array(range(1, n + 1), pa.int32()), "phrase": pa.array([k for _, k in kept], pa.string()), "score": pa.array([s for s, _ in kept], pa.float64())}
+            {"doc_id": pa.array([group.column("doc_id")[0].as_py()] * n, pa.int64()), "rank": pa.array(range(1, n + 1), pa.int32()), "phrase": pa.array([x for _, _, x in kept], pa.string()), "score": pa.array([s for s, _, _ in kept], pa.float64())}
         )
 
-    rows = phrase_scores(documents, stopwords).select("doc_id", "key", F.round("s", 12).alias("s"))
+    rows = phrase_scores(documents, stopwords).select("doc_id", "key", "surface", F.round("s", 12).alias("s"))
     return rows.groupBy("doc_id").applyInArrow(choose, "doc_id bigint, rank int, phrase string, score double")
 

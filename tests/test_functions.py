@@ -56,7 +56,7 @@ def test_calls_and_rebukes(spark):
     assert one(spark, X.strip_fences(F.lit("```json\n{}\n```"))) == "{}"
     assert json.loads(one(spark, X.ok_content(F.lit("v")))) == {"ok": True, "content": "v"}
     assert one(spark, X.first_of(F.lit('{"B":2}'), "a", "B")) == "2"
-    assert [one(spark, X.format_bytes(F.lit(n))) for n in (5, 2048, 3145728)] == ["5 B", "2.0 KB", "3.00 MB"]
+    assert [one(spark, X.format_bytes(F.lit(n))) for n in (5, 2048, 3145728, 1280, 1792)] == ["5 B", "2.0 KB", "3.00 MB", "1.2 KB", "1.8 KB"]
 
 
 @pytest.mark.parametrize(
@@ -144,14 +144,33 @@ def test_imports(spark, ext, line, target, internal):
 def test_doc_comments(spark):
     text = "// one\n// two\nfn a() {}\n\n// far\n\nfn b() {}"
     lines = code.lines(spark.createDataFrame([("f", text)], ["file", "text"]), "file")
-    assert {r["line"]: r["above"] for r in code.doc_comments(lines, "file").collect()} == {"fn a() {}": "// one // two", "fn b() {}": None}
+    assert {r["line"]: r["above"] for r in code.doc_comments(lines, "file").collect()} == {"fn a() {}": "one two", "fn b() {}": None}
     assert [r["name"] for r in code.symbols(lines).orderBy("line_no").collect()] == ["a", "b"]
+    text = "/// Reads.\n#[inline]\n#[test]\npub fn c() {}\n/** All\n * of it */\n@Override\nclass D\n#[x]\nfn e() {}"
+    lines = code.lines(spark.createDataFrame([("f", text)], ["file", "text"]), "file")
+    assert {r["line"]: r["above"] for r in code.doc_comments(lines, "file").collect()} == {"pub fn c() {}": "Reads.", "class D": "All of it", "fn e() {}": None}
+
+
+def test_exported(spark):
+    text = "pub fn a() {}\nfn b() {}\n    pub fn c() {}\npub struct D;"
+    lines = code.lines(spark.createDataFrame([("f", "rs", text)], ["file", "ext", "text"]), "file", "ext")
+    assert [r["name"] for r in code.exported(code.symbols(lines), "ext", "line").orderBy("line_no").collect()] == ["a", "D"]
+    kinds = [(code.is_source(F.lit(p)), code.is_config(F.lit(p))) for p in ("a.RS", "Cargo.toml", "x/Makefile", "b.txt")]
+    assert [(one(spark, a), one(spark, b)) for a, b in kinds] == [(True, False), (False, True), (False, True), (False, False)]
+
+
+def test_tokens_between_marks(spark):
+    rows = keyphrase.tokens(spark.createDataFrame([(1, "One two, three four five. Six!")], "doc_id bigint, text string")).orderBy("sent", "at").collect()
+    assert [(r["word"], r["y_word"], r["x_word"], r["tag"]) for r in rows] == [
+        ("One", None, None, "p"), ("two", "One", None, "p"), ("three", None, None, "p"), ("four", "three", None, "p"), ("five", "four", "three", "p"), ("Six", None, None, "p"),
+    ]
 
 
 def test_key_phrases(spark):
     docs = spark.createDataFrame([(1, "Spark runs jobs. Spark runs big data jobs on clusters. Big data jobs need clusters."), (2, None), (3, "")], "doc_id bigint, text string")
     rows = keyphrase.key_phrases(docs, top=5).orderBy("doc_id", "rank").collect()
     assert rows and {r["doc_id"] for r in rows} == {1}
+    assert "Big data jobs" in {r["phrase"] for r in rows} or any(r["phrase"] != r["phrase"].lower() for r in rows)  # as first written
     assert [r["score"] for r in rows] == sorted(r["score"] for r in rows)
 
 

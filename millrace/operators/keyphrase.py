@@ -79,9 +79,9 @@ def edges(tokens: DataFrame) -> DataFrame:
 
 def degrees(edges: DataFrame) -> DataFrame:
     """(doc_id, term, pwl, pwr): distinct neighbours over weight, to the left and right."""
-    left = edges.select("doc_id", F.col("b").alias("term"), F.lit(1).alias("l"), F.col("weight").alias("lw"), F.lit(0).alias("r"), F.lit(0).cast("bigint").alias("rw"))
-    right = edges.select("doc_id", F.col("a").alias("term"), F.lit(0).alias("l"), F.lit(0).cast("bigint").alias("lw"), F.lit(1).alias("r"), F.col("weight").alias("rw"))
-    sums = left.unionByName(right).groupBy("doc_id", "term").agg(*(F.sum(c).alias(c) for c in ("l", "lw", "r", "rw")))
+    side = lambda term, l, r: F.struct(F.col(term).alias("term"), F.lit(l).alias("l"), (F.col("weight") * l).alias("lw"), F.lit(r).alias("r"), (F.col("weight") * r).alias("rw"))
+    ends = edges.select("doc_id", F.inline(F.array(side("b", 1, 0), side("a", 0, 1))))
+    sums = ends.groupBy("doc_id", "term").agg(*(F.sum(c).alias(c) for c in ("l", "lw", "r", "rw")))
     ratio = lambda n, w: F.when(F.col(w) > 0, F.col(n) / F.col(w)).otherwise(0.0)
     return sums.select("doc_id", "term", ratio("l", "lw").alias("pwl"), ratio("r", "rw").alias("pwr"))
 

@@ -404,3 +404,55 @@ def test_many_languages(spark, monkeypatch):
     cut = {r["doc_id"]: r for r in langid.identify(df).collect()}
     assert all(cut[i]["lang_pred"] == r["lang_pred"] and cut[i]["score"] == pytest.approx(r["score"]) for i, r in whole.items())
     assert all(r["lang_pred"] == ([*said][i % 5] if i % 7 else "und") for i, r in cut.items())
+
+
+def test_packing_many_sources(spark):
+    """Any number of sources are queues of their own; added tokens, null ids and repeated rows are packed as they are."""
+    from tokenizers import Tokenizer
+
+    rows = [(i, f"words of source {i % 100} " * 12, f"s{i % 100:03d}") for i in range(400)]
+    rows += [(None, "no id", "s000"), (400, "a <|endoftext|> b", None), (401, "same", "s001"), (401, "same", "s001"), (402, None, "s002")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(5)
+    wanted = {f"s{i:03d}" for i in range(90, 100)}
+    targets = {f"s{i:03d}": 1.0 if f"s{i:03d}" in wanted else 0.0001 for i in range(100)}
+    t = Tokenizer.from_file(packing.vocabulary_path("byte_bpe_50k.json"))
+    source = {i: s for i, _, s in rows}
+    length = 256
+    got = packing.pack(df, targets, length=length).collect()
+    first = [r for r in got if r["sequence_id"] == 0]
+    assert sum(r["length"] for r in first) == length and sum(r["length"] for r in first if source[r["doc_id"]] in wanted) >= length - 2
+    ids = np.array([*t.encode("a <|endoftext|> b", add_special_tokens=False).ids, 1], "<u4")
+    assert len(ids) == 5 and all(r["doc_tokens"] == 5 and r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) for r in got if r["doc_id"] == 400)
+    total = sum(len(t.encode(x or "", add_special_tokens=False).ids) + 1 for _, x, _ in rows)
+    assert sum(r["length"] for r in got) == total
+    fill = collections.Counter()
+    for r in got:
+        fill[r["sequence_id"]] += r["length"]
+    assert all(n == length for k, n in fill.items() if k != max(fill)) and len(fill) == -(-total // length)
+    assert sum(r["length"] for r in got if r["doc_id"] is None) == len(t.encode("no id").ids) + 1
+    assert sum(r["length"] for r in got if r["doc_id"] == 401) == 2 * (len(t.encode("same").ids) + 1)
+
+
+def test_language_scores_by_brute_force(spark):
+    """Counts of n-grams within words, smoothed, times the prior: names and probabilities as from plain dictionaries."""
+    r = random.Random(4)
+    letters = {"en": "abcde", "fr": "cdefg", "de": "efgab"}
+    rows = [(i, " ".join("".join(r.choice(letters[k]) for _ in range(r.randint(1, 4))) for _ in range(6)), k) for i, k in enumerate(["en", "fr", "de", "en"] * 40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = {x["doc_id"]: x for x in langid.identify(df).collect()}
+
+    def grams(text):
+        return [(n, w[i : i + n]) for word in text.split() for n in (1, 2, 3) for w in [word if n == 1 else f" {word} "] for i in range(len(w) - n + 1) if w[i] != " " or w[i + n - 1] != " "]
+
+    counts, docs = {k: collections.Counter() for k in letters}, collections.Counter()
+    for i, text, k in rows:
+        if zlib.crc32(str(i).encode()) % 3 != 1:
+            counts[k].update(grams(text))
+            docs[k] += 1
+    for i, text, _ in rows:
+        s = {k: np.log((docs[k] + 1) / (docs.total() + 3)) + sum(np.log((counts[k][g] + 0.5) / (counts[k].total() + 0.5 * 65536)) for g in grams(text)) for k in letters}
+        best = max(s, key=s.get)
+        p = 1 / sum(np.exp(v - s[best]) for v in s.values())
+        if p > 0.6:
+            assert got[i]["lang_pred"] == best
+        assert got[i]["score"] == pytest.approx(p, abs=0.02)

@@ -144,7 +144,7 @@ def is_comment(line: Column) -> Column:
 
 
 def clean_comment(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(line), "^(/{2,}!?|/\\*+|\\*+/?|#+!?|--+|;;+|%%+)", ""), "\\*+/$", ""))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(line), "^(/{2,}!?|/\\*+|\\*+/?|#+|--+|;;+|%%+)", ""), "\\*+/$", ""))
 
 
 def format_bytes(n: Column) -> Column:

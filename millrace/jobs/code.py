@@ -71,7 +71,7 @@ def module_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @JOBS.add(LINES + rf""", k AS (SELECT *, {KIND} AS kind FROM l) SELECT doc_id, line_no,
-  trim(regexp_replace(regexp_replace(trim(line), '^(/{{2,}}!?|/\*+|\*+/?|#+!?|--+|;;+|%%+)', ''), '\*+/$', '')) AS comment FROM k WHERE kind = 'comment'""")
+  trim(regexp_replace(regexp_replace(trim(line), '^(/{{2,}}!?|/\*+|\*+/?|#+|--+|;;+|%%+)', ''), '\*+/$', '')) AS comment FROM k WHERE kind = 'comment'""")
 def comment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = C.lines(_docs(spark, sf_dir), "doc_id").where(X.is_comment(F.col("line")) & (F.trim("line") != ""))
     return rows.select("doc_id", "line_no", X.clean_comment(F.col("line")).alias("comment"))

@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 
 # Names that storage keeps for itself.
 RESERVED = (".about", ".summary", ".skills", ".knowledge", ".rebukes", ".tools", ".storageignore", "vector_meta.json")
+# Directories that a walk over sources doesn't enter.
+PRUNED = (
+    ".git", ".svn", ".hg", "target", "node_modules", "dist", "build", "out", "vendor", ".venv", "venv", "__pycache__", ".pytest_cache",
+    ".mypy_cache", ".tox", ".gradle", ".idea", ".vscode", "bin", "obj", ".cache", ".next", ".nuxt", ".parcel-cache", "coverage", ".nyc_output",
+)
 
 
 def segments(path: Column) -> Column:
@@ -45,6 +50,19 @@ def parse_ignore(text: str) -> list[tuple[str, str]]:
     return found
 
 
+def parse_gitignore(text: str) -> list[str]:
+    """Distinct patterns without the slashes around them; blank lines, comments and negations say nothing."""
+    lines = (x.strip() for x in text.splitlines())
+    found = (x.strip("/") for x in lines if x and x[0] not in "#!")
+    return list(dict.fromkeys(x for x in found if x))
+
+
+def is_pruned(path: Column) -> Column:
+    """Whether a directory of the path is one that a walk doesn't enter; the last segment is a file's name."""
+    parts = segments(path)
+    return F.arrays_overlap(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), F.array(*map(F.lit, PRUNED)))
+
+
 def is_ignored(path: Column, patterns: list[tuple[str, str]]) -> Column:
     """A name matches any segment; a path pattern matches the path or one of its prefixes with as many segments."""
     parts = segments(path)

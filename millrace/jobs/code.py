@@ -141,6 +141,37 @@ def file_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("path", "source", "config").agg(F.count(F.lit(1)).alias("n"))
 
 
+@JOBS.add(LINKS + "SELECT page_id, count(*) AS functions FROM w WHERE k <> 3 GROUP BY page_id")
+def function_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = C.symbols(C.lines(_sources(spark, sf_dir), "page_id", "ext")).where(C.is_function(F.col("kind")))
+    return s.groupBy("page_id").agg(F.count(F.lit(1)).alias("functions"))
+
+
+@JOBS.add(LINKS + """SELECT page_id, (2 * i + 2)::INTEGER AS line_no, CASE k WHEN 0 THEN 'Python' WHEN 1 THEN 'JavaScript' ELSE 'Rust' END AS language, '()' AS signature,
+NULL::VARCHAR AS scope FROM w WHERE k <> 3""")
+def described_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language, parameters and enclosing class of each declaration."""
+    s = C.symbols(C.lines(_sources(spark, sf_dir), "page_id", "ext"))
+    return C.described(s, "page_id", "ext").select("page_id", "line_no", "language", "signature", "scope")
+
+
+@JOBS.add("""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), t AS (SELECT doc_id,
+  trim(array_to_string(list_transform(l, lambda x: trim(x, ' ' || chr(9) || chr(13))), ' '), ' ' || chr(9) || chr(13)) AS doc FROM d)
+SELECT doc_id, 0 AS n, 'd' || doc_id AS name, doc FROM t WHERE doc <> ''""")
+def docstrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as the string under a declaration, read back in one line."""
+    name = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
+    text = F.concat(F.lit("x = 1\ndef "), name, F.lit('():\n\n    \"\"\"\n'), F.col("text"), F.lit('\n    \"\"\"\n    pass\ndef f():\n    pass\n'))
+    return C.docstrings(_docs(spark, sf_dir).select("doc_id", text.alias("text")), "doc_id")
+
+
+@JOBS.add("""WITH p AS (SELECT page_id, regexp_extract_all(html, 'href="/([A-Za-z]+)"', 1) AS w FROM pages)
+SELECT page_id, CASE WHEN page_id % 4 = 3 AND len(w) > 0 THEN array_to_string(list_transform(w[1:15], lambda x: 'include <' || x || '.h> ' || x), ' ') END AS doc FROM p""")
+def file_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The comments that each file starts with."""
+    return _sources(spark, sf_dir).select("page_id", C.file_doc(F.col("text")).alias("doc"))
+
+
 @JOBS.add()
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.symbols(C.lines(_sources(spark, sf_dir), "page_id", "ext")).select("page_id", "line_no", "kind", "name")

@@ -104,3 +104,14 @@ def index_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries of a stored index that still describe what is on disk."""
     disk, index = _snapshots(spark, sf_dir)
     return disk.join(index, ["path", "mtime", "size"], "left_semi").select("path", "size")
+
+
+@JOBS.add("""SELECT page_id, page_id % 4 IN (1, 2) AS pruned, page_id % 3 = 1 AND page_id % 4 <> 0 AS excluded FROM pages""")
+def source_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files in directories that a walk over sources doesn't enter, and files that a list of patterns excludes."""
+    k, n = F.col("page_id") % 4, F.col("page_id") % 3
+    folder = F.when(k == 0, "target").when(k == 1, "a/node_modules/b/").when(k == 2, ".git/").otherwise("src/bin.d/")
+    name = F.when(k == 0, "").when(n == 1, "x.log").otherwise("bin")
+    patterns = [("name", x) for x in P.parse_gitignore("# logs\n\n*.log\n!keep.log\n/*.log/\n")]
+    path = F.concat(folder, name)
+    return table(spark, sf_dir, "pages").select("page_id", P.is_pruned(path).alias("pruned"), P.is_ignored(path, patterns).alias("excluded"))

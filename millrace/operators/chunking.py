@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def chunk_text(text: str, size: int = 512, overlap: int = 64, strict: bool = False) -> list[tuple[str, int, int]]:
@@ -45,20 +46,25 @@ def chunk_text(text: str, size: int = 512, overlap: int = 64, strict: bool = Fal
     return out
 
 
-def chunks(documents: DataFrame, size: int = 512, overlap: int = 64) -> DataFrame:
-    """(doc_id, idx, chunk, start_byte, end_byte) of every document."""
+def chunk_rows(rows: DataFrame, size: int = 512, overlap: int = 64) -> DataFrame:
+    """(columns of ``rows`` but text, idx, chunk, start_byte, end_byte): a row for each chunk; null and empty texts have none."""
+    kept = [c for c in rows.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                rows = [
-                    (d, i, *c)
-                    for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)
-                    for i, c in enumerate(chunk_text(t or "", size, overlap))
-                ]
-                columns = list(zip(*rows, strict=True)) or [[]] * 5
-                kinds = (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "idx", "chunk", "start_byte", "end_byte"])
+                found = [(r, i, *c) for r, t in enumerate(part.column(part.num_columns - 1).to_pylist()) for i, c in enumerate(chunk_text(t or "", size, overlap))]
+                of, *columns = list(zip(*found, strict=True)) or [[]] * 5
+                of = pa.array(of, pa.int32())
+                kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64())
+                arrays = [part.column(i).take(of) for i in range(len(kept))] + [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*kept, "idx", "chunk", "start_byte", "end_byte"])
+
+    added = T.StructType().add("idx", T.IntegerType()).add("chunk", T.StringType()).add("start_byte", T.LongType()).add("end_byte", T.LongType())
+    return rows.select(*kept, "text").mapInArrow(run, T.StructType([*rows.select(*kept).schema.fields, *added.fields]))
 
-    return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, idx int, chunk string, start_byte bigint, end_byte bigint")
+
+def chunks(documents: DataFrame, size: int = 512, overlap: int = 64) -> DataFrame:
+    """(doc_id, idx, chunk, start_byte, end_byte) of every document."""
+    return chunk_rows(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), size, overlap)

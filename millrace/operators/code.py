@@ -21,6 +21,10 @@ CONFIGS = ("toml", "yaml", "yml", "json", "ini", "cfg", "conf")
 CONFIG_NAMES = ("Cargo.lock", "rust-toolchain", "CMakeLists.txt", "Makefile", "makefile", "GNUmakefile", "configure", "BUILD", "WORKSPACE", "Pipfile", "Pipfile.lock", "poetry.lock")
 EXPORT_KINDS = ("function", "func", "fn", "struct", "class", "interface", "trait", "enum", "type", "typedef", "constant", "const", "static", "module", "namespace", "union", "protocol")
 
+FUNCTION_KINDS = ("function", "func", "fn", "method")
+# A declaration in Python whose first line that isn't blank opens a string: name, quotes, what is in them.
+DOCSTRING = "(?ms)^[ \\t]*(?:async[ \\t]+)?(?:def|class)[ \\t]+(\\w+)[^\\n]*\\n(?:[ \\t\\r]*\\n)*[ \\t]*(\"\"\"|\u0027\u0027\u0027)(.*?)(?:\\2[ \\t\\r]*$|\\z)"
+
 
 def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, "\\.([^./]+)$", 1))
@@ -141,3 +145,37 @@ def exported(symbols: DataFrame, ext: str, line: str) -> DataFrame:
     """Symbols (kind, name) outside all scopes whose kind and declaration make them part of what a file offers."""
     top = ~F.col(line).rlike("^\\s")
     return symbols.where(top & F.lower("kind").isin(*EXPORT_KINDS) & is_public(F.col("name"), F.col(ext), F.col(line)))
+
+
+def is_function(kind: Column) -> Column:
+    return F.lower(kind).isin(*FUNCTION_KINDS)
+
+
+def described(symbols: DataFrame, by: str, ext: str, line: str = "line") -> DataFrame:
+    """Adds language, signature (the parameters in the declaration's line) and scope: the class above that an indented declaration is in, else null."""
+    above = Window.partitionBy(by).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    indented = F.col(line).rlike("^\\s")
+    outer = F.last(F.when(~indented, F.struct("kind", "name")), ignorenulls=True).over(above)
+    return symbols.select(
+        "*",
+        language(F.concat(F.lit("f."), F.col(ext))).alias("language"),
+        F.nullif(F.regexp_extract(line, "(\\([^)]*\\))", 1), F.lit("")).alias("signature"),
+        F.when(indented & (outer["kind"] == "class"), outer["name"]).alias("scope"),
+    )
+
+
+def docstrings(files: DataFrame, *keep: str) -> DataFrame:
+    """(keep..., n, name, doc): documented declarations of Python texts in their order, the doc in one line; empty docs are left out."""
+    names, docs = (F.regexp_extract_all("text", F.lit(DOCSTRING), F.lit(i)) for i in (1, 3))
+    rows = files.select(*keep, F.posexplode(F.arrays_zip(names.alias("name"), docs.alias("doc"))).alias("n", "d"))
+    space = F.lit(" \t\r")
+    doc = F.btrim(F.array_join(F.transform(F.split("d.doc", "\n"), lambda x: F.btrim(x, space)), " "), space)
+    return rows.select(*keep, "n", "d.name", doc.alias("doc")).where("doc <> ''")
+
+
+def file_doc(text: Column) -> Column:
+    """The comments that a text starts with, within its first 30 lines, without marks and in one line; null without any."""
+    first = F.slice(F.split(text, "\n"), 1, 30)
+    ends = F.array_min(F.transform(first, lambda x, i: F.when(~is_comment(x) & (F.trim(x) != ""), i)))
+    cleaned = F.transform(F.slice(first, F.lit(1), F.coalesce(ends, F.size(first))), lambda x: clean_comment(x))
+    return F.nullif(F.array_join(F.filter(cleaned, lambda x: x != ""), " "), F.lit(""))

@@ -192,3 +192,30 @@ def test_knn_blocks(spark, monkeypatch):
     e = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
     out = vectors.knn(e, e.where("vec_id % 4 = 0"), 3).collect()
     assert len(out) == 9 and all(r["query_id"] != r["vec_id"] for r in out)
+
+
+def test_docstrings_and_file_docs(spark):
+    text = 'class A:\n\n  """One."""\n  def b(self, x):\n    pass\n  def c(self):\n    """\n    Two\n\n    three\n    """\ndef d():\n    """"""\ndef e():\n    \u0027\u0027\u0027never closed\n'
+    files = spark.createDataFrame([(1, text), (2, ""), (3, None)], "id int, text string")
+    found = [tuple(r) for r in code.docstrings(files, "id").orderBy("n").collect()]
+    assert [(r[2], r[3]) for r in found] == [("A", "One."), ("c", "Two  three"), ("e", "never closed")]
+    docs = ["\n/* A\n * b */\n\n// c\nfn x() {}\n// d", "fn x() {}\n// d", "", None, "\n".join(["// x"] * 40), "#!/bin/sh\n-- y"]
+    rows = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "i int, t string").select("i", code.file_doc(F.col("t")).alias("d"))
+    assert [r["d"] for r in rows.orderBy("i").collect()] == ["A b c", None, None, None, " ".join(["x"] * 30), "!/bin/sh y"]
+
+
+def test_described_symbols(spark):
+    files = spark.createDataFrame([(1, "py", "class A(B):\n  def f(self, x):\n    pass\ndef g():\n  def h(y):\n    pass")], "id int, ext string, text string")
+    rows = code.described(code.symbols(code.lines(files, "id", "ext")), "id", "ext").orderBy("line_no").collect()
+    assert [(r["name"], r["language"], r["signature"], r["scope"]) for r in rows] == [
+        ("A", "Python", "(B)", None), ("f", "Python", "(self, x)", "A"), ("g", "Python", "()", None), ("h", "Python", "(y)", None),
+    ]
+    kinds = spark.createDataFrame([("Function",), ("method",), ("class",)], ["k"]).select(code.is_function(F.col("k")).alias("f")).collect()
+    assert [r["f"] for r in kinds] == [True, True, False]
+
+
+def test_pruned_and_gitignore(spark):
+    assert P.parse_gitignore("# c\n\n!keep\n/target/\n*.log\n/*.log\n /// \n") == ["target", "*.log"]
+    paths = [("a/node_modules/x",), ("node_modules",), (".git/x",), ("src/Target/x",), ("x",), ("",)]
+    rows = spark.createDataFrame(paths, ["p"]).select(P.is_pruned(F.col("p")).alias("x")).collect()
+    assert [r["x"] for r in rows] == [True, False, True, False, False, False]

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.jobs import board, code, conversations, index, keyphrases, paths, texts, vectors, workspace
+from millrace.jobs import board, catalogue, code, conversations, index, keyphrases, paths, texts, vectors, workspace
 
-MODULES = (vectors, texts, keyphrases, conversations, board, paths, code, workspace, index)
+MODULES = (vectors, texts, keyphrases, conversations, board, paths, code, workspace, index, catalogue)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -62,3 +62,36 @@ def search_text(messages: DataFrame) -> DataFrame:
     answer = F.when((F.col("turn_no") < F.col("last_no")) & (F.col("role") == "assistant") & (F.trim("text") != ""), F.struct("turn", "text"))
     out = rows.groupBy("conv_id").agg(listed(user).alias("short"), F.max(answer)["text"].alias("answer"))
     return out.select("conv_id", "short", F.concat_ws("\n\n", "answer", F.when(F.col("short") != "", F.col("short"))).alias("full"))
+
+
+USAGE = "prompt_tokens bigint, completion_tokens bigint, cost decimal(18,6), completion_tokens_details struct<reasoning_tokens: bigint>"
+
+
+def usage_totals(records: DataFrame, key: str, usage: str = "usage") -> DataFrame:
+    """(key, calls, prompt_tokens, completion_tokens, reasoning_tokens, cost) of JSON usage records.
+
+    Each record is one call. A missing cost, detail or token count adds 0; rows without a record (null) are no calls.
+    """
+    rows = records.where(F.col(usage).isNotNull()).select(key, F.from_json(usage, USAGE).alias("u"))
+    total = lambda c: F.coalesce(F.sum(f"u.{c}"), F.lit(0))
+    return rows.groupBy(key).agg(
+        F.count(F.lit(1)).alias("calls"),
+        total("prompt_tokens").alias("prompt_tokens"),
+        total("completion_tokens").alias("completion_tokens"),
+        total("completion_tokens_details.reasoning_tokens").alias("reasoning_tokens"),
+        total("cost").cast("double").alias("cost"),
+    )
+
+
+def compaction_verdicts(originals: DataFrame, proposals: DataFrame) -> DataFrame:
+    """(conv_id, before, after, verdict) of proposed shorter forms (conv_id, role, text, one row a message) of conversations.
+
+    Refused, in this order: empty (no message), role (one that isn't user or assistant), size (bytes are not less);
+    else accepted. A null text has no bytes. Proposals for conversations that aren't there have no row.
+    """
+    before = originals.groupBy("conv_id").agg(F.sum(size(F.col("text"))).alias("before"))
+    fine = F.coalesce(F.col("role").isin("user", "assistant"), F.lit(False))
+    after = proposals.groupBy("conv_id").agg(F.sum(size(F.col("text"))).alias("after"), F.min(fine).alias("roles"))
+    rows = before.join(after, "conv_id", "left")
+    verdict = F.when(F.col("after").isNull(), "empty").when(~F.col("roles"), "role").when(F.col("after") >= F.col("before"), "size").otherwise("accepted")
+    return rows.select("conv_id", "before", "after", verdict.alias("verdict"))

@@ -180,3 +180,8 @@ def stem(word: Column) -> Column:
     low = F.lower(word)
     low = F.regexp_replace(low, "(?<=\\p{L}{3})(ing|ed|ly)$", "")
     return F.regexp_replace(low, "(?<=\\p{L}{3})s$", "")
+
+
+def ordered_union(*lists: Column) -> Column:
+    """Elements of all lists in order of their first place; a null list is empty."""
+    return F.array_distinct(F.concat(*(F.coalesce(x, F.array().cast("array<string>")) for x in lists)))

@@ -1,13 +1,15 @@
-"""Catalogues after their logs of puts and deletes, usage records, verdicts on compaction."""
+"""Catalogues and sessions after their logs, notes on directories, usage records, verdicts on compaction, tools that are shown."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions import text as X
 from millrace.jobs.base import Jobs, table
 from millrace.operators import catalogue as K
 from millrace.operators import conversation as C
+from millrace.operators import sessions as S
 
 JOBS = Jobs()
 SKILLS = """
@@ -84,3 +86,49 @@ def compaction_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.when(k == 1, F.col("text")).otherwise(F.substring("text", 1, 40))
     proposed = rows.where((k != 0) & ((k == 3) | (F.col("role") != "system"))).select("conv_id", "role", text.alias("text"))
     return C.compaction_verdicts(rows, proposed)
+
+
+@JOBS.add("""WITH l AS (SELECT event_id AS seq, user_id AS session_id, CASE WHEN event_id % 3 > 0 THEN 'agent' || (event_id % 3) END AS owner_agent, event_type AS display_name,
+  event_type = 'error' AND event_id % 10 = 0 AS deleted, CASE WHEN event_id % 2 = 0 THEN '***' END AS api_key, CASE WHEN event_id % 2 = 0 THEN props END AS model FROM events)
+SELECT owner_agent, session_id, max(seq) AS seq, arg_max(display_name, seq) AS display_name, bool_or(deleted) AS deleted,
+  arg_max({'v': api_key}, seq).v AS api_key, arg_max({'v': model}, seq).v AS model FROM l GROUP BY ALL""")
+def saved_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions after all saves: deleted ones stay deleted, keys are masked. Half of the saves have no context."""
+    config = F.struct(F.concat(F.lit("key-"), F.col("event_id").cast("string")).alias("api_key"), F.col("props").alias("model"))
+    saves = table(spark, sf_dir, "events").select(
+        F.when(F.col("event_id") % 3 > 0, F.concat(F.lit("agent"), (F.col("event_id") % 3).cast("string"))).alias("owner_agent"),
+        F.col("user_id").alias("session_id"),
+        F.col("event_id").alias("seq"),
+        F.col("event_type").alias("display_name"),
+        ((F.col("event_type") == "error") & (F.col("event_id") % 10 == 0)).alias("deleted"),
+        F.when(F.col("event_id") % 2 == 0, F.struct(config.alias("engine_config"))).alias("context"),
+    )
+    return S.saved(saves, "seq").select("owner_agent", "session_id", "seq", "display_name", "deleted", "context.engine_config.api_key", "context.engine_config.model")
+
+
+@JOBS.add("""WITH l AS (SELECT event_id AS seq, 'p' || (user_id % 5) AS project_id, 'd' || (user_id // 5) AS dir, event_type || event_id AS content,
+  CASE event_type WHEN 'click' THEN 'about' WHEN 'view' THEN 'summary' ELSE event_type END AS kind FROM events)
+SELECT project_id, dir, arg_max(content, seq) FILTER (WHERE kind = 'about') AS about, arg_max(content, seq) FILTER (WHERE kind = 'summary') AS summary
+FROM l WHERE kind IN ('about', 'summary') GROUP BY project_id, dir""")
+def directory_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """About and summary of each directory after all writes."""
+    kind = F.when(F.col("event_type") == "click", "about").when(F.col("event_type") == "view", "summary").otherwise(F.col("event_type"))
+    writes = table(spark, sf_dir, "events").select(
+        F.concat(F.lit("p"), (F.col("user_id") % 5).cast("string")).alias("project_id"),
+        F.concat(F.lit("d"), F.expr("user_id div 5").cast("string")).alias("dir"),
+        kind.alias("kind"),
+        F.concat("event_type", F.col("event_id").cast("string")).alias("content"),
+        F.col("event_id").alias("seq"),
+    )
+    return S.directory_notes(writes, "seq")
+
+
+@JOBS.add("""WITH w AS (SELECT item_id, string_split(lower(text), ' ') AS w FROM benchmark),
+l AS (SELECT item_id, w[1:8] || CASE WHEN item_id % 3 = 0 THEN []::VARCHAR[] ELSE w[5:12] END || ['memory', 'help', w[1]] AS l FROM w)
+SELECT item_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' ') AS tools FROM l""")
+def visible_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tools that a search found, those that are mentioned and those that are always shown, each once, in this order."""
+    words = F.split(F.lower("text"), " ")
+    mentioned = F.when(F.col("item_id") % 3 != 0, F.slice(words, 5, 8))
+    shown = X.ordered_union(F.slice(words, 1, 8), mentioned, F.array(F.lit("memory"), F.lit("help"), words[0]))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(shown, " ").alias("tools"))

@@ -1,7 +1,11 @@
-"""Logs of puts and deletes, usage records and compaction verdicts on literal rows."""
+"""Logs of puts and deletes, sessions, notes, usage records and compaction verdicts on literal rows."""
 
+from pyspark.sql import functions as F
+
+from millrace.functions import text as X
 from millrace.operators import catalogue as K
 from millrace.operators import conversation as C
+from millrace.operators import sessions as S
 
 LOG = "op string, skill_file string, seq bigint, phrases array<string>"
 
@@ -66,3 +70,31 @@ def test_compaction_verdicts(spark):
     assert sorted(tuple(r) for r in found) == [
         (1, 4, None, "empty"), (2, 4, 2, "role"), (3, 4, 4, "size"), (4, 4, 3, "accepted"), (5, 4, 1, "role"), (6, 4, 0, "accepted"),
     ]
+
+
+def test_saved_sessions(spark):
+    schema = "owner_agent string, session_id string, seq bigint, deleted boolean, context struct<engine_config: struct<api_key: string, model: string>, last: bigint>"
+    saves = [
+        (None, "s", 1, True, None),
+        (None, "s", 2, False, (("secret", "m"), 7)),
+        ("a", "s", 3, None, (("secret", "m"), 1)),
+        ("a", "s", 2, False, None),
+        ("a", "t", 4, False, (None, 5)),
+        ("a", None, 5, False, None),
+    ]
+    found = {(r["owner_agent"], r["session_id"]): r for r in S.saved(spark.createDataFrame(saves, schema), "seq").collect()}
+    assert set(found) == {(None, "s"), ("a", "s"), ("a", "t")}
+    assert found[None, "s"]["deleted"] and found[None, "s"]["context"] == (("***", "m"), 7)
+    assert not found["a", "s"]["deleted"] and found["a", "s"]["seq"] == 3
+    assert found["a", "t"]["context"] == (None, 5)
+
+
+def test_directory_notes(spark):
+    writes = [("p", "d", "about", "old", 1), ("p", "d", "about", "", 3), ("p", "d", "summary", "s", 2), ("p", "e", "other", "x", 4), ("q", None, "summary", "t", 5)]
+    found = S.directory_notes(spark.createDataFrame(writes, "project_id string, dir string, kind string, content string, seq bigint"), "seq").collect()
+    assert sorted(tuple(r) for r in found) == [("p", "d", "", "s"), ("q", None, None, "t")]
+
+
+def test_ordered_union(spark):
+    row = spark.createDataFrame([(["b", "a", "b"], None, ["c", "a"])], "x array<string>, y array<string>, z array<string>")
+    assert row.select(X.ordered_union(F.col("x"), F.col("y"), F.col("z"))).first()[0] == ["b", "a", "c"]

@@ -35,7 +35,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``; where that is unset, a local one, in local mode only."""
     root = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not root:
-        if not re.fullmatch("local(\\[.*\\])?", spark.sparkContext.master):
+        if not re.match("local(\\[.*\\])?$", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="millrace-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

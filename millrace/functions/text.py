@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -73,10 +75,13 @@ def lexer(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit('"[^"]*"|[\\p{L}\\p{N}_-]+(?:\\.[\\p{L}\\p{N}_-]+)*'), F.lit(0))
 
 
-def skeleton(text: Column, known: Column) -> Column:
-    """Struct of the text with <ENT> for quoted and unknown words, and the lower-case entities in order."""
+def skeleton(text: Column, known: Column, form: Callable[[Column], Column] = F.lower) -> Column:
+    """Struct of the text with <ENT> for quoted and unknown words, and the lower-case entities in order.
+
+    A word is known if its ``form`` is: lower case for lists of words, ``stem`` for lists of stems.
+    """
     parts = lexer(F.coalesce(text, F.lit("")))
-    unknown = lambda t: t.startswith('"') | ~F.array_contains(known, F.lower(t))
+    unknown = lambda t: t.startswith('"') | ~F.array_contains(known, form(t))
     return F.struct(
         F.array_join(F.transform(parts, lambda t: F.when(unknown(t), F.lit("<ENT>")).otherwise(t)), " ").alias("skeleton"),
         F.transform(F.filter(parts, unknown), lambda t: F.lower(F.replace(t, F.lit('"'), F.lit("")))).alias("entities"),
@@ -175,11 +180,19 @@ def first_of(json: Column, *keys: str) -> Column:
     return F.coalesce(*(F.get_json_object(json, f"$.{k}") for k in keys), F.lit(""))
 
 
+#: Endings of Russian nouns, adjectives and verbs that a light stemmer strips.
+RUSSIAN_ENDINGS = (
+    "иями ями ами иях ях ах иям ям ам ов ев ей ий ый ой ая яя ое ее ые ие ого его ому ему ым им ых их ую юю ия ию ии "
+    "ешь ишь ете ите ет ит ют ут ят ат ть ла ло ли а я о е и ы у ю ь"
+)
+
+
 def stem(word: Column) -> Column:
-    """A light English suffix stripper: plural, -ing, -ed, -ly."""
+    """A light suffix stripper that leaves three letters at least: Russian endings of words with a Cyrillic letter, else English plural, -ing, -ed, -ly."""
     low = F.lower(word)
-    low = F.regexp_replace(low, "(?<=\\p{L}{3})(ing|ed|ly)$", "")
-    return F.regexp_replace(low, "(?<=\\p{L}{3})s$", "")
+    russian = F.regexp_replace(low, f"(?<=\\p{{L}}{{3}})({RUSSIAN_ENDINGS.replace(' ', '|')})$", "")
+    english = F.regexp_replace(F.regexp_replace(low, "(?<=\\p{L}{3})(ing|ed|ly)$", ""), "(?<=\\p{L}{3})s$", "")
+    return F.when(low.rlike("[а-яё]"), russian).otherwise(english)
 
 
 def ordered_union(*lists: Column) -> Column:

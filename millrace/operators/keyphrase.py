@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as X
 
-# English function words; pass a longer list, such as StopWordsRemover.loadDefaultStopWords, for real use.
+# English function words; pass a longer list, such as that of ``stopwords``, for real use.
 STOPWORDS = (
     "a", "about", "all", "an", "and", "are", "as", "at", "be", "been", "but", "by", "can", "did", "do", "for", "from", "had", "has",
     "have", "he", "her", "his", "if", "in", "into", "is", "it", "its", "more", "no", "not", "of", "on", "or", "our", "she", "so",
@@ -17,6 +17,13 @@ STOPWORDS = (
 )
 
 
+def stopwords(*languages: str) -> tuple[str, ...]:
+    """Spark's own stop words of these languages (English and Russian by default), in lower case and order, each once."""
+    from pyspark.ml.feature import StopWordsRemover
+
+    return tuple(sorted({w.lower() for name in languages or ("english", "russian") for w in StopWordsRemover.loadDefaultStopWords(name)}))
+
+
 def tokens(documents: DataFrame) -> DataFrame:
     """(doc_id, sent, at, word, tag, term, y_word, y_tag, y_term, x_...): words between punctuation, with the one (y) and two (x) before each in its block.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions import paths as P
 from millrace.functions import text as X
 from millrace.operators import board, chunking, code, conversation, keyphrase, registry, vectors
+from millrace.sources.files import word_list
 
 
 def one(spark, column, **values):
@@ -219,3 +220,27 @@ def test_pruned_and_gitignore(spark):
     paths = [("a/node_modules/x",), ("node_modules",), (".git/x",), ("src/Target/x",), ("x",), ("",)]
     rows = spark.createDataFrame(paths, ["p"]).select(P.is_pruned(F.col("p")).alias("x")).collect()
     assert [r["x"] for r in rows] == [True, False, True, False, False, False]
+
+
+@pytest.mark.parametrize(
+    "word,out",
+    [("книга", "книг"), ("Книгами", "книг"), ("книг", "книг"), ("новая", "нов"), ("её", "её"), ("дом", "дом"), ("running", "runn"), ("cats", "cat"), ("is", "is"), ("", ""), (None, None)],
+)
+def test_stem(spark, word, out):
+    assert spark.createDataFrame([(word,)], "w string").select(X.stem(F.col("w"))).first()[0] == out
+
+
+def test_stopwords_of_languages(spark):
+    words = keyphrase.stopwords("english", "russian")
+    assert {"the", "и"} <= set(words) and list(words) == sorted(set(words))
+    docs = spark.createDataFrame([(1, "Новая книга стоит на полке, новая книга и новая полка.")], "doc_id bigint, text string")
+    found = keyphrase.scored_terms(docs, words).where("stop").select("term").collect()
+    assert "на" in {r["term"] for r in found}
+
+
+def test_skeleton_by_stems(spark, tmp_path):
+    (tmp_path / "words").write_text("4\nlanguages/S\nкнига/X\nparse\n", encoding="utf-8")
+    stems = [r["stem"] for r in word_list(spark, str(tmp_path / "words")).collect()]
+    text = 'Parsed language "parse" книгами foo'
+    s = spark.createDataFrame([(text, stems)], "t string, k array<string>").select(X.skeleton(F.col("t"), F.col("k"), X.stem).alias("s")).first()["s"]
+    assert (s["skeleton"], s["entities"]) == ("<ENT> language <ENT> книгами <ENT>", ["parsed", "parse", "foo"])

@@ -47,3 +47,22 @@ FROM b LEFT JOIN f ON b.doc_id = f.doc_id
 
 
 LICENSES = _license_sql()
+
+
+COLLOCATIONS = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(low, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, k, unnest(list_transform(range(greatest(len(w) - k + 1, 0)), lambda i: array_to_string(w[i + 1 : i + k], ' '))) AS phrase FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS k)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY lang, k, phrase),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2 AND f >= 100),
+s AS (SELECT DISTINCT lang, array_to_string(w[i + 1 : i + m], ' ') AS phrase, a FROM (SELECT *, unnest(range(2, k)) AS m FROM c) , LATERAL (SELECT unnest(range(k - m + 1)) AS i)),
+t AS (SELECT lang, phrase, max(a) AS longest FROM s GROUP BY lang, phrase),
+x AS (SELECT *, unnest(range(1, k)) AS cut FROM c),
+y AS (SELECT x.lang, x.phrase, x.a, cut, l.f AS l, r.f AS r, n.n, (1000::HUGEINT * x.a * n.n) // (l.f::HUGEINT * r.f) AS score
+  FROM x JOIN n ON x.lang = n.lang JOIN f AS l ON l.lang = x.lang AND l.phrase = array_to_string(w[1 : cut], ' ') JOIN f AS r ON r.lang = x.lang AND r.phrase = array_to_string(w[cut + 1 :], ' ')),
+z AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS nth FROM y),
+o AS (SELECT z.*, row_number() OVER (PARTITION BY z.lang ORDER BY score DESC, z.a DESC, z.phrase) AS rank FROM z LEFT JOIN t ON z.lang = t.lang AND z.phrase = t.phrase WHERE nth = 1 AND NOT coalesce(longest >= z.a, false))
+SELECT lang, rank::BIGINT AS rank, phrase, a, l, r, n, score::BIGINT AS score FROM o WHERE rank <= 2000
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import ann, collocations, langid, license_join, mixing, near_dup, oracle, packing, quality_qda, quality_rules, suffix_dedup, toxicity
+from millrace.llm import ann, collocations, langid, lexical_search, license_join, mixing, near_dup, oracle, packing, quality_qda, quality_rules, secret_scan, suffix_dedup, toxicity
 from millrace.llm.common import table
 
 
@@ -50,6 +50,14 @@ def op10_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
 
+def op11_document_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_credential_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(table(spark, sf_dir, "documents"))
+
+
 def op13_count_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(table(spark, sf_dir, "documents"))
 
@@ -58,10 +66,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_toxicity_knn, op2_suffix_dedup, op3_decision_list, op4_quality_qda, op5_prob_minhash, op6_license_join,
         op7_mixture_packing, op8_language_nb, op9_pareto_mixing, op10_adaptive_scan,
-        op13_count_automata,
+        op11_document_tree, op12_credential_links, op13_count_automata,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_suffix_dedup": oracle.SUFFIX_DEDUP, "op6_license_join": oracle.LICENSES, "op13_count_automata": oracle.COLLOCATIONS}
+    return {"op2_suffix_dedup": oracle.SUFFIX_DEDUP, "op6_license_join": oracle.LICENSES, "op11_document_tree": oracle.LEXICAL, "op13_count_automata": oracle.COLLOCATIONS}

@@ -66,3 +66,18 @@ z AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut
 o AS (SELECT z.*, row_number() OVER (PARTITION BY z.lang ORDER BY score DESC, z.a DESC, z.phrase) AS rank FROM z LEFT JOIN t ON z.lang = t.lang AND z.phrase = t.phrase WHERE nth = 1 AND NOT coalesce(longest >= z.a, false))
 SELECT lang, rank::BIGINT AS rank, phrase, a, l, r, n, score::BIGINT AS score FROM o WHERE rank <= 2000
 """
+
+
+LEXICAL = r"""
+WITH d AS (SELECT row_number() OVER () AS place, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+e AS (SELECT place, doc_id, w, len(w) AS n FROM d WHERE len(w) > 0),
+s AS (SELECT count(*) AS docs, sum(n)::BIGINT AS length FROM e),
+i AS (SELECT row_number() OVER () AS item, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+q AS (SELECT item, item_id, term, count(*) AS k FROM (SELECT item, item_id, unnest(w) AS term FROM i) GROUP BY item, item_id, term),
+t AS (SELECT place, doc_id, n, term, count(*) AS tf FROM (SELECT place, doc_id, n, unnest(w) AS term FROM e) WHERE term IN (SELECT term FROM q) GROUP BY place, doc_id, n, term),
+f AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS weight FROM t, s GROUP BY term),
+x AS (SELECT item, item_id, place, doc_id, sum(k * weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // length)))) AS score
+  FROM q JOIN f USING (term) JOIN t USING (term), s GROUP BY item, item_id, place, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank FROM x WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score::BIGINT AS score FROM r WHERE rank <= 10
+"""

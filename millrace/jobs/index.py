@@ -51,3 +51,36 @@ def index_corpora(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = (F.col("idx") == 0) & (F.col("end_byte") > F.col("start_byte")) & ((F.abs(norm - 1) < 1e-9) | (F.trim("chunk") == ""))
     rows = _loaded(spark, sf_dir).groupBy("corpus", "path").agg(F.max(first.cast("int")).alias("f"))
     return rows.groupBy("corpus").agg(F.count(F.lit(1)).alias("files"), F.sum(F.col("f").cast("bigint")).alias("firsts"))
+
+
+SYNC = r"""WITH f AS (SELECT 'projects' AS corpus, coalesce(source, '') || '/' || doc_id AS path, doc_id AS id, text FROM documents
+UNION ALL SELECT 'skills', conv_id || '/' || turn, conv_id, text FROM conversations UNION ALL SELECT 'knowledge', 'k/' || item_id, item_id, text FROM benchmark
+UNION ALL SELECT 'tools', 't/' || page_id, page_id, html FROM pages),
+g AS (SELECT corpus, path, id AS mtime, coalesce(id % 251 = 3, false) AS two, coalesce(id % 257 = 5, false) AS gone, coalesce(id % 263 = 9, false) AS three FROM f
+  WHERE strlen(text) > 0 AND (strlen(text) <= 512 OR regexp_matches(text, '\S'))),
+n AS (SELECT 'notes' AS corpus, 'n/' || item_id AS path, item_id AS mtime, item_id % 80 = 7 AS gone FROM benchmark WHERE item_id % 40 = 7 AND strlen(text) > 0),
+e AS (SELECT corpus, path, mtime + CASE WHEN two THEN 1000000 ELSE 0 END + CASE WHEN three THEN 2000000 ELSE 0 END AS mtime, NOT gone AS stays,
+    CASE WHEN three AND NOT gone THEN 3 WHEN two OR gone THEN 2 ELSE 1 END AS touched FROM g
+  UNION ALL SELECT corpus, path, mtime, NOT gone, CASE WHEN gone THEN 3 ELSE 2 END FROM n),
+b AS (SELECT *, ('0x' || substr(md5(corpus || '/' || path), 1, 8))::BIGINT % 64 AS bucket FROM e)
+SELECT corpus, path, mtime, written FROM (SELECT *, max(touched) OVER (PARTITION BY bucket)::BIGINT AS written FROM b) WHERE stays
+"""
+
+
+@JOBS.add(SYNC)
+def index_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files in the index after three rounds of changes on disk, and the version that wrote their bucket last: others stay as they are."""
+    first = _corpora(spark, sf_dir)
+    notes = table(spark, sf_dir, "benchmark").where("item_id % 40 = 7")
+    notes = I.together({"notes": notes.select(F.concat(F.lit("n/"), F.col("item_id").cast("string")).alias("path"), F.col("item_id").cast("bigint").alias("mtime"), F.octet_length("text").cast("bigint").alias("size"), "text")})
+    later = lambda rows, every, at, by: rows.withColumn("mtime", F.when(F.col("id") % every == at, F.col("mtime") + by).otherwise(F.col("mtime")))
+    known = first.withColumn("id", F.col("mtime"))
+    second = later(known, 251, 3, 1_000_000).where("NOT coalesce(id % 257 = 5, false)")
+    third = later(second, 263, 9, 2_000_000)
+    store = I.Store(spark, shared_folder(spark, "index"))
+    store.sync(first)
+    store.sync(second.drop("id").unionByName(notes))
+    store.sync(third.drop("id").unionByName(notes.where("mtime % 80 <> 7")))
+    bucket = I.bucket_of(F.col("corpus"), F.col("path"), I.BUCKETS)
+    rows = store.rows().where("idx = 0").select("corpus", "path", "mtime", bucket.alias("bucket"))
+    return rows.join(F.broadcast(store.written()), "bucket").select("corpus", "path", "mtime", F.col("version").alias("written"))

@@ -26,3 +26,80 @@ def test_empty(spark, tmp_path):
     none = I.together({"projects": spark.createDataFrame([], FILES), "tools": spark.createDataFrame([("a", 1, 1, "x")], FILES)})
     I.build(none, str(tmp_path / "index"))
     assert [r["path"] for r in I.load(spark, str(tmp_path / "index"), none).collect()] == ["a"]
+
+
+def _files(spark, rows):
+    return spark.createDataFrame([("projects", *r) for r in rows], "corpus string, " + FILES)
+
+
+def _state(store):
+    return {(r["path"], r["mtime"]) for r in store.rows().collect()}
+
+
+def test_sync_in_rounds(spark, tmp_path):
+    store = I.Store(spark, str(tmp_path / "i"), buckets=8)
+    assert store.version == 0 and store.rows().collect() == [] and store.valid(_files(spark, [])).collect() == []
+    first = [(f"f{i}", 1, 4, "text") for i in range(40)] + [("bad", 1, 3, None)]
+    assert store.sync(_files(spark, first)) == 1
+    before = {r["bucket"]: r["version"] for r in store.written().collect()}
+    assert set(before.values()) == {1} and len(before) > 4
+    second = [("f0", 2, 5, "other"), *first[2:-1], ("new", 1, 3, "abc")]
+    found = {(r["path"], r["was"], r["is"]) for r in store.differences(_files(spark, second)).collect()}
+    assert found == {("f0", True, True), ("f1", True, False), ("new", False, True)}
+    assert store.sync(_files(spark, second)) == 2
+    assert _state(store) == {(p, m) for p, m, *_ in second}
+    changed = spark.createDataFrame([("projects", p) for p in ("f0", "f1", "new")], "corpus string, path string")
+    touched = {r[0] for r in changed.select(I.bucket_of(changed.corpus, changed.path, 8)).collect()}
+    after = {r["bucket"]: r["version"] for r in store.written().collect()}
+    assert {b for b, v in after.items() if v == 2} <= touched and all(after[b] == 1 for b in before if b not in touched)
+    assert store.sync(_files(spark, second)) == 2, "nothing changed, nothing is written"
+    assert store.sync(_files(spark, [])) == 3 and store.rows().collect() == []
+    assert store.sync(_files(spark, second)) == 4 and len(store.vacuum()) == 3 and _state(store) == {(p, m) for p, m, *_ in second}
+
+
+def test_lost_before_publishing(spark, tmp_path, monkeypatch):
+    import pytest
+
+    store = I.Store(spark, str(tmp_path / "i"))
+    store.sync(_files(spark, [("a", 1, 1, "x")]))
+    with monkeypatch.context() as m:
+        m.setattr(I.Store, "_publish", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            store.sync(_files(spark, [("b", 1, 1, "y")]))
+    assert store.version == 1 and _state(store) == {("a", 1)}
+    manifest = store._manifest()
+    store.sync(_files(spark, [("b", 1, 1, "y")]))
+    with pytest.raises(RuntimeError, match="another writer"):
+        store._publish(manifest | {"version": 2})
+    assert _state(store) == {("b", 1)}
+
+
+def test_nothing_at_all(spark, tmp_path):
+    none = spark.createDataFrame([], "corpus string, " + FILES)
+    I.build(none, str(tmp_path / "i"))
+    assert I.load(spark, str(tmp_path / "i"), none).collect() == []
+
+
+def test_stream(spark, tmp_path):
+    import os
+
+    from millrace.streaming.index import maintain
+
+    schema = "corpus string, path string, op string, at bigint, mtime bigint, size bigint, text string"
+    put = lambda rows: spark.createDataFrame([("projects", *r) for r in rows], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run = lambda: maintain(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "i"), str(tmp_path / "c")).awaitTermination()
+    store = I.Store(spark, str(tmp_path / "i"))
+    put([("a", "write", 1, 1, 1, "x"), ("a", "write", 3, 3, 1, "z"), ("a", "write", 2, 2, 1, "y"), ("b", "write", 1, 1, 1, "b"), ("c", "write", 1, 1, 1, "c"), ("c", "remove", 2, 1, 1, "c")])
+    run()
+    assert _state(store) == {("a", 3), ("b", 1)} and store.version == 1
+    put([("b", "remove", 5, 1, None, None), ("d", "write", 5, 7, 1, "d")])
+    run()
+    assert _state(store) == {("a", 3), ("d", 7)} and store.version == 2
+    for name in ("1", ".1.crc"):  # as if the stream had been lost after the version, before its own commit
+        if os.path.exists(tmp_path / "c" / "commits" / name):
+            os.remove(tmp_path / "c" / "commits" / name)
+    run()
+    assert _state(store) == {("a", 3), ("d", 7)} and store.version == 2
+    put([("d", "write", 9, 9, 1, "e")])
+    run()
+    assert _state(store) == {("a", 3), ("d", 9)} and store.version == 3

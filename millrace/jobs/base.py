@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.functions.shared import shared_folder
+
+__all__ = ["Jobs", "shared_folder", "table"]
+
 
 class Jobs:
     def __init__(self) -> None:
@@ -29,13 +30,3 @@ class Jobs:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; where that is unset, a local one, in local mode only."""
-    root = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    if not root:
-        if not re.match("local(\\[.*\\])?$", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="millrace-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

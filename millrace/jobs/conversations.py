@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.jobs.base import Jobs, table
+from millrace.operators import archives as A
 from millrace.operators import conversation as C
+from millrace.operators import running as R
 
 JOBS = Jobs()
 
@@ -89,6 +91,15 @@ def serialized_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias("shown"))
 
 
+@JOBS.add(GROUPED + """, p AS (SELECT conv_id, turn, lower(role) || ': ' || text AS line, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 4 AS part FROM g)
+SELECT conv_id, part, count(*) AS n, string_agg(line, chr(10) ORDER BY turn) AS shown FROM p GROUP BY conv_id, part""")
+def serialized_turn_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as text in numbered parts of four messages: a conversation of any length fits."""
+    line = F.concat(F.lower("role"), F.lit(": "), F.col("text"))
+    rows = R.parts(C.grouped(_messages(spark, sf_dir)), ["conv_id"], ["turn"], line, 4)
+    return rows.select("conv_id", "part", F.size("items").cast("bigint").alias("n"), F.array_join("items", "\n").alias("shown"))
+
+
 @JOBS.add("""WITH f AS (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS piece, unnest(range(len(string_split(text, ' ')))) AS i FROM conversations WHERE role = 'assistant')
 SELECT conv_id, turn, i % 3 AS idx, count(*) AS n, string_agg(piece, '' ORDER BY i) AS arguments FROM f GROUP BY conv_id, turn, i % 3""")
 def stream_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,15 +115,41 @@ w AS (SELECT conv_id, turn, turn AS root, 0 AS depth FROM t WHERE parent IS NULL
 SELECT conv_id, count(*) AS archived, max(depth)::INTEGER AS depth, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.conv_id = w.conv_id AND t.parent = w.turn)) AS leaves
 FROM w GROUP BY conv_id""")
 def archive_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested archives (each message's parent is (turn - 1) / 2): size, depth and leaves of each tree, level by level."""
+    """Nested archives (each message's parent is (turn - 1) / 2): size, depth and leaves of each tree, by pointer doubling."""
     t = _messages(spark, sf_dir).select("conv_id", "turn", F.when(F.col("turn") > 0, F.floor((F.col("turn") - 1) / 2)).alias("parent"))
-    t.createOrReplaceTempView("millrace_archive")
-    walked = spark.sql("""WITH RECURSIVE w(conv_id, turn, depth) AS (
-      SELECT conv_id, turn, 0 FROM millrace_archive WHERE parent IS NULL
-      UNION ALL SELECT a.conv_id, a.turn, w.depth + 1 FROM millrace_archive a JOIN w ON a.conv_id = w.conv_id AND a.parent = w.turn) SELECT * FROM w""")
+    depth = A.over_ancestors(t.withColumn("value", F.when(F.col("parent").isNull(), 0).otherwise(1)))
     parents = t.where("parent IS NOT NULL").select("conv_id", F.col("parent").alias("turn"), F.lit(True).alias("inner")).distinct()
-    rows = walked.join(parents, ["conv_id", "turn"], "left")
-    return rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("archived"), F.max("depth").alias("depth"), F.sum(F.when(F.col("inner"), 0).otherwise(1)).alias("leaves"))
+    rows = depth.join(parents, ["conv_id", "turn"], "left")
+    return rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("archived"), F.max("sum").cast("int").alias("depth"), F.sum(F.when(F.col("inner"), 0).otherwise(1)).alias("leaves"))
+
+
+FOREST = """WITH RECURSIVE t AS (SELECT conv_id, turn, CASE WHEN turn >= 3 THEN turn // 3 END AS parent FROM conversations),
+n AS (SELECT *, EXISTS (SELECT 1 FROM t c WHERE c.conv_id = t.conv_id AND c.parent = t.turn) AS archived FROM t),
+"""
+
+
+def _forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three messages of a conversation are in the open, others inside a third of their number."""
+    t = _messages(spark, sf_dir).select("conv_id", "turn", F.when(F.col("turn") >= 3, F.floor(F.col("turn") / 3)).cast("int").alias("parent"), F.col("turn").alias("place"))
+    parents = t.where("parent IS NOT NULL").select("conv_id", F.col("parent").alias("turn"), F.lit(True).alias("archived")).distinct()
+    return t.join(parents, ["conv_id", "turn"], "left").withColumn("archived", F.coalesce("archived", F.lit(False)))
+
+
+@JOBS.add(FOREST + """w AS (SELECT conv_id, turn, archived, [turn] AS path FROM n WHERE parent IS NULL
+  UNION ALL SELECT n.conv_id, n.turn, n.archived, list_append(w.path, n.turn) FROM n JOIN w ON n.conv_id = w.conv_id AND n.parent = w.turn)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY path) - 1 AS place, turn, len(path) > 1 AS restored FROM w WHERE NOT archived""")
+def unfreeze_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nested archives opened, in order."""
+    return A.unfreeze_all(_forest(spark, sf_dir))
+
+
+@JOBS.add(FOREST + """l AS (SELECT conv_id, max(turn) AS last FROM n WHERE parent IS NULL AND archived GROUP BY conv_id),
+o AS (SELECT n.*, coalesce(parent = last, false) AS restored, last FROM n LEFT JOIN l ON n.conv_id = l.conv_id)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY CASE WHEN restored THEN last ELSE turn END, turn) - 1 AS place, turn, restored FROM o
+WHERE (parent IS NULL AND turn IS DISTINCT FROM last) OR restored""")
+def unfreeze_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last archive in the open, opened by one level."""
+    return A.unfreeze_last(_forest(spark, sf_dir))
 
 
 @JOBS.add("""SELECT conv_id, max(turn) AS updated_at, count(*) AS n, row_number() OVER (ORDER BY max(turn) DESC, conv_id)::INTEGER AS place FROM conversations

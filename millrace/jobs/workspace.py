@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions import text as X
 from millrace.jobs.base import Jobs, table
 from millrace.operators import code as C
+from millrace.operators import running as R
 from millrace.operators.mentions import mentions, text_key
 
 JOBS = Jobs()
@@ -92,6 +93,16 @@ def module_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("source", "files", F.array_join(shown, ",").alias("nested"))
 
 
+@JOBS.add("""WITH r AS (SELECT source, doc_id, doc_id || ':' || len(string_split(coalesce(text, ''), chr(10))) AS shown, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 100 AS part FROM documents)
+SELECT source, part, count(*) AS files, string_agg(shown, ',' ORDER BY doc_id) AS nested FROM r GROUP BY source, part""")
+def module_file_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Modules with their files nested in order, in numbered parts of 100 files: a module of any size fits."""
+    rows = table(spark, sf_dir, "documents").select("source", "doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).alias("lines"))
+    shown = F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("lines").cast("string"))
+    out = R.parts(rows, ["source"], ["doc_id"], shown, 100)
+    return out.select("source", "part", F.size("items").cast("bigint").alias("files"), F.array_join("items", ",").alias("nested"))
+
+
 @JOBS.add("""WITH p AS (SELECT page_id, regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)/?$', 1) || CASE page_id % 6 WHEN 0 THEN '.PY' WHEN 1 THEN '.rs' WHEN 2 THEN '.h' WHEN 3 THEN '.txt' WHEN 4 THEN '.sql' ELSE '' END AS f FROM pages)
 SELECT CASE WHEN f LIKE '%.PY' THEN 'Python' WHEN f LIKE '%.rs' THEN 'Rust' WHEN f LIKE '%.h' THEN 'C' WHEN f LIKE '%.sql' THEN 'SQL' WHEN f LIKE '%.html' THEN 'HTML' ELSE 'Other' END AS language, count(*) AS n FROM p GROUP BY 1""")
 def languages_by_extension(spark: SparkSession, sf_dir: str) -> DataFrame:

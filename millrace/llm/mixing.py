@@ -13,7 +13,8 @@ only rows of one bucket are sorted together. What comes back is one threshold pe
 themselves are never shuffled.
 
 Defined cases: null text has size 0; a null source is a source of its own, the last in order; a source without
-words has target 0; repeated rows have the same rank and are taken or left together; empty tables give empty
+words has target 0; rows with equal id (or none) and different texts have ranks of their own; rows with equal id and text share a rank, and
+as many of them are taken as the target wants, told apart by their place in the scan; empty tables give empty
 results; extra columns are kept by ``mix`` and not read by ``plan``.
 """
 
@@ -41,9 +42,9 @@ def word_count(text: Column) -> Column:
     return F.when(text.isNull() | (text == ""), 0).otherwise(parts - edge).cast("bigint")
 
 
-def uniform(doc_id: Column, seed: int = SEED) -> Column:
-    """A number in (0, 1) that depends on the id alone."""
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), doc_id), 12)
+def uniform(doc_id: Column, words: Column, seed: int = SEED) -> Column:
+    """A number in (0, 1) that depends on the id and the text alone (by the text's hash ``words``)."""
+    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), doc_id, words), 12)
     return (bits.cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
@@ -100,8 +101,13 @@ def _copies(sized: DataFrame, sources: DataFrame, most: float) -> DataFrame:
     return by.join(sources.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
 
 
-def _rank(doc_id: Column) -> Column:
-    u = uniform(doc_id)
+def _keyed(documents: DataFrame) -> DataFrame:
+    """Adds the text's hash, and what orders rows whose id and text are equal: any row of them will do."""
+    return documents.withColumn("__words", F.xxhash64("text")).withColumn("__tie", F.xxhash64(F.monotonically_increasing_id()))
+
+
+def _rank() -> Column:
+    u = uniform(F.col("doc_id"), F.col("__words"))
     return F.when(F.col("odds") > 0, u / (1 - u) / F.col("odds"))
 
 
@@ -113,13 +119,14 @@ def _with_sources(df: DataFrame, sources: DataFrame, n: int) -> DataFrame:
 
 def plan(documents: DataFrame, scratch: Scratch, most: float = MOST, **options) -> tuple[DataFrame, DataFrame, int]:
     """(sized documents, table of sources with thresholds, number of sources)."""
-    sized = scratch.save(documents.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sized")
+    sized = _keyed(documents.select("doc_id", "source", "text"))
+    sized = scratch.save(sized.select("doc_id", "source", word_count(F.col("text")).alias("size"), "__words", "__tie"), "sized")
     sources = scratch.save(targets(sized, most=most, **options), "targets")
     n, docs = sources.agg(F.count(F.lit(1)), F.sum("n_docs")).first()
     sources = scratch.save(_copies(sized, sources, most), "sources")
     buckets = min(max(256, (docs or 0) // 2000), 100_000)
     ranked = _with_sources(sized.where(F.col("size") > 0).withColumn("__size", F.col("size")), sources, n).where(F.col("odds") > 0)
-    ranked = ranked.select("source", "doc_id", "size", "rest_words", "target", _rank(F.col("doc_id")).alias("rank"))
+    ranked = ranked.select("source", "size", "rest_words", "target", _rank().alias("rank"), "__tie")
     ranked = ranked.withColumn("bucket", F.floor(F.col("rank") / (1 + F.col("rank")) * buckets))
     sums = ranked.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("rest_words").alias("rest_words"))
     by_source = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -127,20 +134,20 @@ def plan(documents: DataFrame, scratch: Scratch, most: float = MOST, **options)
     split = sums.where((F.col("before") <= F.col("rest_words")) & (F.col("before") + F.col("words") > F.col("rest_words")))
     split = split.select(F.col("source").alias("__s"), F.col("bucket").alias("__b"), "before")
     inside = ranked.join(F.broadcast(split) if n <= SMALL_SOURCES else split, F.col("source").eqNullSafe(F.col("__s")) & (F.col("bucket") == F.col("__b")))
-    in_bucket = Window.partitionBy("source", "bucket").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    in_bucket = Window.partitionBy("source", "bucket").orderBy("rank", "__tie").rowsBetween(Window.unboundedPreceding, -1)
     inside = inside.withColumn("before", F.col("before") + F.coalesce(F.sum("size").over(in_bucket), F.lit(0)))
     inside = inside.withColumn("sum", F.col("before") + F.col("size")).where(F.col("sum") <= F.col("rest_words"))
-    last = inside.groupBy("source").agg(F.max("rank").alias("last"), F.max("sum").alias("sum"))
+    last = inside.groupBy("source").agg(F.max(F.struct("rank", "__tie")).alias("last"), F.max("sum").alias("sum"))
     whole = sums.withColumn("sum", F.col("before") + F.col("words")).where(F.col("sum") <= F.col("rest_words"))
     full = whole.groupBy("source").agg(F.max("bucket").alias("full"), F.max("sum").alias("sum"))
     bounds = scratch.save(_bounds(full, last), "bounds")
     small = F.broadcast(bounds) if n <= SMALL_SOURCES else bounds
     others = ranked.join(small, F.col("source").eqNullSafe(F.col("__source")), "left")
     gap = F.col("rest_words") - F.coalesce("sum", F.lit(0))
-    others = others.where(~F.coalesce(_chosen(F.col("bucket"), F.col("rank")), F.lit(False)) & (F.abs(gap - F.col("size")) < gap))
+    others = others.where(~F.coalesce(_chosen(F.col("bucket"), F.col("rank"), F.col("__tie")), F.lit(False)) & (F.abs(gap - F.col("size")) < gap))
     off = F.greatest(F.abs(gap - F.col("size")) - NEAR * F.col("target"), F.lit(0.0))
-    extra = others.groupBy("source").agg(F.min_by(F.struct("rank", "doc_id"), F.struct(off.alias("off"), "rank", "doc_id")).alias("extra"))
-    extra = scratch.save(extra.select(F.col("source").alias("__extra"), F.col("extra.rank").alias("extra_rank"), F.col("extra.doc_id").alias("extra_id")), "extra")
+    extra = others.groupBy("source").agg(F.min(F.struct(off.alias("off"), "rank", "__tie")).alias("extra"))
+    extra = scratch.save(extra.select(F.col("source").alias("__extra"), F.col("extra.rank").alias("extra_rank"), F.col("extra.__tie").alias("extra_tie")), "extra")
     out = sources.join(bounds, sources["source"].eqNullSafe(bounds["__source"]), "left").drop("__source", "sum")
     out = out.join(extra, out["source"].eqNullSafe(extra["__extra"]), "left").drop("__extra")
     return sized, scratch.save(out.withColumn("buckets", F.lit(buckets)), "thresholds"), n
@@ -148,21 +155,23 @@ def plan(documents: DataFrame, scratch: Scratch, most: float = MOST, **options)
 
 def _bounds(full: DataFrame, last: DataFrame) -> DataFrame:
     """(source, largest bucket taken whole, largest rank taken, sum of the words of both)."""
-    both = full.select("source", "full", F.lit(None).cast("double").alias("last"), "sum").unionByName(
+    both = full.select("source", "full", F.lit(None).cast("struct<rank: double, __tie: bigint>").alias("last"), "sum").unionByName(
         last.select("source", F.lit(None).cast("bigint").alias("full"), "last", "sum")
     )
     return both.groupBy("source").agg(F.max("full").alias("full"), F.max("last").alias("last"), F.max("sum").alias("sum")).withColumnRenamed("source", "__source")
 
 
-def _chosen(bucket: Column, rank: Column) -> Column:
-    return F.coalesce(bucket <= F.col("full"), F.lit(False)) | F.coalesce(rank <= F.col("last"), F.lit(False))
+def _chosen(bucket: Column, rank: Column, tie: Column) -> Column:
+    last = F.col("last")
+    before = (rank < last["rank"]) | ((rank == last["rank"]) & (tie <= last["__tie"]))
+    return F.coalesce(bucket <= F.col("full"), F.lit(False)) | F.coalesce(before, F.lit(False))
 
 
 def _taken_copies(size: Column) -> Column:
-    rank = _rank(F.col("doc_id"))
+    rank, tie = _rank(), F.col("__tie")
     bucket = F.floor(rank / (1 + rank) * F.col("buckets"))
-    extra = (rank == F.col("extra_rank")) & F.col("doc_id").eqNullSafe(F.col("extra_id"))
-    chosen = (size > 0) & (_chosen(bucket, rank) | F.coalesce(extra, F.lit(False)))
+    extra = (rank == F.col("extra_rank")) & (tie == F.col("extra_tie"))
+    chosen = (size > 0) & (_chosen(bucket, rank, tie) | F.coalesce(extra, F.lit(False)))
     return F.coalesce(F.col("certain"), F.lit(0)) + F.when(F.coalesce(chosen, F.lit(False)), 1).otherwise(0)
 
 
@@ -176,9 +185,9 @@ def takes(documents: DataFrame, **options) -> DataFrame:
 def mix(documents: DataFrame, **options) -> DataFrame:
     """The documents of the mix, each as often as it is taken; columns as they are. Documents without words are in it once."""
     _, sources, n = plan(documents, Scratch(documents.sparkSession), **options)
-    names = ["source_size", "n_docs", "target", "certain", "odds", "rest_words", "full", "last", "extra_rank", "extra_id", "buckets"]
+    names = ["source_size", "n_docs", "target", "certain", "odds", "rest_words", "full", "last", "extra_rank", "extra_tie", "buckets"]
     clash = {c: f"__kept_{c}" for c in documents.columns if c in names}
-    out = _with_sources(documents.withColumnsRenamed(clash).withColumn("__size", word_count(F.col("text"))), sources, n)
+    out = _with_sources(_keyed(documents.withColumnsRenamed(clash)).withColumn("__size", word_count(F.col("text"))), sources, n)
     size = word_count(F.col("text"))
     copies = F.when(size > 0, _taken_copies(size)).otherwise(1)
     out = out.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).drop("__copy", *names)

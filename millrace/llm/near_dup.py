@@ -225,7 +225,7 @@ def classes(documents: DataFrame) -> DataFrame:
 
 
 def first_of_each(documents: DataFrame) -> DataFrame:
-    """``documents`` with one document of each class, the one with the smallest doc_id; of rows with equal id and words one stays."""
+    """``documents`` with one document of each class, the one with the smallest doc_id; of rows with equal id and words the first by text, then by the other columns."""
     scratch = Scratch(documents.sparkSession)
     found = text_classes(documents, scratch)
     ids = found.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.sum("n").alias("n")).where("n > 1 or class_id <> doc_id")
@@ -235,5 +235,8 @@ def first_of_each(documents: DataFrame) -> DataFrame:
     marked = append_columns(several, "text", [T.StructField("__p1", T.LongType()), T.StructField("__p2", T.LongType())], fingerprints)
     told = found.select(F.col("doc_id").alias("__id"), F.col("p1").alias("__q1"), F.col("p2").alias("__q2"), "class_id").withColumnRenamed("class_id", "__class")
     same = (F.col("doc_id") == F.col("__id")) & (F.col("__p1") == F.col("__q1")) & (F.col("__p2") == F.col("__q2"))
-    kept = marked.dropDuplicates(["doc_id", "__p1", "__p2"]).join(told, same, "left").where("__class is null or __class = doc_id")
+    own = marked.columns
+    order = F.struct("text", F.to_json(F.struct(*(c for c in own if c != "text"))).alias("rest"))
+    first = marked.groupBy("doc_id", "__p1", "__p2").agg(F.min_by(F.struct(*own), order).alias("first")).select("first.*")
+    kept = first.join(told, same, "left").where("__class is null or __class = doc_id")
     return plain.select(*documents.columns).unionByName(kept.select(*documents.columns))

@@ -70,10 +70,15 @@ def module_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.line_stats(_docs(spark, sf_dir), "source").select("source", "files", "lines", "code").join(langs, "source")
 
 
-@JOBS.add(LINES + rf""", k AS (SELECT *, {KIND} AS kind FROM l) SELECT doc_id, line_no,
-  trim(regexp_replace(regexp_replace(trim(line), '^(/{{2,}}!?|/\*+|\*+/?|#+|--+|;;+|%%+)', ''), '\*+/$', '')) AS comment FROM k WHERE kind = 'comment'""")
+@JOBS.add(LINES + r""", m AS (SELECT doc_id, line_no, trim(replace(line, '*', '')) AS said, (doc_id + line_no) % 9 AS k FROM l)
+SELECT doc_id, line_no, said AS comment FROM m WHERE k < 8""")
 def comment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = C.lines(_docs(spark, sf_dir), "doc_id").where(X.is_comment(F.col("line")) & (F.trim("line") != ""))
+    """The lines of the documents as comments in eight notations (every ninth stays code), read back without the marks."""
+    marks = F.array(*map(F.lit, ("// ", "# ", "/* ", " * ", "-- ", ";; ", "  %% ", "//! ", "x = ")))
+    rows = C.lines(_docs(spark, sf_dir), "doc_id").withColumn("k", ((F.col("doc_id") + F.col("line_no")) % 9).cast("int"))
+    said = F.trim(F.regexp_replace("line", "\\*", ""))
+    rows = rows.withColumn("line", F.concat(F.element_at(marks, F.col("k") + 1), said, F.when(F.col("k") == 2, F.lit(" */")).otherwise(F.lit(""))))
+    rows = rows.where(X.is_comment(F.col("line")))
     return rows.select("doc_id", "line_no", X.clean_comment(F.col("line")).alias("comment"))
 
 
@@ -131,14 +136,45 @@ def module_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.exported(s, "ext", "line").select("page_id", "name").distinct()
 
 
-@JOBS.add("""WITH f AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'src/m.RS' WHEN 1 THEN 'a/Makefile' WHEN 2 THEN 'b.d/conf.yaml' WHEN 3 THEN 'x/notes.txt' ELSE 'lib/v.tsx' END AS path FROM pages)
-SELECT path, path LIKE '%.RS' OR path LIKE '%.tsx' AS source, path LIKE '%Makefile' OR path LIKE '%.yaml' AS config, count(*) AS n FROM f GROUP BY ALL""")
+KINDS = """WITH k(i, path, source, config, language) AS (VALUES (0, 'src/m.RS', true, false, 'Rust'), (1, 'a/Makefile', false, true, 'Other'), (2, 'b.d/conf.yaml', false, false, 'Other'),
+  (3, 'x/notes.txt', false, false, 'Other'), (4, 'lib/v.tsx', true, false, 'TypeScript'), (5, 'Dockerfile', false, true, 'Other'), (6, 'go.mod', false, true, 'Other'),
+  (7, 'p/setup.py', true, true, 'Python'), (8, 'pom.xml', false, true, 'Other'), (9, 'README.md', false, true, 'Other'), (10, 'w/App.CSPROJ', false, true, 'Other'), (11, 'w/all.sln', false, true, 'Other'),
+  (12, 'a.json', false, false, 'Other'), (13, 'b.toml', false, false, 'Other'), (14, 'c/package.json', false, true, 'Other'), (15, 'd/build.gradle.kts', true, true, 'Kotlin'), (16, 'e.hpp', true, false, 'C++'),
+  (17, 'f.bash', true, false, 'Shell'), (18, 'g.ps1', true, false, 'PowerShell'), (19, 'h.lua', true, false, 'Lua'), (20, 'i.sql', false, false, 'Other'), (21, 'j.html', false, false, 'Other'),
+  (22, 'k.jsx', true, false, 'JavaScript'), (23, 'l.cxx', true, false, 'C++'), (24, 'm.exs', true, false, 'Elixir'), (25, 'n.pl', true, false, 'Other'), (26, 'o.ml', true, false, 'OCaml'), (27, '.gitignore', false, true, 'Other'))
+SELECT path, source, config, language, count(*) AS n FROM pages JOIN k ON page_id % 28 = i GROUP BY ALL"""
+PATHS = (
+    "src/m.RS", "a/Makefile", "b.d/conf.yaml", "x/notes.txt", "lib/v.tsx", "Dockerfile", "go.mod", "p/setup.py", "pom.xml", "README.md", "w/App.CSPROJ", "w/all.sln", "a.json", "b.toml",
+    "c/package.json", "d/build.gradle.kts", "e.hpp", "f.bash", "g.ps1", "h.lua", "i.sql", "j.html", "k.jsx", "l.cxx", "m.exs", "n.pl", "o.ml", ".gitignore",
+)
+
+
+@JOBS.add(KINDS)
 def file_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which files are sources and which configurations."""
-    names = F.array(*map(F.lit, ("src/m.RS", "a/Makefile", "b.d/conf.yaml", "x/notes.txt", "lib/v.tsx")))
-    rows = table(spark, sf_dir, "pages").select(F.element_at(names, (F.col("page_id") % 5 + 1).cast("int")).alias("path"))
-    rows = rows.select("path", C.is_source(F.col("path")).alias("source"), C.is_config(F.col("path")).alias("config"))
-    return rows.groupBy("path", "source", "config").agg(F.count(F.lit(1)).alias("n"))
+    """Which files are sources and which configurations, and their languages."""
+    names = F.array(*map(F.lit, PATHS))
+    rows = table(spark, sf_dir, "pages").select(F.element_at(names, (F.col("page_id") % len(PATHS) + 1).cast("int")).alias("path"))
+    path = F.col("path")
+    return rows.groupBy("path", C.is_source(path).alias("source"), C.is_config(path).alias("config"), C.language(path).alias("language")).agg(F.count(F.lit(1)).alias("n"))
+
+
+DECLARED = (
+    ("rs", "a", "pub fn a()"), ("rs", "b", "fn b() { \"pub \" }"), ("go", "Up", "func Up()"), ("go", "low", "func low()"), ("py", "_x", "def _x():"), ("py", "x", "def x():"), ("jsx", "f", "export function f()"),
+    ("tsx", "g", "function g()"), ("vue", "h", "export const h"), ("svelte", "i", "let i"), ("java", "j", "public int j()"), ("scala", "k", "def k"), ("kts", "l", "internal fun l()"), ("kt", "m", "fun m()"),
+    ("rb", "n", "protected def n"), ("php", "o", "function o()"), ("swift", "p", "internal func p()"), ("cc", "q", "int q()"), ("cxx", "r", "int r()"), ("h", "s", "int s();"), ("hpp", "t", "int t();"),
+    ("lua", "u", "function u()"), ("dart", "v", "private v"), ("cs", "w", "int w()"),
+)
+PUBLIC = "rs:a go:Up py:x jsx:f vue:h java:j kt:m php:o h:s hpp:t lua:u dart:v"
+
+
+@JOBS.add(f"""SELECT ext, name, list_contains(string_split('{PUBLIC}', ' '), ext || ':' || name) AS public, count(*) AS n FROM pages
+JOIN (VALUES {", ".join(f"({i}, '{e}', '{n}')" for i, (e, n, _) in enumerate(DECLARED))}) AS d(i, ext, name) ON page_id % {len(DECLARED)} = i GROUP BY ALL""")
+def exports_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which declarations are public in their languages."""
+    known = F.array(*(F.struct(F.lit(e).alias("ext"), F.lit(n).alias("name"), F.lit(d).alias("line")) for e, n, d in DECLARED))
+    rows = table(spark, sf_dir, "pages").select(F.element_at(known, (F.col("page_id") % len(DECLARED) + 1).cast("int")).alias("d")).select("d.*")
+    public = C.is_public(F.col("name"), F.col("ext"), F.col("line")).alias("public")
+    return rows.groupBy("ext", "name", public).agg(F.count(F.lit(1)).alias("n"))
 
 
 @JOBS.add(LINKS + "SELECT page_id, count(*) AS functions FROM w WHERE k <> 3 GROUP BY page_id")

@@ -104,7 +104,7 @@ def module_file_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @JOBS.add("""WITH p AS (SELECT page_id, regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)/?$', 1) || CASE page_id % 6 WHEN 0 THEN '.PY' WHEN 1 THEN '.rs' WHEN 2 THEN '.h' WHEN 3 THEN '.txt' WHEN 4 THEN '.sql' ELSE '' END AS f FROM pages)
-SELECT CASE WHEN f LIKE '%.PY' THEN 'Python' WHEN f LIKE '%.rs' THEN 'Rust' WHEN f LIKE '%.h' THEN 'C' WHEN f LIKE '%.sql' THEN 'SQL' WHEN f LIKE '%.html' THEN 'HTML' ELSE 'Other' END AS language, count(*) AS n FROM p GROUP BY 1""")
+SELECT CASE WHEN f LIKE '%.PY' THEN 'Python' WHEN f LIKE '%.rs' THEN 'Rust' WHEN f LIKE '%.h' THEN 'C' ELSE 'Other' END AS language, count(*) AS n FROM p GROUP BY 1""")
 def languages_by_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.regexp_extract(F.regexp_replace("url", "[?#].*$", ""), "([^/]*)/?$", 1)
     k = F.col("page_id") % 6

@@ -6,19 +6,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import clean_comment, is_comment
+from millrace.operators.running import running
 
-# Names of languages by file extension.
+# Names of languages by file extension; others are Other.
 LANGUAGES = {
-    "rs": "Rust", "go": "Go", "py": "Python", "js": "JavaScript", "ts": "TypeScript", "java": "Java", "kt": "Kotlin", "scala": "Scala",
-    "c": "C", "h": "C", "cpp": "C++", "cs": "C#", "rb": "Ruby", "php": "PHP", "swift": "Swift", "sh": "Shell", "sql": "SQL", "html": "HTML",
+    "rs": "Rust", "py": "Python", "go": "Go", "js": "JavaScript", "jsx": "JavaScript", "ts": "TypeScript", "tsx": "TypeScript", "java": "Java",
+    "kt": "Kotlin", "kts": "Kotlin", "c": "C", "h": "C", "cpp": "C++", "hpp": "C++", "cc": "C++", "cxx": "C++", "cs": "C#", "rb": "Ruby", "php": "PHP",
+    "swift": "Swift", "scala": "Scala", "sh": "Shell", "bash": "Shell", "ps1": "PowerShell", "lua": "Lua", "r": "R", "jl": "Julia", "dart": "Dart",
+    "vue": "Vue", "svelte": "Svelte", "clj": "Clojure", "ex": "Elixir", "exs": "Elixir", "erl": "Erlang", "hs": "Haskell", "ml": "OCaml",
 }
-# Extensions of sources and of configurations, names of configurations, kinds of symbols that can be exported.
+# Extensions of sources, names and extensions of configurations, kinds of symbols that can be exported.
 SOURCES = (
     "rs", "py", "go", "js", "ts", "jsx", "tsx", "java", "kt", "kts", "c", "h", "cpp", "hpp", "cc", "cxx", "cs", "rb", "php", "swift", "scala",
     "clj", "ex", "exs", "erl", "hs", "ml", "lua", "sh", "bash", "ps1", "pl", "r", "jl", "dart", "vue", "svelte", "m", "mm",
 )
-CONFIGS = ("toml", "yaml", "yml", "json", "ini", "cfg", "conf")
-CONFIG_NAMES = ("Cargo.lock", "rust-toolchain", "CMakeLists.txt", "Makefile", "makefile", "GNUmakefile", "configure", "BUILD", "WORKSPACE", "Pipfile", "Pipfile.lock", "poetry.lock")
+CONFIG_NAMES = (
+    "Cargo.toml", "Cargo.lock", "rust-toolchain", "rust-toolchain.toml", "rustfmt.toml", ".rustfmt.toml", "clippy.toml", "CMakeLists.txt", "Makefile",
+    "makefile", "GNUmakefile", "configure", "configure.ac", "meson.build", "BUILD", "BUILD.bazel", "WORKSPACE", "pom.xml", "build.gradle",
+    "build.gradle.kts", "settings.gradle", "settings.gradle.kts", "gradle.properties", "pyproject.toml", "setup.py", "setup.cfg", "requirements.txt",
+    "Pipfile", "Pipfile.lock", "poetry.lock", "tox.ini", "pytest.ini", "mypy.ini", "ruff.toml", "package.json", "package-lock.json", "yarn.lock",
+    "pnpm-lock.yaml", "tsconfig.json", ".eslintrc", ".eslintrc.json", ".prettierrc", "webpack.config.js", "vite.config.js", "rollup.config.js",
+    "next.config.js", "nuxt.config.js", "packages.config", "Directory.Build.props", "global.json", "nuget.config", "go.mod", "go.sum", "Gemfile",
+    "Gemfile.lock", "Rakefile", ".ruby-version", "composer.json", "composer.lock", "Dockerfile", "docker-compose.yml", "docker-compose.yaml",
+    ".dockerignore", ".gitignore", ".gitattributes", "README.md", "README", "LICENSE", "LICENSE.md", "CHANGELOG.md", "CONTRIBUTING.md",
+)
+CONFIGS = ("csproj", "fsproj", "vbproj", "sln")
 EXPORT_KINDS = ("function", "func", "fn", "struct", "class", "interface", "trait", "enum", "type", "typedef", "constant", "const", "static", "module", "namespace", "union", "protocol")
 
 FUNCTION_KINDS = ("function", "func", "fn", "method")
@@ -53,9 +65,8 @@ def capped(hits: DataFrame, by: list[str], order: list[str], most: int) -> DataF
 
 
 def budgeted(hits: DataFrame, by: list[str], order: list[str], size: Column, budget: int) -> DataFrame:
-    """Hits until their running size is over the budget: sums only grow, so the first overflow ends it."""
-    window = Window.partitionBy(*by).orderBy(*order)
-    return hits.withColumn("used", F.sum(size).over(window)).where(F.col("used") <= budget)
+    """Hits until their running size is over the budget: sums only grow, so the first overflow ends it. Keys of any size are summed in ranges."""
+    return running(hits, by, order, {"used": size}).where(F.col("used") <= budget)
 
 
 def line_kind(line: Column) -> Column:
@@ -108,14 +119,15 @@ def symbols(lines: DataFrame) -> DataFrame:
 
 def is_public(name: Column, ext: Column, declaration: Column) -> Column:
     """Whether a declaration is exported, by the rules of its language."""
+    hidden = lambda *words: ~F.array_contains(F.array(*(declaration.contains(w) for w in words)), True)
     return (
-        F.when(ext == "rs", declaration.rlike("^\\s*pub\\b"))
+        F.when(ext == "rs", F.ltrim(declaration).startswith("pub ") | F.ltrim(declaration).startswith("pub("))
         .when(ext == "go", name.rlike("^\\p{Lu}"))
         .when(ext == "py", ~name.startswith("_"))
-        .when(ext.isin("js", "ts"), declaration.contains("export "))
+        .when(ext.isin("js", "jsx", "ts", "tsx", "vue", "svelte"), declaration.contains("export "))
         .when(ext.isin("java", "cs", "scala"), declaration.contains("public "))
-        .when(ext.isin("kt", "rb", "php", "swift"), ~declaration.contains("private "))
-        .when(ext.isin("c", "cpp"), F.lit(False))
+        .when(ext.isin("kt", "kts", "rb", "php", "swift"), hidden("private ", "internal ", "protected "))
+        .when(ext.isin("c", "cpp", "cc", "cxx"), F.lit(False))
         .otherwise(F.lit(True))
     )
 

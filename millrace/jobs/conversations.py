@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.jobs.base import Jobs, table
 from millrace.operators import archives as A
 from millrace.operators import conversation as C
+from millrace.operators import fragments as P
 from millrace.operators import running as R
 
 JOBS = Jobs()
@@ -152,6 +153,23 @@ def unfreeze_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.unfreeze_last(_forest(spark, sf_dir))
 
 
+@JOBS.add("""WITH p AS (SELECT conv_id || '/' || turn AS stream, string_split(text, ' ') AS w FROM conversations WHERE role = 'assistant'),
+f AS (SELECT stream, unnest(range(len(w))) AS seq, unnest(w) AS piece FROM p WHERE len(w) % 5 <> 3)
+SELECT stream, seq % 3 AS idx, 'c' || max(seq) AS id, coalesce(string_agg(piece, '' ORDER BY seq) FILTER (WHERE seq < 3), '') AS name, coalesce(string_agg(piece, '' ORDER BY seq) FILTER (WHERE seq >= 3), '') AS arguments
+FROM f GROUP BY stream, seq % 3""")
+def assembled_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of answers as fragments of three calls, out of order and repeated; of some streams the last but one is lost."""
+    rows = _messages(spark, sf_dir).where("role = 'assistant'").select(F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string")).alias("stream"), F.split("text", " ").alias("w"))
+    rows = rows.select("stream", F.size("w").alias("n"), F.posexplode("w").alias("seq", "piece"))
+    name = F.when(F.col("seq") < 3, F.col("piece"))
+    fragments = rows.select(
+        "stream", F.col("seq").cast("bigint").alias("seq"), (F.col("seq") % 3).alias("idx"), F.concat(F.lit("c"), F.col("seq").cast("string")).alias("id"), name.alias("name"),
+        F.when(name.isNull(), F.col("piece")).alias("arguments"), (F.col("seq") == F.col("n") - 1).alias("last"), "n",
+    )
+    kept = fragments.where("n % 5 <> 3 OR (n > 1 AND seq <> n - 2)")
+    return P.assembled(kept.drop("n").unionByName(kept.where("seq % 4 = 1").drop("n")))
+
+
 @JOBS.add("""SELECT conv_id, max(turn) AS updated_at, count(*) AS n, row_number() OVER (ORDER BY max(turn) DESC, conv_id)::INTEGER AS place FROM conversations
 WHERE conv_id % 9 <> 4 GROUP BY conv_id""")
 def sessions_listing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from millrace.functions import text as X
 from millrace.jobs.base import Jobs, table
 from millrace.operators import chunking
 from millrace.operators import code as C
+from millrace.operators import lexer as L
 
 JOBS = Jobs()
 QUERIES = ["(?i)licen[sc]e", "^\\s*\\S+\\s*$", "[0-9]{3,}"]
@@ -208,6 +209,41 @@ def file_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sources(spark, sf_dir).select("page_id", C.file_doc(F.col("text")).alias("doc"))
 
 
+NESTED = r"""WITH w AS (SELECT page_id, page_id % 3 AS k, unnest(list_transform(w, lambda x: 'x' || x)) AS w, unnest(range(len(w))) AS i FROM (SELECT page_id, regexp_extract_all(html, 'href="/([A-Za-z]+)"', 1) AS w FROM pages))"""
+
+
+def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source files made of the links of pages: for each a class in a class, in Python, a module in Rust, a class with comments in JavaScript."""
+    ext = F.element_at(F.array(*map(F.lit, ("py", "rs", "js"))), (F.col("page_id") % 3 + 1).cast("int"))
+    links = F.regexp_extract_all("html", F.lit('href="/([A-Za-z]+)"'), F.lit(1))
+    forms = {
+        "py": 'class W_:\n    """Doc of\n    it."""\n    class In:\n        def _(\n            self,\n            x: int,\n        ) -> int:\n            return "def no(): # {" if x and 1 else 2\n    def tail(self): pass\n',
+        "rs": "pub mod m_ {\n/* one {\n   fn no() {}\n*/\n    struct S {\n    }\n    impl S {\n        fn _(\n            a: u8, // no\n        ) -> u8\n        {\n            if a > 1 && true { 1 }\n        }\n    }\n}\n",
+        "js": "// class No {\nexport class K_ {\n  x = 'function no() {';\n}\nfunction _(a) { while (a) { a = a || `\nfunction no() {\n`; } }\n",
+    }
+    form = F.element_at(F.create_map(*(F.lit(x) for kv in forms.items() for x in kv)), ext)
+    text = F.array_join(F.transform(links, lambda w: F.replace(form, F.lit("_"), F.concat(F.lit("x"), w))), "")
+    return table(spark, sf_dir, "pages").select("page_id", ext.alias("ext"), text.alias("text"))
+
+
+@JOBS.add(NESTED + """, s(k, line, kind, name, scope, signature) AS (VALUES (0, 1, 'class', 'W_', NULL, NULL), (0, 4, 'class', 'In', 'W_', NULL), (0, 5, 'method', '_', 'W_.In', '( self, x: int, ) -> int'), (0, 10, 'method', 'tail', 'W_', '(self)'),
+  (1, 1, 'module', 'm_', NULL, NULL), (1, 5, 'class', 'S', 'm_', NULL), (1, 7, 'implementation', 'S', 'm_', NULL), (1, 8, 'method', '_', 'm_.S', '( a: u8, ) -> u8'),
+  (2, 2, 'class', 'K_', NULL, NULL), (2, 5, 'function', '_', NULL, '(a)'))
+SELECT page_id, (i * CASE k WHEN 0 THEN 10 WHEN 1 THEN 15 ELSE 7 END + line)::INTEGER AS line_no, kind, replace(name, '_', w) AS name, replace(scope, '_', w) AS scope, signature FROM w JOIN s USING (k)""")
+def scoped_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declarations with the chain of what they are in, and signatures over lines."""
+    return L.scoped_symbols(_nested(spark, sf_dir), "page_id").drop("ext")
+
+
+@JOBS.add(NESTED + """, e(k, ext) AS (VALUES (0, 'py'), (1, 'rs'), (2, 'js')), n AS (SELECT k, count(*) AS n FROM w GROUP BY k),
+f AS (SELECT page_id % 3 AS k, count(*) AS files FROM pages GROUP BY ALL)
+SELECT ext, files, (files + n * CASE k WHEN 0 THEN 10 WHEN 1 THEN 15 ELSE 7 END)::BIGINT AS lines, (n * CASE k WHEN 0 THEN 8 WHEN 1 THEN 12 ELSE 6 END)::BIGINT AS code,
+  (n * CASE k WHEN 0 THEN 2 WHEN 1 THEN 3 ELSE 1 END)::BIGINT AS comments, files AS blanks, (n * 2)::BIGINT AS complexity FROM f JOIN n USING (k) JOIN e USING (k)""")
+def lexed_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of code, comments and blanks with complexity, told over line ends."""
+    return L.lexed_stats(_nested(spark, sf_dir), "ext").drop("bytes")
+
+
 @JOBS.add()
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.symbols(C.lines(_sources(spark, sf_dir), "page_id", "ext")).select("page_id", "line_no", "kind", "name")

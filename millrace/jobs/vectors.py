@@ -58,8 +58,8 @@ SELECT query_id, vec_id, place::INTEGER AS rank, round(dist, 4) AS dist FROM o W
 def knn_project_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The project's filter comes before the search."""
     e = table(spark, sf_dir, "embeddings").withColumn("project", F.col("label") % 3)
-    found = [V.knn(e.where(F.col("project") == p), e.where((F.col("project") == p) & (F.col("vec_id") % 20 == 0)), 5) for p in range(3)]
-    return found[0].unionByName(found[1]).unionByName(found[2]).select("query_id", "vec_id", "rank", F.round("dist", 4).alias("dist"))
+    found = V.knn(e, e.where("vec_id % 20 = 0"), 5, by="project")
+    return found.select("query_id", "vec_id", "rank", F.round("dist", 4).alias("dist"))
 
 
 @JOBS.add(NEAR + "SELECT query_id, vec_id, round(dist, 4) AS dist FROM r WHERE rank <= 10 AND coalesce(dist, 1) <= 0.75")
@@ -137,10 +137,19 @@ def distance_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     labels = e.select(F.col("vec_id"), "label")
     asked = e.where("vec_id % 20 = 0")
-    found = None
-    for i in range(10):
-        part = V.knn(e.where(F.col("label") == i), asked, 1).withColumn("label", F.lit(i))
-        found = part if found is None else found.unionByName(part)
-    found = found.join(labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("q_label")), "query_id")
+    known = e.agg(F.collect_set("label").alias("known"))  # as many as the matrix has columns
+    asked = asked.select("vec_id", "embedding").join(F.broadcast(known), F.lit(True)).select("vec_id", "embedding", F.explode("known").alias("label"))
+    found = V.knn(e, asked, 1, by="label").join(labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("q_label")), "query_id")
     out = found.groupBy("q_label").pivot("label", list(range(10))).agg(F.round(F.min("dist"), 4))
     return out.withColumnsRenamed({str(i): f"d{i}" for i in range(10)})
+
+
+@JOBS.add(NEAR + "SELECT q_label, label, round(min(dist), 4) AS dist FROM r GROUP BY q_label, label")
+def distance_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for any number of labels: a row for each pair of them."""
+    e = table(spark, sf_dir, "embeddings")
+    known = e.agg(F.collect_set("label").alias("known"))
+    asked = e.where("vec_id % 20 = 0").select("vec_id", "embedding", F.col("label").alias("q_label"))
+    spread = asked.join(F.broadcast(known), F.lit(True)).select("vec_id", "embedding", F.explode("known").alias("label"))
+    found = V.knn(e, spread, 1, by="label").join(asked.select(F.col("vec_id").alias("query_id"), "q_label"), "query_id")
+    return found.groupBy("q_label", "label").agg(F.round(F.min("dist"), 4).alias("dist"))

@@ -198,3 +198,13 @@ def stem(word: Column) -> Column:
 def ordered_union(*lists: Column) -> Column:
     """Elements of all lists in order of their first place; a null list is empty."""
     return F.array_distinct(F.concat(*(F.coalesce(x, F.array().cast("array<string>")) for x in lists)))
+
+
+def project_name(name: Column) -> Column:
+    """Lower-case letters, digits and _ of ASCII; each other character becomes _, and nothing becomes default."""
+    return F.coalesce(F.nullif(F.lower(F.regexp_replace(name, "[^A-Za-z0-9_]", "_")), F.lit("")), F.lit("default"))
+
+
+def project_id(name: Column, at: Column) -> Column:
+    """The project's name and the time of its beginning."""
+    return F.concat(project_name(name), F.lit("_"), F.date_format(at, "yyyy-MM-dd_HH-mm-ss"))

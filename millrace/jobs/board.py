@@ -134,3 +134,28 @@ def task_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     project = F.concat(F.lit("p"), (F.col("user_id") % 9).cast("string"), F.when(F.col("event_id") % 11 == 0, "/x").otherwise(""))
     prompt = F.get_json_object("props", "$.k")
     return table(spark, sf_dir, "events").where(B.admits(project, prompt)).select("event_id", prompt.cast("bigint").alias("k"))
+
+
+@JOBS.add("""WITH r AS (SELECT event_id, 'p' || (user_id % 9) || CASE WHEN event_id % 11 = 0 THEN '/x' ELSE '' END AS project_id, json_extract_string(props, '$.k') AS prompt, user_id % 10 AS to_agent FROM events)
+SELECT event_id, to_agent FROM r WHERE regexp_full_match(project_id, '[A-Za-z0-9_-]+') AND trim(coalesce(prompt, '')) <> '' AND to_agent IN (SELECT user_id % 10 FROM events WHERE event_type = 'signup' AND user_id % 10 <> 3)""")
+def admitted_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Valid requests to agents that are connected (those that signed up, but for one)."""
+    e = table(spark, sf_dir, "events")
+    project = F.concat(F.lit("p"), (F.col("user_id") % 9).cast("string"), F.when(F.col("event_id") % 11 == 0, "/x").otherwise(""))
+    requests = e.select("event_id", project.alias("project_id"), F.get_json_object("props", "$.k").alias("prompt"), (F.col("user_id") % 10).alias("to_agent"))
+    connected = e.where("event_type = 'signup' AND user_id % 10 <> 3").select((F.col("user_id") % 10).alias("agent"))
+    return B.admitted(requests, connected).select("event_id", "to_agent")
+
+
+@JOBS.add("""WITH t AS (SELECT event_id AS task_id, user_id % 10 AS from_agent, CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'completed' ELSE 'in_progress' END AS status,
+  CASE WHEN event_id % 5 <> 1 THEN props END AS result, CASE WHEN event_id % 3 = 0 THEN 'e' || event_id END AS error FROM events)
+SELECT task_id, status = 'failed' AS failed, CASE WHEN status = 'failed' THEN coalesce(error, '') ELSE result END AS result FROM t
+WHERE from_agent = 4 AND task_id % 2 = 0 AND (status = 'failed' OR status = 'completed' AND result IS NOT NULL)""")
+def caught_up_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finished tasks that an agent still waits for, as it asks for them after an outage."""
+    e = table(spark, sf_dir, "events")
+    status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "completed").otherwise("in_progress")
+    result, error = F.when(F.col("event_id") % 5 != 1, F.col("props")), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("e"), F.col("event_id").cast("string")))
+    tasks = e.select(F.col("event_id").alias("task_id"), (F.col("user_id") % 10).alias("from_agent"), status.alias("status"), result.alias("result"), error.alias("error"))
+    waiting = e.where("event_id % 2 = 0").select(F.col("event_id").alias("task_id"), F.lit(4).cast("bigint").alias("agent"))
+    return B.caught_up(waiting, tasks)

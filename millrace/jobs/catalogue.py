@@ -132,3 +132,22 @@ def visible_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
     mentioned = F.when(F.col("item_id") % 3 != 0, F.slice(words, 5, 8))
     shown = X.ordered_union(F.slice(words, 1, 8), mentioned, F.array(F.lit("memory"), F.lit("help"), words[0]))
     return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(shown, " ").alias("tools"))
+
+
+@JOBS.add("""WITH e AS (SELECT conv_id % 7 AS owner, 'n' || conv_id || '_' || turn AS name, role AS description FROM conversations),
+r AS (SELECT *, (row_number() OVER (PARTITION BY owner ORDER BY name) - 1) // 50 AS part FROM e)
+SELECT owner, part, '""" + K.CATALOGUE_HEAD + """' || string_agg('- ' || name || ' — ' || description || chr(10), '' ORDER BY name) || '""" + K.CATALOGUE_TAIL + """' AS prompt FROM r GROUP BY owner, part""")
+def catalogue_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each owner knows, as text to show, in parts of 50 entries."""
+    rows = table(spark, sf_dir, "conversations")
+    name = F.concat(F.lit("n"), F.col("conv_id").cast("string"), F.lit("_"), F.col("turn").cast("string"))
+    return K.catalogue_prompts(rows.select((F.col("conv_id") % 7).alias("owner"), name.alias("name"), F.col("role").alias("description")), ["owner"], 50)
+
+
+@JOBS.add(r"""SELECT event_id, CASE WHEN n = '' THEN 'default' ELSE n END || '_' || strftime(ts, '%Y-%m-%d_%H-%M-%S') AS project_id FROM (
+SELECT event_id, ts, regexp_replace(lower(CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN event_type || ' №' WHEN 2 THEN props ELSE upper(event_type) END), '[^a-z0-9_]', '_', 'g') AS n FROM events)""")
+def project_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of projects made of event names."""
+    k = F.col("event_id") % 4
+    name = F.when(k == 0, "").when(k == 1, F.concat("event_type", F.lit(" №"))).when(k == 2, F.col("props")).otherwise(F.upper("event_type"))
+    return table(spark, sf_dir, "events").select("event_id", X.project_id(name, F.col("ts")).alias("project_id"))

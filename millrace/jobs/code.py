@@ -9,6 +9,7 @@ from millrace.functions import text as X
 from millrace.jobs.base import Jobs, table
 from millrace.operators import chunking
 from millrace.operators import code as C
+from millrace.operators import imports as O
 from millrace.operators import lexer as L
 
 JOBS = Jobs()
@@ -244,6 +245,26 @@ def lexed_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.lexed_stats(_nested(spark, sf_dir), "ext").drop("bytes")
 
 
+@JOBS.add(LINKS + """, p(k, b, a, c) AS (VALUES (0, '.', '', true), (1, './', '', true), (2, 'crate::', '', true), (3, '', '.h', false)),
+f AS (SELECT page_id, k, w, min(i) AS i FROM w GROUP BY ALL)
+SELECT page_id, coalesce(string_agg(b || w || a, ' ' ORDER BY i) FILTER (WHERE c), '') AS internal,
+  coalesce(string_agg(CASE WHEN k = 3 THEN w || '.h' ELSE 'x' || w END, ' ' ORDER BY i), '') AS external FROM f JOIN p USING (k) GROUP BY page_id""")
+def ordered_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links of pages as imports of a file's own parts and of others, in block comments too, which don't count."""
+    ext = F.element_at(F.array(*map(F.lit, ("py", "js", "rs", "c"))), (F.col("page_id") % 4 + 1).cast("int"))
+    links = F.regexp_extract_all("html", F.lit('href="/([A-Za-z]+)"'), F.lit(1))
+    forms = {
+        "py": "from ._ import a\nimport x_ as b, x_\n# from c import d\n",
+        "js": "import { a } from './_';\nconst b = require('x_');\n/* one\nimport c from 'no';\n*/\n",
+        "rs": "  use crate::_;\nuse x_;\n/* two */ // not one\n// use no;\n",
+        "c": "#include <_.h>\n/* #include <no.h>\n#include <no.h> */\n",
+    }
+    form = F.element_at(F.create_map(*(F.lit(x) for kv in forms.items() for x in kv)), ext)
+    text = F.array_join(F.transform(links, lambda w: F.replace(form, F.lit("_"), w)), "")
+    out = O.ordered_imports(table(spark, sf_dir, "pages").select("page_id", ext.alias("ext"), text.alias("text")), "page_id")
+    return out.select("page_id", F.array_join("internal", " ").alias("internal"), F.array_join("external", " ").alias("external"))
+
+
 @JOBS.add()
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.symbols(C.lines(_sources(spark, sf_dir), "page_id", "ext")).select("page_id", "line_no", "kind", "name")

@@ -47,3 +47,20 @@ def admits(project_id: Column, prompt: Column) -> Column:
 
 def acyclic(sender: Column, chain: Column, target: Column) -> Column:
     return (target != sender) & ~F.array_contains(chain, target)
+
+
+def admitted(requests: DataFrame, connected: DataFrame) -> DataFrame:
+    """Requests (project_id, prompt, to_agent) that are valid and whose target is among the connected (agent)."""
+    fine = requests.where(admits(F.col("project_id"), F.col("prompt")))
+    return fine.join(connected.select(F.col("agent").alias("to_agent")).distinct(), "to_agent", "left_semi").select(*requests.columns)
+
+
+def caught_up(waiting: DataFrame, tasks: DataFrame) -> DataFrame:
+    """(task_id, failed, result) of the finished tasks (task_id, from_agent, status, result, error) that their sender (task_id, agent) still waits for.
+
+    A failed task without an error has an empty one; a completed one without a result brings nothing.
+    """
+    mine = tasks.join(waiting.select("task_id", F.col("agent").alias("from_agent")).distinct(), ["task_id", "from_agent"], "left_semi")
+    failed = F.col("status") == "failed"
+    rows = mine.where(F.col("status").isin(*TERMINAL)).select("task_id", failed.alias("failed"), F.when(failed, F.coalesce("error", F.lit(""))).otherwise(F.col("result")).alias("result"))
+    return rows.where("result IS NOT NULL")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.running import parts
+
 from millrace.functions import text as X
 from millrace.sources.files import skill_phrases
 
@@ -39,3 +41,18 @@ def knowledge(log: DataFrame) -> DataFrame:
     matter = log.withColumn("f", F.when(F.col("op") == PUT, X.frontmatter(F.col("content")))).drop("content")
     valid = (F.col("op") == DELETE) | (F.col("f.name") == F.col("name"))
     return current(matter, "name", "seq", F.coalesce(valid, F.lit(False))).select("name", "seq", "f.description", "f.body")
+
+
+# What stands before and after the list of what is known.
+CATALOGUE_HEAD = "У тебя есть база знаний. Каталог:\n\n"
+CATALOGUE_TAIL = (
+    "\nЕсли знание кажется релевантным текущей задаче, вызови knowledge_load(name). "
+    "Загруженное знание попадёт в контекст и будет доступно в следующих ходах. Чтобы снять знание, вызови knowledge_unload()."
+)
+
+
+def catalogue_prompts(entries: DataFrame, by: list[str], most: int = 200) -> DataFrame:
+    """(by, part, prompt): the entries (name, description) of each owner by name, as text to show, in parts of ``most`` entries; no row without entries."""
+    line = F.concat(F.lit("- "), "name", F.lit(" — "), "description", F.lit("\n"))
+    listed = parts(entries, by, ["name"], line, most)
+    return listed.select(*by, "part", F.concat(F.lit(CATALOGUE_HEAD), F.array_join("items", ""), F.lit(CATALOGUE_TAIL)).alias("prompt"))

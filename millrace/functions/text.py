@@ -37,7 +37,8 @@ def tag(word: Column, place: Column) -> Column:
     marks = F.length(word) - F.length(F.regexp_replace(word, "[!-/:-@\\[-`{-~]", ""))
     has_digit, has_letter = word.rlike("\\p{Nd}"), word.rlike("\\p{L}")
     return (
-        F.when(digits.rlike("^\\p{Nd}+\\z"), "d")
+        F.when(word.rlike("^\\p{Ll}+\\z"), "p")  # most words: no other rule can hold
+        .when(digits.rlike("^\\p{Nd}+\\z"), "d")
         .when((has_digit & has_letter) | (~has_digit & ~has_letter) | (marks > 1), "u")
         .when(word.rlike("\\p{Lu}") & ~word.rlike("\\p{Ll}"), "a")
         .when((F.length(word) > 1) & (place > 0) & word.rlike("^\\p{Lu}[^\\p{Lu}]*\\z"), "n")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as X
@@ -33,16 +33,14 @@ def tokens(documents: DataFrame) -> DataFrame:
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartition("doc_id")
     rows = rows.select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("sent", "s"))
     rows = rows.select("doc_id", "sent", X.tokens(F.col("s")).alias("w"))
-    marks = F.filter(F.transform("w", lambda t, i: F.when(X.is_punctuation(t), i)), lambda i: i.isNotNull())
-    rows = rows.select("doc_id", "sent", "w", marks.alias("marks"))
-    is_mark = lambda i: F.array_contains("marks", i)
+    rows = rows.select("doc_id", "sent", "w", F.transform("w", X.is_punctuation).alias("marks"))
+    is_mark = lambda i: F.coalesce(F.get("marks", i), F.lit(False))
 
     def told(word: Column, i: Column) -> Column:
         word_at = lambda k: F.when(i >= k, F.get("w", i - k))
         y = F.when(~is_mark(i - 1), word_at(1))
         x = F.when(~is_mark(i - 1) & ~is_mark(i - 2), word_at(2))
-        before = F.size(F.filter("marks", lambda m: m < i))
-        return F.struct(i.alias("at"), (i - before).alias("place"), word.alias("word"), y.alias("y_word"), x.alias("x_word"))
+        return F.struct(i.alias("at"), (i - _first()).alias("place"), word.alias("word"), y.alias("y_word"), x.alias("x_word"))
 
     found = F.filter(F.transform("w", told), lambda t: ~is_mark(t["at"]))
     rows = rows.select("doc_id", "sent", F.inline(found))
@@ -50,6 +48,11 @@ def tokens(documents: DataFrame) -> DataFrame:
     return rows.select("doc_id", "sent", "at", "word", *forms("", 0), "y_word", *forms("y_", 1), "x_word", *forms("x_", 2))
 
 
+def _first() -> Column:
+    """Place of the first word of a sentence by its ``marks``: what comes after it is inside."""
+    return (F.array_position("marks", False) - 1).cast("int")
+
+
 def sentence_counts(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.size(X.sentences(F.col("text"))).alias("n_sents"))
 
@@ -106,14 +109,41 @@ def _scores(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "term", "tf", "stop", h.alias("h"))
 
 
+def profiles(documents: DataFrame, stopwords: tuple[str, ...] = STOPWORDS) -> DataFrame:
+    """(doc_id, term, tf, tf_a, tf_n, n_sents, median_sent, stop, pwl, pwr, all_sents): ``terms`` and ``degrees`` from one pass.
+
+    A word's form and its neighbours' are told once, within the sentence's row; one aggregation by document and term
+    does the rest. Texts are dealt by doc_id once, and no other row moves.
+    """
+    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartition("doc_id").select("doc_id", X.sentences(F.col("text")).alias("s"))
+    rows = rows.select("doc_id", F.size("s").alias("all_sents"), F.posexplode("s").alias("sent", "s")).select("doc_id", "all_sents", "sent", X.tokens(F.col("s")).alias("w"))
+    rows = rows.select("doc_id", "all_sents", "sent", "w", F.transform("w", X.is_punctuation).alias("marks"))
+    told = lambda t, i: F.when(~F.get("marks", i), F.struct(t.alias("word"), X.tag(t, i - _first()).alias("tag"), X.normalise(t).alias("term")))
+    rows = rows.select("doc_id", "all_sents", "sent", F.transform("w", told).alias("w"))
+    plain = lambda t: t.isNotNull() & ~t["tag"].isin("u", "d")
+    beside = lambda t, o: F.when(plain(t) & plain(o), o["term"])
+    near = lambda t, i: F.struct(
+        i.alias("at"), t["word"].alias("word"), t["tag"].alias("tag"), t["term"].alias("term"),
+        beside(t, F.when(i > 0, F.get("w", i - 1))).alias("left"), beside(t, F.get("w", i + 1)).alias("right"),
+    )
+    rows = rows.select("doc_id", "all_sents", "sent", F.inline(F.filter(F.transform("w", near), lambda t: t["term"].isNotNull())))
+    count = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    rows = rows.groupBy("doc_id", "term").agg(
+        F.count(F.lit(1)).alias("tf"), count(F.col("tag") == "a").alias("tf_a"), count(F.col("tag") == "n").alias("tf_n"), F.collect_set("sent").alias("sents"),
+        F.min_by(is_stopword(F.col("word"), F.col("term"), stopwords), F.struct("sent", "at")).alias("stop"), F.max("all_sents").alias("all_sents"),
+        F.size(F.collect_set("left")).alias("l"), F.count("left").alias("lw"), F.size(F.collect_set("right")).alias("r"), F.count("right").alias("rw"),
+    )
+    ratio = lambda n, w: F.when(F.col(w) > 0, F.col(n) / F.col(w)).otherwise(0.0)
+    return rows.select(
+        "doc_id", "term", "tf", "tf_a", "tf_n", F.size("sents").cast("bigint").alias("n_sents"), _median("sents").alias("median_sent"), "stop", ratio("l", "lw").alias("pwl"), ratio("r", "rw").alias("pwr"), "all_sents"
+    )
+
+
 def scored_terms(documents: DataFrame, stopwords: tuple[str, ...] = STOPWORDS) -> DataFrame:
     """(doc_id, term, tf, stop, h)."""
-    t = tokens(documents)
-    rows = terms(t, stopwords)
-    plain = F.when(~F.col("stop"), F.col("tf"))
-    stats = rows.groupBy("doc_id").agg(F.avg(plain).alias("mean"), F.stddev_pop(plain).alias("std"), F.max("tf").alias("top"))
-    rows = rows.join(stats, "doc_id").join(sentence_counts(documents).withColumnRenamed("n_sents", "all_sents"), "doc_id")
-    return _scores(rows.join(degrees(edges(t)), ["doc_id", "term"], "left"))
+    plain, own = F.when(~F.col("stop"), F.col("tf")), Window.partitionBy("doc_id")
+    rows = profiles(documents, stopwords)
+    return _scores(rows.withColumn("mean", F.avg(plain).over(own)).withColumn("std", F.stddev_pop(plain).over(own)).withColumn("top", F.max("tf").over(own)))
 
 
 def grams(tokens: DataFrame) -> DataFrame:

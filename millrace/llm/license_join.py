@@ -1,7 +1,7 @@
 """License scan: exact phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block is a window of ``SPAN`` consecutive words, whatever lines they are on; a window begins every ``STEP`` words, so
-any ``SPAN - STEP`` neighbouring words, more than a template has, are in one block. A template is found in a block
+A block is a window of consecutive words, whatever lines they are on, of ``SPAN`` words, or twice as many as the longest
+template has; a window begins every half of that, so as many neighbouring words as a template has are in one block. A template is found in a block
 when at least ``LEAST`` of its distinct words are in it. Words are put in a global order, rarest first over all
 documents; a block that holds enough of a template must hold a word of its prefix (the first size - needed + 1 words),
 so blocks and prefixes are joined on words. Pairs that can't reach the number needed, by the block's length or by
@@ -44,7 +44,7 @@ TEMPLATES = (
     ("all-rights-reserved", "all rights reserved", "rights reserved"),
 )
 LEAST = 0.8
-SPAN, STEP = 48, 24  # words of a block, and from one block to the next
+SPAN, STEP = 48, 24  # words of a block, and from one block to the next, at least
 SMALL = 10_000
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -112,6 +112,12 @@ def _template_tables(documents: DataFrame, templates, least: float) -> tuple[Dat
     return (F.broadcast(prefix) if few else prefix), (F.broadcast(full) if few else full), order
 
 
+def spans(templates=TEMPLATES) -> tuple[int, int]:
+    """Words of a block, and from one block to the next: both follow the longest template."""
+    longest = max((len(text.split()) for _, text, _ in templates), default=0)
+    return max(SPAN, 2 * longest), max(STEP, longest)
+
+
 def similar_blocks(documents: DataFrame, templates=TEMPLATES, least: float = LEAST) -> DataFrame:
     """(doc_id, text_hash, block, template, label, containment, named): every block and template that meet the threshold, and whether the naming words are there."""
     prefix, full, order = _template_tables(documents, templates, least)
@@ -120,7 +126,8 @@ def similar_blocks(documents: DataFrame, templates=TEMPLATES, least: float = LEA
     ranks = F.create_map(*(F.lit(x) for i, w in enumerate(order) for x in (w, i)))
     w = words(F.col("text"))
     held = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), w.alias("w")).where(F.arrays_overlap("w", rare))
-    windows = F.transform(F.sequence(F.lit(0), F.size("w") - 1, F.lit(STEP)), lambda i: F.array_distinct(F.slice(F.col("w"), i + 1, F.lit(SPAN))))
+    span, step = spans(templates)
+    windows = F.transform(F.sequence(F.lit(0), F.size("w") - 1, F.lit(step)), lambda i: F.array_distinct(F.slice(F.col("w"), i + 1, F.lit(span))))
     sets = held.select("doc_id", "text_hash", F.posexplode(windows).alias("block", "words"))
     sets = sets.where(F.arrays_overlap("words", rare)).select(
         "doc_id", "text_hash", "block", F.size("words").alias("length"),

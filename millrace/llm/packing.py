@@ -89,9 +89,10 @@ def parts(text: str, limit: int = PART_CHARS) -> Iterator[str]:
 
 
 def token_ids(encode, text: str | None) -> np.ndarray:
-    """Ids of a text and the closing one."""
-    found = [encode.encode_to_numpy(p, allowed_special="all").astype(np.uint16) for p in parts(text)] if text else []
-    return np.concatenate([*found, np.array([CLOSING], np.uint16)])
+    """Ids of a text and the closing one, in as many bytes as the vocabulary's largest id takes."""
+    kind = np.uint16 if encode.max_token_value < 1 << 16 else np.uint32
+    found = [encode.encode_to_numpy(p, allowed_special="all").astype(kind) for p in parts(text)] if text else []
+    return np.concatenate([*found, np.array([CLOSING], kind)])
 
 
 def _queue_name(source: str | None) -> str:
@@ -253,7 +254,9 @@ def pack(documents: DataFrame, targets: dict[str | None, float] | None = None, p
                     mine = np.flatnonzero(q == k)
                     begin[mine] = from_ + np.cumsum(size[mine]) - size[mine]
                 doc, start, n, sequence, offset = cut(schedule, q, begin, size)
-                data = memoryview(np.frombuffer(row["ids"].as_buffer(), np.uint16).astype("<u4")).cast("B")
+                packed = row["ids"].as_buffer()
+                kind = np.uint16 if packed.size == 2 * size.sum() else np.uint32
+                data = memoryview(np.frombuffer(packed, kind).astype("<u4")).cast("B")
                 first = (np.cumsum(size) - size)[doc] + start
                 crc = [zlib.crc32(data[4 * a : 4 * (a + k)]) for a, k in zip(first.tolist(), n.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(

@@ -36,6 +36,7 @@ TRAIN_ROWS = 12_000  # bound of the labelled sample that relevance is counted on
 EXAMPLES = 2_000  # bound of the examples in the index
 BLOCK = 64
 OFTEN = 32  # a term in more than one of so many examples is a row of the matrix
+DENSE = 4096  # rows of the matrix at most, those of the most frequent terms: 64 MB with 2,000 examples
 BATCH = 512  # texts that are multiplied at once
 K = 15
 PRIOR = 0.5  # similarity that votes for label 0 beside the neighbours
@@ -106,7 +107,9 @@ def build_index(value, ids, labels, rows) -> ExampleIndex:
     place[by] = np.arange(n)
     example = place[example]
     blocks = -(-n // BLOCK)
-    often = np.flatnonzero(np.bincount(bucket, minlength=len(value)) * OFTEN > n)
+    held = np.bincount(bucket, minlength=len(value))
+    often = np.flatnonzero(held * OFTEN > n)
+    often = np.sort(often[np.argsort(-held[often], kind="stable")[:DENSE]])
     frequent = np.full(len(value), -1, np.int32)
     frequent[often] = np.arange(len(often))
     matrix = np.zeros((len(often), blocks * BLOCK))

@@ -53,3 +53,48 @@ def test_recall_beyond_the_sample(spark, kind):
         score[q] = -np.inf
         hits += len(found[q] & set(np.argpartition(-score, 20)[:20].tolist()))
     assert hits / (20 * (n // 200)) >= 0.95
+
+
+def test_templates_longer_than_a_block(spark):
+    """A template of 120 words is found, wherever it stands among others."""
+    from millrace.llm import license_join
+
+    words = [f"w{i}" for i in range(120)]
+    templates = (("long", " ".join(words), "w7"), *license_join.TEMPLATES)
+    texts = [" ".join(["x"] * n + words + ["y"] * 50) for n in (0, 60, 119, 500)] + [" ".join(words[:90]), "released under the mit license"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = [r["labels"] for r in license_join.scan(docs, templates).orderBy("doc_id").collect()]
+    assert got == ["long"] * 4 + ["", "mit"] and license_join.spans() == (license_join.SPAN, license_join.STEP)
+
+
+def test_ids_beyond_two_bytes():
+    from millrace.llm import packing
+
+    class Wide:
+        max_token_value = 99_999
+
+        @staticmethod
+        def encode_to_numpy(text, allowed_special):
+            return np.array([70_000 + len(text)], np.uint32)
+
+    assert packing.token_ids(Wide, "abc").tolist() == [70_003, packing.CLOSING]
+
+
+def test_matrix_of_frequent_terms_is_bounded(monkeypatch):
+    """Neighbours are the same, however many terms are in the matrix."""
+    from millrace.llm import toxicity
+
+    r = np.random.default_rng(1)
+    example = np.repeat(np.arange(200), 20)
+    bucket = np.minimum(r.geometric(0.05, 4000), 90)
+    keys, first = np.unique(example * 100 + bucket, return_index=True)
+    example, bucket = keys // 100, keys % 100
+    weight = r.random(len(keys))
+    weight /= np.sqrt(np.bincount(example, weight * weight))[example]
+    found = []
+    for most in (4096, 5, 0):
+        monkeypatch.setattr(toxicity, "DENSE", most)
+        index = toxicity.build_index(np.ones(100), np.arange(200), np.arange(200) % 2, (example, bucket, weight))
+        assert len(index.matrix) <= most
+        found.append([index.ids[toxicity.nearest(index, bucket[example == e], weight[example == e], 15)[0]].tolist() for e in range(0, 200, 17)])
+    assert found[0] == found[1] == found[2]

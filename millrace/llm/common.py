@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -93,6 +94,22 @@ def balanced_sample(labels: DataFrame, rows: int, seed: int) -> DataFrame:
     return halves[0].unionByName(halves[1])
 
 
+def weighted_sample(labels: DataFrame, rows: int, seed: int) -> DataFrame:
+    """(doc_id, y, weight): at most about ``rows`` rows and a twelfth more, a label with few rows not thinned below a twelfth of them.
+
+    weight is 1 for the label that is thinned least, else by how much more its rows stand for; where labels are thinned
+    alike, all weigh 1.
+    """
+    counts = {r["y"]: r["count"] for r in labels.groupBy("y").count().collect()}  # two rows at most
+    n = sum(counts.values())
+    rates = {y: min(1.0, max(rows / n, rows / 12 / c)) for y, c in counts.items()}
+    top = max(rates.values(), default=1.0)
+    space = 1 << 30
+    pick = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(space))
+    rate = reduce(lambda a, y: a.when(F.col("y") == y, F.lit(rates[y])), rates, F.when(F.lit(False), F.lit(0.0)))
+    return labels.select("doc_id", "y", (F.lit(top) / rate).alias("weight"), rate.alias("__rate"), pick.alias("__pick")).where(F.col("__pick") < F.floor(F.col("__rate") * space)).drop("__rate", "__pick")
+
+
 def text_slices(texts: list[str | None], limit: int) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about ``limit`` characters, one row at least."""
     begin, size = 0, 0

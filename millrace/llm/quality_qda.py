@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import append_columns, bounded_sample, held_out, labelled, text_slices
+from millrace.llm.common import append_columns, held_out, labelled, text_slices, weighted_sample
 from millrace.llm.textvec import code_points
 from millrace.llm.toxicity import fit_logistic
 
@@ -211,8 +211,9 @@ def log_ratio(model: Discriminant, x: np.ndarray) -> np.ndarray:
     return np.sign(d) * np.log1p(np.abs(d))
 
 
-def fit(x: np.ndarray, y: np.ndarray, shrink: float = 0.1, diagonal: float = 0.1) -> Discriminant | None:
-    """Class covariances: (1 - shrink) own + shrink pooled, then ``diagonal`` of the way to the diagonal plus a floor."""
+def fit(x: np.ndarray, y: np.ndarray, shrink: float = 0.1, diagonal: float = 0.1, weight: np.ndarray | None = None) -> Discriminant | None:
+    """Class covariances: (1 - shrink) own + shrink pooled, then ``diagonal`` of the way to the diagonal plus a floor. ``weight`` sets priors and calibration."""
+    weight = np.ones(len(x)) if weight is None else weight
     if min((y == 0).sum(), (y == 1).sum()) < 2:
         return None
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
@@ -227,9 +228,9 @@ def fit(x: np.ndarray, y: np.ndarray, shrink: float = 0.1, diagonal: float = 0.1
         s = (1 - diagonal) * s + diagonal * np.diag(np.diag(s)) + 1e-3 * np.eye(len(s))
         factor = np.linalg.cholesky(s)
         inverse.append(np.linalg.inv(factor))
-        constants.append(np.log(n[c] / sum(n)) - np.log(np.diag(factor)).sum())
+        constants.append(np.log(weight[y == c].sum() / weight.sum()) - np.log(np.diag(factor)).sum())
     model = Discriminant(mean, scale, centers, np.array(inverse), np.array(constants), 1.0, 0.0)
-    slope, offset = fit_logistic(log_ratio(model, x), y)
+    slope, offset = fit_logistic(log_ratio(model, x), y, weight=weight)
     return Discriminant(mean, scale, centers, model.inverse_factors, model.constants, max(slope, 0.0), offset)
 
 
@@ -237,12 +238,12 @@ _FIELD = [T.StructField("stats", T.ArrayType(T.DoubleType()))]
 
 
 def train(documents: DataFrame, labels: DataFrame, column: str = "quality", rows: int = TRAIN_ROWS, seed: int = 4) -> Discriminant | None:
-    known = bounded_sample(labelled(labels, column, FOLDS, FOLD), "doc_id", rows, seed)
+    known = weighted_sample(labelled(labels, column, FOLDS, FOLD), rows, seed)
     sample = documents.join(F.broadcast(known), "doc_id")  # at most about ``rows`` ids
-    got = append_columns(sample, "text", _FIELD, lambda texts: [list(statistics(texts))], keep=["doc_id", "y"]).orderBy("doc_id").collect()
+    got = append_columns(sample, "text", _FIELD, lambda texts: [list(statistics(texts))], keep=["doc_id", "y", "weight"]).orderBy("doc_id").collect()
     if not got:
         return None
-    return fit(np.array([r["stats"] for r in got]), np.array([r["y"] for r in got]))
+    return fit(*(np.array([r[c] for r in got]) for c in ("stats", "y")), weight=np.array([r["weight"] for r in got]))
 
 
 def classify(documents: DataFrame, labels: DataFrame, least: float = 0.7) -> DataFrame:

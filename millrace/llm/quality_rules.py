@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Scratch, bounded_sample
+from millrace.llm.common import Scratch, weighted_sample
 
 SPACE = "[\\x20\\x09-\\x0D]"
 TRAIN_ROWS = 12_000  # bound of the labelled sample
@@ -97,6 +97,9 @@ def with_statistics(documents: DataFrame, *keep: str) -> DataFrame:
     )
 
 
+LOW, OTHER = "low * weight", "(1 - low) * weight"  # what a row counts for either label
+
+
 def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
@@ -122,8 +125,8 @@ def _counts(rows: DataFrame, cuts: dict[str, list[float]]) -> dict[tuple[str, in
         F.struct(F.lit(f).alias("feature"), reduce(lambda a, b: a + b, (F.when(F.col(f) > c, 1).otherwise(0) for c in cuts[f]), F.lit(0)).alias("bin"))
         for f in FEATURES if cuts[f]
     ]
-    long = rows.select("low", F.explode(F.array(*marks)).alias("m")).groupBy("m.feature", "m.bin")
-    return {(r["feature"], r["bin"]): (r["low"], r["n"] - r["low"]) for r in long.agg(F.sum("low").alias("low"), F.count(F.lit(1)).alias("n")).collect()}
+    long = rows.select("low", "weight", F.explode(F.array(*marks)).alias("m")).groupBy("m.feature", "m.bin")
+    return {(r["feature"], r["bin"]): (r["low"], r["n"] - r["low"]) for r in long.agg(F.sum(F.expr(LOW)).alias("low"), F.sum("weight").alias("n")).collect()}
 
 
 def _best(rows: DataFrame, cuts: dict[str, list[float]], low: int, other: int) -> tuple[float, Condition | None, int, int]:
@@ -148,9 +151,9 @@ def learn(documents: DataFrame, labels: DataFrame, column: str = "quality", rows
     The list ends where the next rule isn't precise, or covers fewer than three rows that it was not grown on.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(column).isin(0, 1)).groupBy("doc_id").agg(F.min(column).alias("y"))
-    sample = documents.join(F.broadcast(bounded_sample(known, "doc_id", rows, seed)), "doc_id")
+    sample = documents.join(F.broadcast(weighted_sample(known, rows, seed)), "doc_id")
     scratch = Scratch(documents.sparkSession)
-    told = with_statistics(sample, "doc_id", "y").select("doc_id", (1 - F.col("y")).alias("low"), *FEATURES)
+    told = with_statistics(sample, "doc_id", "y", "weight").select("doc_id", (1 - F.col("y")).alias("low"), "weight", *FEATURES)
     told = scratch.save(scratch.save(told, "statistics").coalesce(1), "sample")  # bounded by ``rows``
     first = told.agg(F.count(F.lit(1)), F.sum("low"), *(F.percentile_approx(f, [(i + 0.5) / BINS for i in range(BINS)], 1000) for f in FEATURES)).first()
     if not first[0] or not first[1] or first[0] == first[1]:
@@ -161,7 +164,7 @@ def learn(documents: DataFrame, labels: DataFrame, column: str = "quality", rows
     while True:
         left = told.where(~reduce(lambda a, b: a | b, (_all(r) for r in rules), F.lit(False)))
         grow = left.where("grown")
-        low, other = grow.agg(F.coalesce(F.sum("low"), F.lit(0)), F.coalesce(F.sum(1 - F.col("low")), F.lit(0))).first()
+        low, other = grow.agg(F.coalesce(F.sum(F.expr(LOW)), F.lit(0)), F.coalesce(F.sum(F.expr(OTHER)), F.lit(0))).first()
         rule: list[Condition] = []
         while len(rule) < conditions and other and low:
             gain, condition, low, other = _best(grow.where(_all(rule)), cuts, low, other)
@@ -170,7 +173,7 @@ def learn(documents: DataFrame, labels: DataFrame, column: str = "quality", rows
             rule.append(condition)
         if not rule:
             break
-        held = left.where(~F.col("grown")).agg(*(F.coalesce(F.sum(F.when(_all(rule[:k]), x)), F.lit(0)) for k in range(1, len(rule) + 1) for x in (F.col("low"), 1 - F.col("low")))).first()
+        held = left.where(~F.col("grown")).agg(*(F.coalesce(F.sum(F.when(_all(rule[:k]), F.expr(x))), F.lit(0)) for k in range(1, len(rule) + 1) for x in (LOW, OTHER))).first()
         worth = [((held[2 * k] - held[2 * k + 1]) / max(held[2 * k] + held[2 * k + 1], 1), -k) for k in range(len(rule))]
         k = -max(worth)[1]
         if held[2 * k] < 3 or held[2 * k] < PRECISE * (held[2 * k] + held[2 * k + 1]):

@@ -173,14 +173,15 @@ def calibrated(votes: np.ndarray, slope: float, offset: float) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-(slope * votes + offset)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
-    """Slope and offset of a logistic curve by Newton steps."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, weight: np.ndarray | None = None) -> tuple[float, float]:
+    """Slope and offset of a logistic curve by Newton steps; ``weight``: how much each row counts, 1 by default."""
+    weight = np.ones(len(x)) if weight is None else weight
     a = np.column_stack([x, np.ones(len(x))])
     beta = np.zeros(2)
     for _ in range(50):
         p = 1.0 / (1.0 + np.exp(-np.clip(a @ beta, -30, 30)))
-        w = p * (1 - p) + 1e-9
-        step = np.linalg.solve(a.T @ (a * w[:, None]) + ridge * np.eye(2), a.T @ (y - p) - ridge * beta)
+        w = weight * (p * (1 - p) + 1e-9)
+        step = np.linalg.solve(a.T @ (a * w[:, None]) + ridge * np.eye(2), a.T @ (weight * (y - p)) - ridge * beta)
         beta += step
         if np.abs(step).max() < 1e-8:
             break

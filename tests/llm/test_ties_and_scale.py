@@ -98,3 +98,30 @@ def test_matrix_of_frequent_terms_is_bounded(monkeypatch):
         assert len(index.matrix) <= most
         found.append([index.ids[toxicity.nearest(index, bucket[example == e], weight[example == e], 15)[0]].tolist() for e in range(0, 200, 17)])
     assert found[0] == found[1] == found[2]
+
+
+def test_samples_keep_rare_labels(spark):
+    """One low label in 500: a sample of 1,200 of 60,000 holds a hundred of them, and weights restore the shares."""
+    from millrace.llm.common import weighted_sample
+
+    labels = spark.range(60_000).selectExpr("id AS doc_id", "CASE WHEN id % 500 = 3 THEN 0 ELSE 1 END AS y").cache()
+    got = {r["y"]: (r["n"], r["w"]) for r in weighted_sample(labels, 1200, 5).groupBy("y").agg({"weight": "sum", "*": "count"}).toDF("y", "w", "n").collect()}
+    assert 60 <= got[0][0] <= 120 and 1000 < got[1][0] < 1400
+    assert abs(got[0][1] / (got[0][1] + got[1][1]) - 1 / 500) < 1e-3
+    even = weighted_sample(labels.where("y = 1 OR doc_id < 6000"), 100_000, 5)
+    assert even.count() == labels.where("y = 1 OR doc_id < 6000").count() and even.select("weight").distinct().collect() == [(1.0,)]
+    assert weighted_sample(labels.where("y > 1"), 10, 5).collect() == []
+
+
+def test_priors_follow_weights():
+    """A class sampled five times as densely, with weights: scores as of the whole."""
+    from millrace.llm import quality_qda
+
+    r = np.random.default_rng(0)
+    x = np.concatenate([r.standard_normal((4000, 3)), r.standard_normal((400, 3)) + 1.5])
+    y = np.repeat([1, 0], [4000, 400])
+    whole = quality_qda.fit(x, y)
+    some = np.concatenate([np.arange(0, 4000, 5), np.arange(4000, 4400)])
+    part = quality_qda.fit(x[some], y[some], weight=np.where(y[some] == 1, 5.0, 1.0))
+    score = lambda m: 1 / (1 + np.exp(-(m.slope * quality_qda.log_ratio(m, x) + m.offset)))
+    assert np.abs(score(whole) - score(part)).mean() < 0.03 and abs(score(part).mean() - 4000 / 4400) < 0.03

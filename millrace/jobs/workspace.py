@@ -66,6 +66,17 @@ def rebuked_system(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content.select("conv_id", F.size(texts).alias("n"), X.with_rebukes(F.lit("Be brief."), texts).alias("system"))
 
 
+@JOBS.add("""WITH r AS (SELECT conv_id, turn, trim(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS t FROM conversations WHERE role = 'user'),
+p AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 3 AS part FROM r WHERE t <> '')
+SELECT conv_id, part, count(*) AS n, string_agg(' ' || t || CASE WHEN regexp_matches(t, '[.!?]$') THEN '' ELSE '.' END, '' ORDER BY turn) AS said FROM p GROUP BY conv_id, part""")
+def rebuke_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The user messages of a conversation as rebukes, in numbered parts of three: any number of them fits."""
+    rows = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.regexp_replace("text", "^\\s+|\\s+$", "").alias("t")).where("t <> ''")
+    said = F.concat(F.lit(" "), F.col("t"), F.when(F.col("t").rlike("[.!?]$"), "").otherwise("."))
+    out = R.parts(rows, ["conv_id"], ["turn"], said, 3)
+    return out.select("conv_id", "part", F.size("items").cast("bigint").alias("n"), F.array_join("items", "").alias("said"))
+
+
 @JOBS.add("""SELECT event_id, coalesce(json_extract_string(p, '$.Key'), json_extract_string(p, '$.k'), '') AS value FROM (
 SELECT event_id, CASE event_id % 3 WHEN 0 THEN '{"Key": "a' || event_id || '"}' WHEN 1 THEN props ELSE '{}' END AS p FROM events)""")
 def json_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,8 +72,8 @@ def fingerprint(skeleton: Column) -> Column:
 
 
 def lexer(text: Column) -> Column:
-    """Quoted strings with their quotes, and words with inner dots or hyphens."""
-    return F.regexp_extract_all(text, F.lit('"[^"]*"|[\\p{L}\\p{N}_-]+(?:\\.[\\p{L}\\p{N}_-]+)*'), F.lit(0))
+    """Quoted strings with their quotes, and words with inner dots or hyphens; a quote that isn't closed begins a word that goes on to the end."""
+    return F.regexp_extract_all(text, F.lit('"[^"]*"|"[^"]*\\z|[\\p{L}\\p{N}_-]+(?:\\.[\\p{L}\\p{N}_-]+)*'), F.lit(0))
 
 
 def skeleton(text: Column, known: Column, form: Callable[[Column], Column] = F.lower) -> Column:
@@ -82,10 +82,11 @@ def skeleton(text: Column, known: Column, form: Callable[[Column], Column] = F.l
     A word is known if its ``form`` is: lower case for lists of words, ``stem`` for lists of stems.
     """
     parts = lexer(F.coalesce(text, F.lit("")))
-    unknown = lambda t: t.startswith('"') | ~F.array_contains(known, form(t))
+    quoted = lambda t: t.rlike('(?s)^".*"\\z') & (F.length(t) > 1)
+    unknown = lambda t: quoted(t) | ~F.array_contains(known, form(t))
     return F.struct(
         F.array_join(F.transform(parts, lambda t: F.when(unknown(t), F.lit("<ENT>")).otherwise(t)), " ").alias("skeleton"),
-        F.transform(F.filter(parts, unknown), lambda t: F.lower(F.replace(t, F.lit('"'), F.lit("")))).alias("entities"),
+        F.transform(F.filter(parts, unknown), lambda t: F.lower(F.when(quoted(t), F.replace(t, F.lit('"'), F.lit(""))).otherwise(t))).alias("entities"),
     )
 
 
@@ -209,3 +210,16 @@ def project_name(name: Column) -> Column:
 def project_id(name: Column, at: Column) -> Column:
     """The project's name and the time of its beginning."""
     return F.concat(project_name(name), F.lit("_"), F.date_format(at, "yyyy-MM-dd_HH-mm-ss"))
+
+
+def without_fences(text: Column) -> Column:
+    """What stands between an opening fence of three backticks (json or not) and the last closing one, trimmed; other texts are trimmed."""
+    space = "^\\s+|\\s+$"
+    t = F.regexp_replace(text, space, "")
+    inner = F.regexp_replace(F.regexp_replace(t, "^```(?:json|JSON)?", ""), "^[\\r\\n]+", "")
+    return F.when(t.startswith("```"), F.regexp_replace(F.regexp_replace(inner, "(?s)^(.*)```.*$", "$1"), space, "")).otherwise(t)
+
+
+def shortened(text: Column, most: int) -> Column:
+    """Texts over ``most`` bytes become their first ``most`` characters and three points."""
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.concat(F.substring(text, 1, most), F.lit("...")))

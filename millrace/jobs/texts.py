@@ -70,7 +70,7 @@ def duplicate_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @JOBS.add(r"""WITH lex AS (SELECT list(DISTINCT lower(w)) AS known FROM (SELECT unnest(regexp_extract_all(text, '[\p{L}\p{N}_-]+')) AS w FROM benchmark)),
-t AS (SELECT doc_id, unnest(w) AS w, unnest(range(len(w))) AS i FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '"[^"]*"|[\p{L}\p{N}_-]+(?:\.[\p{L}\p{N}_-]+)*') AS w FROM documents)),
+t AS (SELECT doc_id, unnest(w) AS w, unnest(range(len(w))) AS i FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '"[^"]*"|"[^"]*\z|[\p{L}\p{N}_-]+(?:\.[\p{L}\p{N}_-]+)*') AS w FROM documents)),
 k AS (SELECT t.*, starts_with(w, '"') OR NOT list_contains(known, lower(w)) AS ent FROM t, lex)
 SELECT doc_id, sha256(lower(string_agg(CASE WHEN ent THEN '<ENT>' ELSE w END, ' ' ORDER BY i))) AS fp,
   count(*) FILTER (WHERE ent)::INTEGER AS n_entities, count(*)::INTEGER AS n_tokens FROM k GROUP BY doc_id""")

@@ -244,3 +244,26 @@ def test_skeleton_by_stems(spark, tmp_path):
     text = 'Parsed language "parse" книгами foo'
     s = spark.createDataFrame([(text, stems)], "t string, k array<string>").select(X.skeleton(F.col("t"), F.col("k"), X.stem).alias("s")).first()["s"]
     assert (s["skeleton"], s["entities"]) == ("<ENT> language <ENT> книгами <ENT>", ["parsed", "parse", "foo"])
+
+
+@pytest.mark.parametrize(
+    "text,parts",
+    [('a "b c" d.e', ["a", '"b c"', "d.e"]), ('say "never ends here. x', ["say", '"never ends here. x']), ('x"y"', ["x", '"y"']), ('""', ['""']), ('"', ['"']), ("end.", ["end"])],
+)
+def test_quotes(spark, text, parts):
+    row = spark.createDataFrame([(text,)], "t string").select(X.lexer(F.col("t")), X.skeleton(F.col("t"), F.array(F.lit("a"), F.lit("say")))["entities"]).first()
+    assert row[0] == parts
+    assert row[1] == [p.lower() if not (len(p) > 1 and p[0] == p[-1] == '"') else p[1:-1].lower() for p in parts if p not in ("a", "say")]
+
+
+@pytest.mark.parametrize(
+    "text,out",
+    [(" x \n", "x"), ("```json\n{\"a\": 1}\n```", '{"a": 1}'), ("```\r\nb\n``` tail", "b"), ("```JSON\nopen", "open"), ("a ``` b", "a ``` b"), ("```a```b```", "a```b"), ("``````", "")],
+)
+def test_fences(spark, text, out):
+    assert spark.createDataFrame([(text,)], "t string").select(X.without_fences(F.col("t"))).first()[0] == out
+
+
+@pytest.mark.parametrize("text,out", [("abc", "abc"), ("abcd", "abcd"), ("abcde", "abcd..."), ("éé", "éé"), ("ééé", "ééé..."), (None, None)])
+def test_shortened(spark, text, out):
+    assert spark.createDataFrame([(text,)], "t string").select(X.shortened(F.col("t"), 4)).first()[0] == out

@@ -41,3 +41,8 @@ def test_more_names_than_a_broadcast_holds(spark, tmp_path):
     spark.createDataFrame(parts, "p_partkey bigint, p_name string, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
     found = {r["name"]: r["mentions"] for r in registry.queries()["mentioned_names"](spark, str(tmp_path)).collect()}
     assert found == {word(i): 3 if i < 2 else 2 for i in range(n)} | {"w": n + 2}
+
+
+def test_words_of_documents_are_not_broadcast(spark):
+    plan = registry.queries()["entities_subset"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [word" in plan and "SortMergeJoin [doc_id" in plan

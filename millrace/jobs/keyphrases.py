@@ -87,16 +87,16 @@ def term_scores_h(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @JOBS.add(TOKENS + GRAMS + "SELECT x.n::INTEGER AS n, count(*) AS candidates, sum(tf)::BIGINT AS occurrences, count(DISTINCT key) AS keys FROM cand GROUP BY x.n")
 def ngram_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = K.candidates(K.grams(K.tokens(_docs(spark, sf_dir)))).select(F.size("terms").alias("n"), "key", "tf")
-    by_key = c.groupBy("n", "key").agg(F.count(F.lit(1)).alias("c"), F.sum("tf").alias("o"))
-    return by_key.groupBy("n").agg(F.sum("c").alias("candidates"), F.sum("o").alias("occurrences"), F.count(F.lit(1)).alias("keys"))
+    c = K.phrase_counts(_docs(spark, sf_dir))
+    return c.groupBy("n").agg(F.sum("docs").alias("candidates"), F.sum("tf").alias("occurrences"), F.count(F.lit(1)).alias("keys"))
 
 
 @JOBS.add(TOKENS + SCORES + "SELECT doc_id, key, n::INTEGER AS n, tf, round(under, 5) AS under, round(CASE WHEN under > 0.01 THEN prod / under END, 4) AS s FROM v")
 def ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All phrases with the denominators of their scores, and the scores; these are null where the denominator is near 0 or below it."""
     s = K.phrase_scores(_docs(spark, sf_dir), with_denominator=True)
-    return s.select("doc_id", "key", "n", "tf", F.round("under", 5).alias("under"), F.round(F.when(F.col("under") > 0.01, F.col("s")), 4).alias("s"))
+    rounded = lambda c, digits: F.floor(c * 10.0**digits + 0.5) / 10.0**digits  # noqa: E731  of what is never below 0, in doubles: F.round goes through decimals
+    return s.select("doc_id", "key", "n", "tf", rounded(F.col("under"), 5).alias("under"), rounded(F.when(F.col("under") > 0.01, F.col("s")), 4).alias("s"))
 
 
 @JOBS.add()

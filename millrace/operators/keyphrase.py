@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as X
+from millrace.operators import phrases as P
 
 # English function words; pass a longer list, such as that of ``stopwords``, for real use.
 STOPWORDS = (
@@ -146,88 +150,48 @@ def scored_terms(documents: DataFrame, stopwords: tuple[str, ...] = STOPWORDS) -
     return _scores(rows.withColumn("mean", F.avg(plain).over(own)).withColumn("std", F.stddev_pop(plain).over(own)).withColumn("top", F.max("tf").over(own)))
 
 
-def grams(tokens: DataFrame) -> DataFrame:
-    """(doc_id, sent, at, n, key, words, terms, tags): runs of one to three words of a block, ending at ``at``."""
-    form = lambda prefix: F.struct(*(F.col(prefix + c).alias(c) for c in ("word", "term", "tag")))
-    x, y, z = form("x_"), form("y_"), form("")
-    two, three = F.when(F.col("y_word").isNotNull(), F.array(y, z)), F.when(F.col("x_word").isNotNull(), F.array(x, y, z))
-    rows = tokens.select("doc_id", "sent", "at", F.explode(F.array_compact(F.array(F.array(z), two, three))).alias("g"))
-    return rows.select(
-        "doc_id", "sent", "at", F.size("g").alias("n"),
-        F.lower(F.array_join(F.transform("g", lambda x: x["word"]), " ")).alias("key"),
-        F.array_join(F.transform("g", lambda x: x["word"]), " ").alias("surface"),
-        F.transform("g", lambda x: x["term"]).alias("terms"),
-        F.array_join(F.transform("g", lambda x: x["tag"]), "").alias("tags"),
-    )
+def phrase_counts(documents: DataFrame) -> DataFrame:
+    """(n, key, docs, tf): phrases of one to three words of a block in lower case, the documents where some occurrence has neither numbers nor mixed words, and all occurrences there."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in P.slices(batches):
+            yield from P.counts(part)
 
-def candidates(grams: DataFrame) -> DataFrame:
-    """(doc_id, key, surface, terms, tf): those of which some occurrence has neither numbers nor mixed words."""
-    place = F.struct("sent", "at")
-    rows = grams.groupBy("doc_id", "key").agg(
-        F.min_by("surface", place).alias("surface"), F.min_by("terms", place).alias("terms"), F.count(F.lit(1)).alias("tf"), F.max(~F.col("tags").rlike("[ud]")).alias("clean")
-    )
-    return rows.where("clean").drop("clean")
+    rows = P.dealt(documents).mapInArrow(run, "n int, key string, docs bigint, tf bigint")
+    return rows.groupBy("n", "key").agg(F.sum("docs").alias("docs"), F.sum("tf").alias("tf"))
 
 
 def phrase_scores(documents: DataFrame, stopwords: tuple[str, ...] = STOPWORDS, with_denominator: bool = False) -> DataFrame:
     """(doc_id, key, surface, n, tf, s): candidates that neither begin nor end with a stopword; small scores are key phrases.
 
-    A stopword in the middle is bridged by the probabilities of its two edges.
+    A stopword in the middle is bridged by the probabilities of its two edges. Documents without an id have no rows.
     """
-    t = tokens(documents)
-    rows = candidates(grams(t)).select("doc_id", "key", "surface", "tf", F.size("terms").alias("n"), *(F.get("terms", F.lit(i)).alias(f"t{i}") for i in range(3)))
-    scored = scored_terms(documents, stopwords)
-    for i in range(3):
-        s = scored.select("doc_id", F.col("term").alias(f"t{i}"), F.col("tf").alias(f"tf{i}"), F.col("stop").alias(f"stop{i}"), F.col("h").alias(f"h{i}"))
-        rows = rows.join(s, ["doc_id", f"t{i}"], "left")
-    last = F.when(F.col("n") == 1, F.col("stop0")).when(F.col("n") == 2, F.col("stop1")).otherwise(F.col("stop2"))
-    rows = rows.where(~F.col("stop0") & ~last)
-    e = edges(t)
-    rows = rows.join(e.select("doc_id", F.col("a").alias("t0"), F.col("b").alias("t1"), F.col("weight").alias("w01")), ["doc_id", "t0", "t1"], "left")
-    rows = rows.join(e.select("doc_id", F.col("a").alias("t1"), F.col("b").alias("t2"), F.col("weight").alias("w12")), ["doc_id", "t1", "t2"], "left")
-    p = F.coalesce(F.col("w01") / F.col("tf0"), F.lit(0.0)) * F.coalesce(F.col("w12") / F.col("tf2"), F.lit(0.0))
-    bridged = (F.col("n") == 3) & F.col("stop1")
-    h = [F.coalesce(F.col(f"h{i}"), F.lit(0.0)) for i in range(3)]
-    total = h[0] + F.when(bridged, -(1 - p)).otherwise(h[1]) + h[2]
-    product = h[0] * F.when(F.col("n") < 2, 1.0).when(bridged, 2 - p).otherwise(h[1]) * F.when(F.col("n") < 3, 1.0).otherwise(h[2])
-    under = (total + 1) * F.col("tf")
-    more = [under.alias("under")] if with_denominator else []
-    return rows.select("doc_id", "key", "surface", "n", "tf", F.when(under != 0, product / F.when(under != 0, under)).alias("s"), *more)
-
-
-def _similar(a: str, b: str, most: float) -> bool:
-    """Whether 1 - edit distance / longer length is over ``most``."""
-    longer = max(len(a), len(b))
-    if a == b:
-        return True
-    if abs(len(a) - len(b)) >= (1 - most) * longer:
-        return False
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        before, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
-    return 1 - row[-1] / longer > most
+    names = ["doc_id", "key", "surface", "n", "tf", "s", *(["under"] if with_denominator else [])]
+    kind = documents.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in P.slices(batches):
+            ids = pa.array(part.ids)
+            for found in P.scored(part, stopwords):
+                runs = found.runs
+                columns = [
+                    ids.take(pa.array(part.of[runs.last])), part.text(runs, lower=True), part.text(runs, lower=False), pa.array(np.full(len(runs.last), runs.n, np.int32)),
+                    pa.array(runs.tf), pa.array(found.s, mask=np.isnan(found.s)), pa.array(found.under),
+                ]
+                yield pa.RecordBatch.from_arrays(columns[: len(names)], names=names)
+
+    schema = f"doc_id {kind}, key string, surface string, n int, tf bigint, s double" + (", under double" if with_denominator else "")
+    return P.dealt(documents.where(F.col("doc_id").isNotNull())).mapInArrow(run, schema)
 
 
 def key_phrases(documents: DataFrame, top: int = 20, dedup: float = 0.9, stopwords: tuple[str, ...] = STOPWORDS) -> DataFrame:
     """(doc_id, rank, phrase, score): the best phrases of each document as first written, without near-copies of better ones, in order of (score, lower case)."""
 
-    def choose(group: pa.Table) -> pa.Table:
-        columns = (group.column(c).to_pylist() for c in ("s", "key", "surface"))
-        rows = sorted(zip(*columns, strict=True), key=lambda r: (r[0] is None, r[0] or 0.0, r[1]))
-        kept: list[tuple[float, str, str]] = []
-        for s, key, surface in rows:
-            if len(kept) == top:
-                break
-            if not any(_similar(key, k, dedup) for _, k, _ in kept):
-                kept.append((s, key, surface))
-        n = len(kept)
-        return pa.table(
-            {"doc_id": pa.array([group.column("doc_id")[0].as_py()] * n, pa.int64()), "rank": pa.array(range(1, n + 1), pa.int32()), "phrase": pa.array([x for _, _, x in kept], pa.string()), "score": pa.array([s for s, _, _ in kept], pa.float64())}
-        )
-
-    rows = phrase_scores(documents, stopwords).select("doc_id", "key", "surface", F.round("s", 12).alias("s"))
-    return rows.groupBy("doc_id").applyInArrow(choose, "doc_id bigint, rank int, phrase string, score double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in P.slices(batches):
+            of, rank, phrase, score = P.best(part, P.scored(part, stopwords), top, dedup)
+            columns = [pa.array(part.ids, pa.int64()).take(pa.array(of)), pa.array(rank, pa.int32()), pa.array(phrase, pa.string()), pa.array(score, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "rank", "phrase", "score"])
 
+    found = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return P.dealt(found).mapInArrow(run, "doc_id bigint, rank int, phrase string, score double").withColumn("score", F.round("score", 12))

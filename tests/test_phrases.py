@@ -51,3 +51,41 @@ def test_slices(monkeypatch):
     monkeypatch.setattr(P, "SLICE", 1)
     assert arrays(rows) == whole
     assert {(k, n) for d, k, n, _ in whole if d == 7} >= {("nasa", 2), ("high", 2), ("another run", 1)}
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def test_similar():
+    r = random.Random(5)
+    both = {True: 0, False: 0}
+    for _ in range(3_000):
+        a = "".join(r.choice("ab") for _ in range(r.randint(1, 40)))
+        b = list(a)
+        for _ in range(r.randint(0, 5)):
+            at = r.randrange(len(b) + 1)
+            b[at : at + r.randint(0, 1)] = r.choice(["", "a", "c"])
+        b, most = "".join(b) or "a", r.choice([0.9, 0.8, 0.5])
+        alike = a == b or 1 - edits(a, b) / max(len(a), len(b)) > most
+        assert P.similar(a, b, most) == alike
+        both[alike] += 1
+    assert min(both.values()) > 500
+
+
+def test_best_phrases(spark):
+    docs = spark.createDataFrame([*TEXTS, (8, "Tests, cases, Tests; configurations and configuration.")], SCHEMA)
+    assert moves(K.key_phrases(docs)) == (1, False)
+    found = K.key_phrases(docs, top=1_000, dedup=0.9).collect()
+    scores = {(r["doc_id"], r["surface"]): r["s"] for r in K.phrase_scores(docs).collect()}
+    for r in found:
+        assert r["score"] == pytest.approx(scores[r["doc_id"], r["phrase"]], abs=1e-11)
+    own = sorted((r["rank"], r["score"], r["phrase"]) for r in found if r["doc_id"] == 8)
+    assert [r[0] for r in own] == list(range(1, len(own) + 1)) and [r[1] for r in own] == sorted(r[1] for r in own)
+    assert len([p for _, _, p in own if p.startswith("config") and " " not in p]) == 1  # of two with an edit in 14 letters the better one
+    assert len(K.key_phrases(docs, top=2).where("doc_id = 8").collect()) == 2

@@ -89,3 +89,13 @@ def test_best_phrases(spark):
     assert [r[0] for r in own] == list(range(1, len(own) + 1)) and [r[1] for r in own] == sorted(r[1] for r in own)
     assert len([p for _, _, p in own if p.startswith("config") and " " not in p]) == 1  # of two with an edit in 14 letters the better one
     assert len(K.key_phrases(docs, top=2).where("doc_id = 8").collect()) == 2
+
+
+def test_counts_of_all_documents(spark):
+    docs = spark.createDataFrame([*TEXTS, (None, "Big data. BIG data, data"), (9, "2nd data")], SCHEMA)
+    rows = P.dealt(docs)._jdf.queryExecution().executedPlan().toString()
+    assert rows.count("Exchange hashpartitioning(doc_id") == 1
+    assert moves(K.phrase_counts(docs)) == (2, False)  # texts, then counts by phrase
+    found = {(r["n"], r["key"]): (r["docs"], r["tf"]) for r in K.phrase_counts(docs).collect()}
+    assert found[2, "big data"] == (2, 4) and found[1, "data"] == (3, 6) and found[3, "the nasa run"] == (2, 2)
+    assert not {(1, "2nd"), (2, "2nd data"), (2, "data data"), (1, "3")} & set(found)

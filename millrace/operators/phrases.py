@@ -24,8 +24,8 @@ SLICE = 2_000_000  # characters of documents that are held as arrays at once; a
 SENTENCE_END = re.compile("(?<=[.!?]) +")
 TOKEN = re.compile(r"[\w-]+|[^ \t\n\x0b\f\r\w-]+")  # \w: letters, numbers and _
 MARKS = re.compile(r"[!-/:-@\[-`{-~]")
-MARK = re.compile(r"[!-/:-@\[-`{-~]+")
-DECIMAL = re.compile(r"([^.]*)\.([^.]*)")
+MARK = re.compile(r"[!-/:-@\[-`{-~]+\Z")
+DECIMAL = re.compile(r"([^.]*)\.([^.]*)\Z")
 TAGS = {t: i for i, t in enumerate("panud")}
 PLAIN = TAGS["u"]  # tags below it are those of plain words
 
@@ -65,7 +65,7 @@ def tag(word: str) -> str:
     if kinds == {"Ll"}:
         return "p"
     number = word.replace(",", "")
-    if (m := DECIMAL.fullmatch(number)) is not None:
+    if (m := DECIMAL.match(number)) is not None:
         number = m[1] + m[2]
     if number.isdecimal():
         return "d"
@@ -155,7 +155,7 @@ def read(ids: list, texts: list[str]) -> Slice:
     coded = pa.array([w for x in found for w in x[2]], pa.string()).dictionary_encode()
     word, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary
     forms = words.to_pylist()
-    mark = np.array([MARK.fullmatch(w) is not None for w in forms], bool)
+    mark = np.array([MARK.match(w) is not None for w in forms], bool)
     inside = np.array([TAGS[tag(w)] for w in forms], np.int8)
     lower = [w.lower() for w in forms]
     terms = [w[:-1] if len(w) > 3 and w.endswith("s") else w for w in lower]

@@ -78,9 +78,9 @@ def index_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     second = later(known, 251, 3, 1_000_000).where("NOT coalesce(id % 257 = 5, false)")
     third = later(second, 263, 9, 2_000_000)
     store = I.Store(spark, shared_folder(spark, "index"))
-    store.sync(first)
-    store.sync(second.drop("id").unionByName(notes))
-    store.sync(third.drop("id").unionByName(notes.where("mtime % 80 <> 7")))
+    for disk in (first, second.drop("id").unionByName(notes), third.drop("id").unionByName(notes.where("mtime % 80 <> 7"))):
+        store.sync(disk)
+        store.vacuum()  # nothing reads an older version
     bucket = I.bucket_of(F.col("corpus"), F.col("path"), I.BUCKETS)
     rows = store.rows().where("idx = 0").select("corpus", "path", "mtime", bucket.alias("bucket"))
     return rows.join(F.broadcast(store.written()), "bucket").select("corpus", "path", "mtime", F.col("version").alias("written"))

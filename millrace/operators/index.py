@@ -22,6 +22,8 @@ from millrace.operators.vectors import encode
 
 KEY = ("corpus", "path", "mtime", "size")
 BUCKETS = 64
+FEW = 100_000  # changed files whose keys are broadcast: the index isn't shuffled to take them out
+SMALL = 1 << 20  # bytes of a bucket's files on average, below which a rewrite puts them together
 SCHEMA = (
     "corpus string, path string, mtime bigint, size bigint, idx int, chunk string, start_byte bigint, end_byte bigint, embedding array<double>"
 )
@@ -48,7 +50,7 @@ def bucket_of(corpus: Column, path: Column, buckets: Column | int) -> Column:
 
 
 def chunked(files: DataFrame, encoder=hashed_words, size: int = 512, overlap: int = 64) -> DataFrame:
-    """Rows of the index of ``files``. Nothing is shuffled: texts are cut and encoded where they are read."""
+    """Rows of the index of ``files``. Nothing is shuffled: texts are cut and encoded where they are."""
     rows = encode(chunk_rows(files.select(*KEY, "text"), size, overlap), encoder, "chunk")
     return rows.select(*(F.col(n).cast(t) for n, t in (c.split() for c in SCHEMA.split(", "))))
 
@@ -121,8 +123,9 @@ class Store:
         found = self._differences(disk.select(*KEY), manifest)
         keys = found.select("corpus", "path", "is").persist()
         try:
-            new = disk.join(keys.where("is").select("corpus", "path"), ["corpus", "path"], "left_semi")
-            return self._apply(manifest, keys.select("corpus", "path"), new, {})
+            if manifest["folders"]:
+                disk = disk.join(self._few(keys).where("is").select("corpus", "path"), ["corpus", "path"], "left_semi")
+            return self._apply(manifest, keys.select("corpus", "path"), disk, {})
         finally:
             keys.unpersist()
 
@@ -140,23 +143,42 @@ class Store:
     def replace(self, files: DataFrame) -> int:
         """A version of these files alone."""
         manifest = self._manifest()
-        return self._write(manifest, chunked(files, self.encoder, self.size, self.overlap), set(manifest["folders"]), {})
+        return self._write(manifest, files, set(manifest["folders"]), {})
+
+    def _few(self, keys: DataFrame) -> DataFrame:
+        return F.broadcast(keys) if keys.limit(FEW + 1).count() <= FEW else keys
 
     def _apply(self, manifest: dict, keys: DataFrame, new: DataFrame, batch: dict) -> int:
         bucket = bucket_of(F.col("corpus"), F.col("path"), manifest["buckets"])
         touched = {str(r[0]) for r in keys.select(bucket).distinct().collect()}  # as many as there are buckets at most
         if not touched and not batch:
             return manifest["version"]
-        kept = self._read(manifest, touched).join(keys, ["corpus", "path"], "left_anti")
-        rows = chunked(new, self.encoder, self.size, self.overlap)
-        return self._write(manifest, kept.unionByName(rows), touched, batch)
+        return self._write(manifest, new, touched, batch, keys)
+
+    def _kept(self, manifest: dict, touched: set[str], keys: DataFrame) -> DataFrame | None:
+        """Rows of touched buckets that stay. Their files are read as they lie, one bucket each, and so written; they are dealt anew only if the join deals them or many are small."""
+        old = {b: f for b, f in manifest["folders"].items() if b in touched}
+        if not old:
+            return None
+        gone = self._few(keys)
+        kept = self._read(manifest, touched).join(gone, ["corpus", "path"], "left_anti")
+        sizes = [self._fs.getContentSummary(self._path(f"{self.root}/data/{f}/bucket={b}")) for b, f in old.items()]
+        files = sum(s.getFileCount() for s in sizes)
+        dealt = gone is keys or (files > 4 * len(old) and sum(s.getLength() for s in sizes) < SMALL * files)
+        return self._dealt(kept, manifest) if dealt else kept
+
+    def _dealt(self, rows: DataFrame, manifest: dict) -> DataFrame:
+        bucket = bucket_of(F.col("corpus"), F.col("path"), manifest["buckets"])
+        return rows.withColumn("bucket", bucket).hint("rebalance", "bucket").drop("bucket")
 
-    def _write(self, manifest: dict, rows: DataFrame, touched: set[str], batch: dict) -> int:
-        """Writes touched buckets, then publishes."""
+    def _write(self, manifest: dict, new: DataFrame, touched: set[str], batch: dict, keys: DataFrame | None = None) -> int:
+        """Writes touched buckets, then publishes. New files are dealt to buckets as texts, before chunks and vectors are made of them; no keys: nothing is kept."""
         version = manifest["version"] + 1
         folder = f"{version:010d}-{uuid.uuid4().hex}"
-        rows = rows.withColumn("bucket", bucket_of(F.col("corpus"), F.col("path"), manifest["buckets"]))
-        rows.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.root}/data/{folder}")
+        rows = chunked(self._dealt(new.select(*KEY, "text"), manifest), self.encoder, self.size, self.overlap)
+        kept = self._kept(manifest, touched, keys) if keys is not None else None
+        rows = (rows if kept is None else kept.unionByName(rows)).withColumn("bucket", bucket_of(F.col("corpus"), F.col("path"), manifest["buckets"]))
+        rows.write.partitionBy("bucket").option("compression", "zstd").parquet(f"{self.root}/data/{folder}")
         names = [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.root}/data/{folder}"))]
         folders = {b: f for b, f in manifest["folders"].items() if b not in touched}
         folders |= {n.removeprefix("bucket="): folder for n in names if n.startswith("bucket=")}
@@ -164,13 +186,20 @@ class Store:
         return version
 
     def vacuum(self) -> list[str]:
-        """Deletes data that the newest version doesn't name: run it when no older version is read and nothing is written."""
-        live = set(self._manifest()["folders"].values())
+        """Deletes data that the newest version doesn't name, whole folders and buckets of others: run it when no older version is read and nothing is written."""
+        live = {(f, f"bucket={b}") for b, f in self._manifest()["folders"].items()}
         data = self._path(f"{self.root}/data")
-        gone = [s.getPath() for s in self._fs.listStatus(data) if s.getPath().getName() not in live] if self._fs.exists(data) else []
-        for path in gone:
+        gone = []
+        for folder in self._fs.listStatus(data) if self._fs.exists(data) else []:
+            name = folder.getPath().getName()
+            if name not in {f for f, _ in live}:
+                gone.append((name, folder.getPath()))
+            else:
+                parts = [s.getPath() for s in self._fs.listStatus(folder.getPath())]
+                gone += [(f"{name}/{p.getName()}", p) for p in parts if p.getName().startswith("bucket=") and (name, p.getName()) not in live]
+        for _, path in gone:
             self._fs.delete(path, True)
-        return sorted(p.getName() for p in gone)
+        return sorted(name for name, _ in gone)
 
 
 def build(files: DataFrame, path: str, encoder=hashed_words, size: int = 512, overlap: int = 64) -> None:

@@ -103,3 +103,43 @@ def test_stream(spark, tmp_path):
     put([("d", "write", 9, 9, 1, "e")])
     run()
     assert _state(store) == {("a", 3), ("d", 9)} and store.version == 3
+
+
+def test_vectors_are_not_shuffled(spark, tmp_path, monkeypatch):
+    """Texts are dealt to buckets, and rows that stay are written from where they lie."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    plans, write = [], DataFrameWriter.parquet
+
+    def seen(self, *args, **named):
+        plans.append(self._df._jdf.queryExecution().executedPlan().toString())
+        return write(self, *args, **named)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", seen)
+    store = I.Store(spark, str(tmp_path / "i"), buckets=2)
+    count = lambda: len(store.rows().inputFiles())
+    files: list = []
+    counts = []
+    for n in range(1, 7):
+        files += [(f"f{n}-{i}", n, 4, "text") for i in range(4)]
+        store.sync(_files(spark, files))
+        store.vacuum()
+        counts.append(count())
+    assert _state(store) == {(p, m) for p, m, *_ in files} and max(counts) <= 4 * 2 + 4
+    assert "Exchange" not in plans[0][: plans[0].index("MapInArrow")], "no exchange above the chunks"
+    assert [p.count("REBALANCE") for p in plans[:2]] == [1, 1]
+    monkeypatch.setattr(I, "FEW", 0)  # as if too many files had changed for a broadcast
+    store.sync(_files(spark, files[1:]))
+    assert _state(store) == {(p, m) for p, m, *_ in files[1:]} and plans[-1].count("REBALANCE") == 2
+
+
+def test_query_keeps_one_version(spark):
+    import pathlib
+
+    from millrace.jobs import registry
+    from tests.conftest import SF
+
+    df = registry.queries()["index_sync"](spark, SF)
+    root = df.inputFiles()[0].removeprefix("file://").split("/data/")[0]
+    named = {f"{f}/bucket={b}" for b, f in I.Store(spark, root)._manifest()["folders"].items()}
+    assert {f"{p.parent.name}/{p.name}" for p in pathlib.Path(root, "data").glob("*/bucket=*")} == named and df.count() > 0

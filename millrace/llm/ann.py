@@ -3,9 +3,9 @@
 Vectors get one more dimension that makes all equally long, so that the largest inner product is the smallest
 distance; a random rotation spreads their energy evenly. Lists belong to centroids fitted on a bounded sample,
 every vector is in the list of its nearest centroid, and a query probes the lists of its nearest ones. Within a
-list, distances are summed up block of dimensions by block; after each a hypothesis test drops candidates whose
-partial distance says that they can't be among the nearest. What is left is scored exactly, in double precision,
-on the original vectors.
+list, distances are summed up block of dimensions by block, for all queries that ask for it at once; after each a hypothesis
+test drops queries and candidates whose partial distances say that they have nothing among the nearest there. The
+nearest by their whole distance are scored exactly, in double precision, on the original vectors.
 
 How many lists are probed is measured on all vectors, not on the sample: one scan finds the exact answers of up to
 ``MEASURED`` of the queries, and as many lists are probed as hold ``RECALL`` of them. A query whose lists hold fewer
@@ -44,6 +44,7 @@ EPSILON = 2.1  # of the hypothesis test
 PART = 32_768  # about the most vectors, and the most queries, in one task's group
 NUMBERS = 1 << 22  # and the most components of them
 GROUPS = 24
+AT_ONCE = 1 << 21  # distances of a group's queries that are held at once: 16 MB
 SEED = 10
 
 
@@ -148,31 +149,54 @@ def _ranked(queries: np.ndarray, rotation: np.ndarray, centroids: np.ndarray) ->
     return np.argsort(_distances(np.column_stack([queries, np.zeros(len(queries))]) @ rotation, centroids), axis=1, kind="stable")
 
 
-def scan(rotated: np.ndarray, alive: np.ndarray, query: np.ndarray, k: int) -> np.ndarray:
-    """Places, out of ``alive`` (nearest lists first), of the candidates that the test can't exclude from the k nearest."""
+def scan(rotated: np.ndarray, edges: np.ndarray, queries: np.ndarray, wanted: list[list[int]], k: int) -> np.ndarray:
+    """Squared distances of queries to the vectors of the lists that each wants (its nearest first); infinite for others and for those that the test excludes.
+
+    ``rotated`` stands list after list, ``edges`` are their bounds. A list is held against all queries that want it, a block of
+    dimensions at a time; queries and vectors that the test leaves no partner in it go on no further.
+    """
     dims = rotated.shape[1]
-    head = alive[:k]  # their whole distances are the first bound
-    bound = ((rotated[head] - query) ** 2).sum(axis=1).max() if len(head) == k else np.inf
-    partial = np.zeros(len(alive))
-    for at in range(0, dims, COLUMNS):
-        block = rotated[alive, at : at + COLUMNS] - query[at : at + COLUMNS]
-        partial += np.einsum("ij,ij->i", block, block)
-        seen = min(at + COLUMNS, dims)
-        if seen == dims:
-            break
-        if len(alive) > 4 * k and np.isfinite(bound):
-            near = alive[np.argpartition(partial, k)[:k]]
-            bound = min(bound, ((rotated[near] - query) ** 2).sum(axis=1).max())
-        keep = partial * (dims / seen) <= bound * (1.0 + EPSILON / seen**0.5) ** 2
-        alive, partial = alive[keep], partial[keep]
-    return alive
+    out, bound = np.full((len(queries), len(rotated)), np.inf), np.full(len(queries), np.inf)
+    for i, lists in enumerate(wanted):
+        head = rotated[edges[lists[0]] : edges[lists[0] + 1]][: k + 1]  # their whole distances are the bound; one of them may be the query's own row
+        if len(head) > k:
+            bound[i] = ((head - queries[i]) ** 2).sum(axis=1).max()
+    of = np.concatenate([np.asarray(x, np.int64) for x in wanted])
+    who = np.repeat(np.arange(len(queries)), [len(x) for x in wanted])
+    order = np.argsort(of, kind="stable")
+    found, begin = np.unique(of[order], return_index=True)
+    for w, rows in zip(found, np.split(who[order], begin[1:]), strict=True):
+        columns = np.arange(edges[w], edges[w + 1])
+        x, q = rotated[edges[w] : edges[w + 1]], queries[rows]
+        partial = np.zeros((len(rows), len(columns)))
+        for at in range(0, dims, COLUMNS):
+            a, b, seen = q[:, at : at + COLUMNS], x[:, at : at + COLUMNS], min(at + COLUMNS, dims)
+            partial += np.column_stack([-2.0 * a, np.ones(len(a)), (a * a).sum(axis=1)]) @ np.column_stack([b, (b * b).sum(axis=1), np.ones(len(b))]).T
+            if seen == dims:
+                out[rows[:, None], columns] = partial
+                break
+            keep = partial <= (bound[rows] * ((1.0 + EPSILON / seen**0.5) ** 2 * seen / dims))[:, None]
+            stay, held = keep.any(axis=1), keep.any(axis=0)
+            if not stay.any():
+                break
+            if stay.sum() * held.sum() < 0.75 * partial.size:
+                rows, columns, x, q, partial = rows[stay], columns[held], x[held], q[stay], partial[stay][:, held]
+    return out
+
+
+def _nearest_pairs(distances: np.ndarray, k: int, slack: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of what is as near as the row's kth, or by rounding might be."""
+    last = np.full((len(distances), 1), np.inf)
+    if distances.shape[1] > k:
+        last = np.partition(distances, k - 1, axis=1)[:, k - 1 : k] + slack
+    return np.nonzero((distances <= last) & np.isfinite(distances))
 
 
 def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Inner products in double precision, summed in the order of the components."""
+    """Inner products of rows in double precision, summed in the order of the components."""
     total = np.zeros(len(a))
     for d in range(a.shape[1]):
-        total += a[:, d].astype(np.float64) * float(b[d])
+        total += a[:, d].astype(np.float64) * b[:, d].astype(np.float64)
     return total
 
 
@@ -253,12 +277,22 @@ def search(vectors: DataFrame, every: int = 20, k: int = K, probes: int | None =
             edges = np.searchsorted(of, np.arange(lists + 1))
             q = _stack(right.column("embedding").combine_chunks())
             turned = np.column_stack([q.astype(np.float64), np.zeros(len(q))]) @ index.rotation
-            for i, (query_id, row, wanted) in enumerate(zip(*(right.column(c).to_pylist() for c in ("vec_id", "row", "lists")), strict=True)):
-                alive = np.concatenate([np.arange(edges[w], edges[w + 1]) for w in wanted])
-                alive = scan(rotated, alive[rows[alive] != row], turned[i], k)
-                score = _exact(x[alive], q[i])
-                best = np.lexsort((rows[alive], ids[alive], -score))[:k]
-                out.append((np.full(len(best), query_id), np.full(len(best), row), ids[alive[best]], rows[alive[best]], score[best]))
+            asking, row, wanted = right.column("vec_id").to_numpy(), right.column("row").to_numpy(), right.column("lists").to_pylist()
+            by_row = np.argsort(rows)
+            at_once = max(AT_ONCE // len(rows), 1)
+            for at in range(0, len(q), at_once):
+                end = min(at + at_once, len(q))
+                distance = scan(rotated, edges, turned[at:end], wanted[at:end], k)
+                own = by_row[np.minimum(np.searchsorted(rows, row[at:end], sorter=by_row), len(rows) - 1)]
+                same = np.flatnonzero(rows[own] == row[at:end])
+                distance[same, own[same]] = np.inf
+                i, c = _nearest_pairs(distance, k, 1e-9 * (index.norm**2 + 1e-300))
+                score = np.concatenate([_exact(x[c[n : n + 65_536]], q[at + i[n : n + 65_536]]) for n in range(0, max(len(i), 1), 65_536)])
+                order = np.lexsort((rows[c], ids[c], -score, i))
+                i, c, score = i[order], c[order], score[order]
+                best = np.arange(len(i)) - np.searchsorted(i, i) < k
+                i, c, score = at + i[best], c[best], score[best]
+                out.append((asking[i], row[i], ids[c], rows[c], score))
         columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0)] * 5
         names = ("query_id", "query_row", "vec_id", "row", "score")
         return pa.table({c: pa.array(v, pa.float64() if c == "score" else pa.int64()) for c, v in zip(names, columns, strict=True)})

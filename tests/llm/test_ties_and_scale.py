@@ -125,3 +125,21 @@ def test_priors_follow_weights():
     part = quality_qda.fit(x[some], y[some], weight=np.where(y[some] == 1, 5.0, 1.0))
     score = lambda m: 1 / (1 + np.exp(-(m.slope * quality_qda.log_ratio(m, x) + m.offset)))
     assert np.abs(score(whole) - score(part)).mean() < 0.03 and abs(score(part).mean() - 4000 / 4400) < 0.03
+
+
+def test_lists_are_scanned_for_all_their_queries():
+    """Whole distances where the test keeps a list, infinite where a query doesn't want it; a self-made far list is left after a block."""
+    r = np.random.default_rng(4)
+    x = r.standard_normal((400, 33))
+    x[300:] += 40.0
+    edges, queries = np.array([0, 100, 200, 300, 400]), r.standard_normal((30, 33))
+    wanted = [[0, 1, 3] if i % 2 else [2, 0] for i in range(30)]
+    found = ann.scan(x, edges, queries, wanted, 20)
+    whole = ((queries[:, None] - x) ** 2).sum(axis=2)
+    for i, lists in enumerate(wanted):
+        inside = np.concatenate([np.arange(edges[w], edges[w + 1]) for w in lists])
+        assert np.isinf(np.delete(found[i], inside)).all() and np.isinf(found[i][300:]).all()
+        near = inside[np.argsort(whole[i][inside])[:20]]
+        assert np.allclose(found[i][near], whole[i][near])
+    few = ann.scan(x[:15], np.array([0, 15]), queries[:1], [[0]], 20)
+    assert np.allclose(few, whole[:1, :15])
